@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mpeg_audio, quality_classifier, secret_scan
+from . import byte_bpe, html_wrapper, mpeg_audio, order_minhash, quality_classifier, secret_scan
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def held_out(modulus: int, remainder: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
 
@@ -34,5 +42,5 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_quality_classifier, op8_secret_scan, op10_mpeg_audio)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op8_secret_scan, op10_mpeg_audio)}
 ORACLE_SQL: dict[str, str] = {}
