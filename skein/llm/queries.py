@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_wrapper, mpeg_audio, order_minhash, quality_classifier, secret_scan
+from . import backoff_automaton, byte_bpe, edit_lines, html_wrapper, mpeg_audio, order_minhash, quality_classifier, secret_scan
 from .common import table
 
 
+def op1_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_lines.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
@@ -33,6 +37,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    core, arcs = backoff_automaton.learn(backoff_automaton.training(docs, held_out(7, 2)))
+    scored = backoff_automaton.score(docs, core, arcs)
+    return scored.select("doc_id", F.coalesce(held_out(7, 2), F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scan_secrets(docs, secret_scan.learn(docs))
@@ -42,5 +53,5 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op8_secret_scan, op10_mpeg_audio)}
+QUERIES = {f.__name__: f for f in (op1_edit_lines, op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op7_backoff_automaton, op8_secret_scan, op10_mpeg_audio)}
 ORACLE_SQL: dict[str, str] = {}
