@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_automaton, byte_bpe, edit_lines, html_wrapper, mpeg_audio, order_minhash, quality_classifier, secret_scan
+from . import backoff_automaton, byte_bpe, chained_passages, edit_lines, html_wrapper, latent_decontamination, mpeg_audio, order_minhash, quality_classifier, secret_scan
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     core, arcs = backoff_automaton.learn(backoff_automaton.training(docs, held_out(7, 2)))
@@ -49,9 +53,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(docs, secret_scan.learn(docs))
 
 
+def op9_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chained_passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_lines, op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op7_backoff_automaton, op8_secret_scan, op10_mpeg_audio)}
+QUERIES = {f.__name__: f for f in (op1_edit_lines, op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op6_latent_decontamination, op7_backoff_automaton, op8_secret_scan, op9_chained_passages, op10_mpeg_audio)}
 ORACLE_SQL: dict[str, str] = {}
