@@ -220,8 +220,8 @@ def verified(pairs: DataFrame, sk: DataFrame, docs: DataFrame, text_col: str) ->
     return map_rows(both, "a long, b long", make)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, class_size) for every row: class_id is the lowest id of its class of near copies."""
+def near_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(id, root) of the texts, by hash, that are like another one."""
     sk = written(sketches(docs, text_col), "sketches")
     members = sk.select("id", F.explode("keys").alias("key"))
     lead = leaders(members)
@@ -230,9 +230,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = components(first)
     again = members.join(lead.select("key"), "key", "left_semi").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     more = written(verified(across(again, sk.select("id", "data"), near), sk, docs, text_col), "links")
-    if not more.isEmpty():
-        roots = components(first.union(more))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast(kind).alias("doc"), F.xxhash64(text_of(text_col)).alias("id")).join(roots, "id", "left").select("doc", F.coalesce("root", "id").alias("root"))
+    return roots if more.isEmpty() else components(first.union(more))
+
+
+def rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, root) for every row."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("id"))
+    return rows.join(near_classes(docs, text_col), "id", "left").select("doc", "id", F.coalesce("root", "id").alias("root"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, class_size) for every row: class_id is the lowest id of its class of near copies."""
+    rows = rooted(docs, id_col, text_col)
     found = rows.groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(found, "root").select(F.col("doc").alias(id_col), "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, all columns, of each class of near copies: that of the lowest id, null last."""
+    best = rooted(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "id")).alias("best"), F.count("*").alias("n"))
+    best = best.select(F.col("best.doc").alias("__doc"), F.col("best.id").alias("__id"))
+    out = docs.withColumn("__node", F.xxhash64(text_of(text_col))).join(best, (F.col("__node") == F.col("__id")) & F.col(id_col).eqNullSafe(F.col("__doc")))
+    same = docs.select(F.xxhash64(id_col).alias("a"), F.xxhash64(text_of(text_col)).alias("b")).groupBy("a", "b").count().filter("count > 1")
+    if not same.isEmpty():  # rows that share id and text, as a whole text's shuffle is not worth its cost without any
+        out = out.dropDuplicates(["__node"])
+    return out.select(*[docs[c] for c in docs.columns])

@@ -118,3 +118,19 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
         return f
 
     return map_rows(docs.select(text_of(text_col).alias("__text"), id_col, *keep), f"{fields}, score double", make)
+
+
+def accept(docs: DataFrame, weights: np.ndarray, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        w, words = shared.value, Words()
+        for batch in batches:
+            raw = []
+            for text in batch.column(batch.schema.names.index(text_col)).to_pylist():
+                ids = features(text or "", words)
+                raw.append(float(w[ids].sum()) * SCALE / max(1, len(ids)) + float(w[-1]))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(raw), -30, 30))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
