@@ -127,7 +127,7 @@ def keys(lines: DataFrame, edits: int, indexed_only: bool) -> DataFrame:
     return map_rows(lines, "key long, id long, indexed boolean", make)
 
 
-def near(x: np.ndarray, y: np.ndarray, edits: int = EDITS) -> np.ndarray:
+def near(x: list[bytes], y: list[bytes], edits: int = EDITS) -> np.ndarray:
     a, b = [v.decode() for v in x], [v.decode() for v in y]
     return np.array([[within(s, t, edits) for t in b] for s in a], bool).reshape(len(a), len(b))
 
@@ -157,7 +157,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(first)
     members = used.select("key", "id").union(used.select("key", F.col("leader").alias("id"))).distinct()
     members = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    more = written(matches(across(members, texts.select("id", F.encode("line", "utf-8").alias("data")), lambda x, y: near(x, y, edits)), texts, edits), "links")
+    pairs, links = across(members, lambda ids: texts.join(ids, "id", "left_semi").select("id", F.encode("line", "utf-8").alias("data")), lambda x, y: near(x, y, edits))
+    more = written(matches(pairs, texts, edits).union(links), "links")
     return roots if more.isEmpty() else components(first.union(more))
 
 

@@ -1,9 +1,9 @@
 """Links between members of buckets, and connected components, without all pairs of a bucket.
 
 Round one compares each member with its bucket's leader (the lowest id). What then still has members of different
-components in one bucket is compared across components: small buckets by a join, large ones in blocks (each pair of
-blocks is a group of its own, so no task holds a whole bucket). Pairs inside a component add nothing and are skipped;
-so the components are those of all pairs.
+components in one bucket is compared across components: small buckets by a join; large ones in blocks, each pair of
+blocks in a task of its own that returns no more links than join its components. Pairs inside a component add nothing;
+so the components are those of all pairs, and no row is made for a pair of a large bucket.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,31 +49,55 @@ def leaders(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
 
 
-def across(members: DataFrame, payload: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Pairs (a, b) of members (key, id, root) of one bucket and different components.
+def joining(hit: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Of the true places (i, j) of a matrix, as many as join the components x[i] and y[j]."""
+    root: dict[int, int] = {}
 
-    near(x, y) tells from two arrays of payloads (id, data binary) which pairs (a boolean matrix) may be alike; it is
-    asked in large buckets only and must not deny a pair that is.
+    def find(r: int) -> int:
+        while (up := root.get(r, r)) != r:
+            root[r] = root.get(up, up)
+            r = up
+        return r
+
+    out = []
+    i, j = np.nonzero(hit & (x[:, None] != y[None, :]))
+    _, first = np.unique(np.stack([x[i], y[j]]), axis=1, return_index=True)
+    for k in np.sort(first).tolist():
+        a, b = find(int(x[i[k]])), find(int(y[j[k]]))
+        if a != b:
+            root[a] = b
+            out.append((int(i[k]), int(j[k])))
+    return out
+
+
+def across(members: DataFrame, payload: Callable[[DataFrame], DataFrame], near: Callable[[list, list], np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """From members (key, id, root): pairs (a, b) of different components in small buckets, still to be verified, and
+    verified links (a, b) from large ones.
+
+    payload(ids) gives (id, data binary) for the ids in large buckets; near(x, y) tells from two lists of such data
+    which pairs are alike, as a boolean matrix.
     """
     mixed = members.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).filter("r1 <> r2").select("key", "n")
     left = written(members.join(mixed, "key"), "mixed")
     small = left.filter(f"n <= {SMALL}")
     x, y = small.select("key", F.col("id").alias("a"), F.col("root").alias("ra")), small.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "key").filter("a < b and ra <> rb").select("a", "b")
+    pairs = ordered(x.join(y, "key").filter("a < b and ra <> rb").select("a", "b"))
 
     large = left.filter(f"n > {SMALL}").withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), 8 * F.sqrt("n"))).cast("int"))
-    large = large.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).join(payload, "id")
+    large = large.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    large = large.join(payload(large.select("id").distinct()), "id")
     dealt = large.select("key", "id", "root", "data", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "data", "own")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        one = rows if i == j else rows[rows["own"] == i]
-        two = rows if i == j else rows[rows["own"] == j]
-        if one.empty or two.empty:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        hit = near(one["data"].to_numpy(), two["data"].to_numpy()) & (one["root"].to_numpy()[:, None] != two["root"].to_numpy()[None, :])
-        a, b = np.nonzero(hit)
-        return pd.DataFrame({"a": one["id"].to_numpy()[a], "b": two["id"].to_numpy()[b]})
-
-    return ordered(pairs.union(dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")))
+    def compare(rows: pa.Table) -> pa.Table:
+        own, ids, roots = (rows.column(c).to_numpy() for c in ("own", "id", "root"))
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        one, two = (np.flatnonzero(own == k) for k in (i, j))
+        links: list = []
+        if len(one) and len(two):
+            data = rows.column("data").to_pylist()
+            hit = near([data[k] for k in one], [data[k] for k in two])
+            links = joining(hit, roots[one], roots[two])
+        return pa.table({"a": pa.array([ids[one[p]] for p, _ in links], pa.int64()), "b": pa.array([ids[two[q]] for _, q in links], pa.int64())})
+
+    return pairs, ordered(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))

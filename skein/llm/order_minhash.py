@@ -29,6 +29,7 @@ WORDS, THRESHOLD = 5, 0.8
 SKETCHES, PICKED, BINS = 20, 3, 64
 LOOSE = 0.5  # of the 64 bins; at a similarity of 0.8 fewer agree with a probability below 1e-7
 CACHE = 300_000
+SLICE = 2048
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(1, 2**63, (SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,14 +92,26 @@ def one_permutation(x: np.ndarray) -> bytes:
     return np.where(ok, (value >> np.uint64(13) & np.uint64(0xFFFF)) | np.uint64(1), 0).astype(np.uint16).tobytes()
 
 
-def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which pairs of one-permutation sketches agree in half of the bins that either fills."""
-    a, b = np.stack([np.frombuffer(v, np.uint16) for v in x]), np.stack([np.frombuffer(v, np.uint16) for v in y])
-    out = np.zeros((len(a), len(b)), bool)
-    for i, row in enumerate(a):
-        filled = (b > 0) | (row > 0)
-        out[i] = ((b == row) & filled).sum(axis=1) >= LOOSE * filled.sum(axis=1)
-    return out
+def near(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Which pairs of shingle sets (8 bytes a shingle) have the similarity; shared shingles are counted by products of
+    slices of the sets' incidence matrices."""
+    a, b = [np.frombuffer(v, np.uint64) for v in x], [np.frombuffer(v, np.uint64) for v in y]
+    na, nb = np.array([len(v) for v in a], np.float32), np.array([len(v) for v in b], np.float32)
+    ca, cb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(ca, cb)
+    (ka, ra), (kb, rb) = ((np.searchsorted(both, c), np.repeat(np.arange(len(v)), n.astype(int))) for c, v, n in ((ca, a, na), (cb, b, nb)))
+    (ka, ra), (kb, rb) = ((k[ok], r[ok]) for c, k, r in ((ca, ka, ra), (cb, kb, rb)) for ok in [np.isin(c, both)])
+    shared = np.zeros((len(a), len(b)), np.float32)
+    order_a, order_b = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+    ka, ra, kb, rb = ka[order_a], ra[order_a], kb[order_b], rb[order_b]
+    for begin in range(0, len(both), SLICE):
+        u, v = np.zeros((len(a), SLICE), np.float32), np.zeros((len(b), SLICE), np.float32)
+        s, e = np.searchsorted(ka, (begin, begin + SLICE))
+        u[ra[s:e], ka[s:e] - begin] = 1
+        s, e = np.searchsorted(kb, (begin, begin + SLICE))
+        v[rb[s:e], kb[s:e] - begin] = 1
+        shared += u @ v.T
+    return shared >= THRESHOLD * (na[:, None] + nb[None, :] - shared) - 1e-3
 
 
 def runs(a: list, b: list, most: int) -> list[int] | None:
@@ -190,8 +203,23 @@ def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return map_rows(src, "id long, keys array<long>, data binary", make).dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, sk: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are alike: first by sketch, then on their texts."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, data) of texts (id, t): the different shingles' hashes."""
+
+    def make():
+        hashes = Hashes()
+
+        def f(batch: pa.RecordBatch) -> dict:
+            words = [t.lower().split() for t in batch.column(1).to_pylist()]
+            return {"id": batch.column(0), "data": [np.unique(shingles(w, hashes)).tobytes() if w else b"" for w in words]}
+
+        return f
+
+    return map_rows(texts.select("id", "t"), "id long, data binary", make)
+
+
+def verified(pairs: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike: first by sketch, then on their texts (id, t)."""
 
     def make_loose():
         def f(batch: pa.RecordBatch) -> dict:
@@ -202,13 +230,6 @@ def verified(pairs: DataFrame, sk: DataFrame, docs: DataFrame, text_col: str) ->
 
         return f
 
-    data = sk.select("id", "data")
-    both = pairs.join(data.toDF("a", "da"), "a").join(data.toDF("b", "db"), "b").select("a", "b", "da", "db")
-    loose = written(map_rows(both, "a long, b long", make_loose), "loose")
-    need = loose.select(F.col("a").alias("id")).union(loose.select("b")).distinct()
-    texts = docs.select(text_of(text_col).alias("t")).select(F.xxhash64("t").alias("id"), "t").join(need, "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts, "texts")
-
     def make():
         def f(batch: pa.RecordBatch) -> dict:
             ok = pa.array([alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
@@ -216,6 +237,9 @@ def verified(pairs: DataFrame, sk: DataFrame, docs: DataFrame, text_col: str) ->
 
         return f
 
+    data = sk.select("id", "data")
+    both = pairs.join(data.toDF("a", "da"), "a").join(data.toDF("b", "db"), "b").select("a", "b", "da", "db")
+    loose = map_rows(both, "a long, b long", make_loose)
     both = loose.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return map_rows(both, "a long, b long", make)
 
@@ -224,12 +248,14 @@ def near_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(id, root) of the texts, by hash, that are like another one."""
     sk = written(sketches(docs, text_col), "sketches")
     members = sk.select("id", F.explode("keys").alias("key"))
-    lead = leaders(members)
-    pairs = ordered(members.join(lead, "key").select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    first = written(verified(pairs, sk, docs, text_col), "links")
+    members = written(members.join(leaders(members), "key").select("key", "id", "leader"), "members")
+    texts = docs.select(text_of(text_col).alias("t")).select(F.xxhash64("t").alias("id"), "t").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = written(texts, "texts")
+    first = written(verified(ordered(members.select(F.col("leader").alias("a"), F.col("id").alias("b"))), sk, texts), "links")
     roots = components(first)
-    again = members.join(lead.select("key"), "key", "left_semi").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    more = written(verified(across(again, sk.select("id", "data"), near), sk, docs, text_col), "links")
+    again = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    pairs, links = across(again, lambda ids: shingle_sets(texts.join(ids, "id", "left_semi")), near)
+    more = written(verified(pairs, sk, texts).union(links), "links")
     return roots if more.isEmpty() else components(first.union(more))
 
 

@@ -111,3 +111,15 @@ def test_components(spark, edges):
             root[find(a)] = find(b)
     assert set(got) == set(root)
     assert len({(got[x], find(x)) for x in root}) == len({find(x) for x in root}) == len(set(got.values()))
+
+
+def test_near_is_exact():
+    import numpy as np
+
+    random.seed(15)
+    sets = [np.unique(np.array(random.sample(range(60), random.randint(1, 50)), np.uint64)) for _ in range(40)]
+    got = order_minhash.near([x.tobytes() for x in sets[:25]], [x.tobytes() for x in sets[15:]])
+    for i, a in enumerate(sets[:25]):
+        for j, b in enumerate(sets[15:]):
+            both = len(set(a.tolist()) & set(b.tolist()))
+            assert got[i, j] == (both >= 0.8 * (len(a) + len(b) - both) - 1e-9)
