@@ -13,3 +13,16 @@ def build(app: str = "skein", master: str | None = None, **conf: str) -> SparkSe
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        where = tempfile.mkdtemp(prefix="skein-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where

@@ -7,8 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from skein import queries as Q
+from skein import queries, vendor_queries
 
+QUERIES, ORACLE = queries.QUERIES | vendor_queries.QUERIES, queries.ORACLE | vendor_queries.ORACLE
 SF = "/root/testdata/sf0.01"
 
 
@@ -36,9 +37,9 @@ def rows(df):
     return sorted((tuple(map(normal, r)) for r in df.astype(object).itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
-    got, want = Q.QUERIES[name](spark, SF).toPandas(), duck.sql(Q.ORACLE[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want) and len(got) > 0
     assert rows(got) == rows(want)
