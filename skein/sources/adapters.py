@@ -217,7 +217,7 @@ def droid_settings(files: DataFrame) -> DataFrame:
 
 
 def kimi(lines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """sessions: (dir, project), the last line of the session index for each directory."""
+    """sessions: (session_id, project), see discovery.kimi_projects."""
     df = R.objects(lines)
     v = F.col("v")
     df = df.withColumn("ts", R.carried(F.coalesce(R.epoch(v, "$.time"), R.epoch(v, "$.created_at")))).filter("ts is not null")
@@ -263,7 +263,7 @@ def kimi(lines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     if sessions is None:
         df = df.withColumn("project", F.lit(None).cast("string"))
     else:
-        df = df.withColumn("dir", F.regexp_extract("file", r"(.*/session_[^/]+)/agents/main/[^/]+$", 1)).join(sessions.select("dir", "project"), "dir", "left")
+        df = df.join(sessions.select("session_id", "project"), "session_id", "left")
     return R.exploded(df)
 
 

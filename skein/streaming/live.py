@@ -47,3 +47,23 @@ def start(spark: SparkSession, runtime: str, source: str, path: str, machine: st
         reader = reader.option("max_bytes", str(max_bytes))
     writer = reader.load().writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoints/{runtime}")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+
+
+def publish_segments(spark: SparkSession, segments: str, path: str, machine: str) -> int:
+    """The valid hook segments of a folder that the commits table lacks: their events first, then their commits, so a
+    repeat after a failure in between replaces the same partitions. Returns how many were published."""
+    from ..operators.lake import _exists
+    from ..sources import segments as G
+
+    commits = f"{path}/segment_commits"
+    schema = "segment_id string, source_sha256 string, event_count long"
+    known = spark.read.schema(schema).parquet(commits) if _exists(spark, commits) else spark.createDataFrame([], schema)
+    new = G.unpublished(G.validated(G.read_segments(spark, segments)), known).dropDuplicates(["segment_id"])
+    done = new.select("segment_id", "source_sha256", "event_count")
+    count = done.count()
+    if count:
+        events = canonical(G.segment_events(new), "hooks", machine, aliased=False)
+        events = events.withColumn("batch", F.concat(F.lit("segment-"), F.get_json_object("extra", "$.segment_id")))
+        events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("runtime", "date", "batch").json(f"{path}/events")
+        done.write.mode("append").parquet(commits)
+    return count

@@ -12,10 +12,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.functions import masking as M
-from skein.operators import export, labels, lake, reads
+from skein.operators import export, labels, lake, reads, status
 from skein.plans import views
 from skein.schema import LakeError
-from skein.sources import segments
+from skein.sources import discovery, segments
 from skein.sources.sqlite import SqliteSource
 from skein.streaming import live, tail
 
@@ -198,3 +198,35 @@ def test_sqlite(spark, tmp_path):
     spark.dataSource.register(SqliteSource)
     df = spark.read.format("sqlite").option("path", path).option("table", "sessions").load()
     assert sorted(map(tuple, df.collect()), key=str) == sorted([("a", None, 1.5, 2), ("b", "/x", None, None)], key=str)
+
+
+def test_publish_segments(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    out = str(tmp_path / "lake")
+    for name, text in (("s1", segment()), ("s2", segment("s2", digest="0"))):
+        (tmp_path / "q" / f"segment-{name}.jsonl").write_text(text)
+    assert live.publish_segments(spark, str(tmp_path / "q"), out, "m") == 1
+    assert live.publish_segments(spark, str(tmp_path / "q"), out, "m") == 0
+    (tmp_path / "q" / "segment-s3.jsonl").write_text(segment("s3", 3))
+    assert live.publish_segments(spark, str(tmp_path / "q"), out, "m") == 1
+    rows = lake.read_events(spark, out).collect()
+    assert len(rows) == 5 and {r.runtime for r in rows} == {"hooks"}
+    (tmp_path / "q" / "segment-s1.jsonl").write_text(segment("s1", 1))
+    with pytest.raises(LakeError):
+        live.publish_segments(spark, str(tmp_path / "q"), out, "m")
+
+
+def test_discovery_and_status(spark, tmp_path):
+    home, out = tmp_path / "home", str(tmp_path / "lake")
+    day = home / ".codex/sessions/2024/01/02"
+    day.mkdir(parents=True)
+    write(day / "rollout-a.jsonl", codex_lines(2))
+    assert discovery.inventory(str(home))["codex"]["files"] == 1 and not discovery.inventory(str(home))["kimi"]["available"]
+    live.start(spark, "codex", discovery.source("codex", str(home)), out, "m", available_now=True).awaitTermination(120)
+    report = status.status(spark, out)
+    assert report["stream"]["codex"]["state"] == "healthy" and report["stream"]["codex"]["bytes"] == (day / "rollout-a.jsonl").stat().st_size
+    assert report["partitions"][0]["runtime"] == "codex"
+    assert not [c for c in status.doctor(spark, out, str(home)) if c[1] == "error"]
+    index = tmp_path / "session_index.jsonl"
+    index.write_text('{"sessionId":"session_1","workDir":"/old"}\n{bad\n{"sessionId":"session_1","workDir":"/new"}\n')
+    assert [tuple(r) for r in discovery.kimi_projects(spark, str(index)).collect()] == [("session_1", "/new")]
