@@ -36,7 +36,7 @@ def start(spark: SparkSession, runtime: str, source: str, path: str, machine: st
         if not stops:
             return
         whole = session.read.format("tail").option("path", source).option("ends", json.dumps(stops)).load()
-        raw = adapter(whole).join(F.broadcast(touched.select("file", "begin")), "file").filter("seq >= begin").drop("begin")
+        raw = adapter(whole).join(touched.select("file", "begin"), "file").filter("seq >= begin").drop("begin")
         events = canonical(raw, runtime, machine).withColumn("batch", F.lit(f"{number:09d}"))
         events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("runtime", "date", "batch").json(f"{path}/events")
         if export:
