@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of, written
+from .common import map_rows, packed, text_of, unpacked, written
 from .links import across, components, leaders, ordered
 
 WORDS, THRESHOLD = 5, 0.8
@@ -204,13 +204,13 @@ def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(id, data) of texts (id, t): the different shingles' hashes."""
+    """(id, data) of packed texts (id, t): the different shingles' hashes."""
 
     def make():
         hashes = Hashes()
 
         def f(batch: pa.RecordBatch) -> dict:
-            words = [t.lower().split() for t in batch.column(1).to_pylist()]
+            words = [unpacked(t).lower().split() for t in batch.column(1).to_pylist()]
             return {"id": batch.column(0), "data": [np.unique(shingles(w, hashes)).tobytes() if w else b"" for w in words]}
 
         return f
@@ -219,7 +219,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike: first by sketch, then on their texts (id, t)."""
+    """The pairs (a, b) that are alike: first by sketch, then on their packed texts (id, t)."""
 
     def make_loose():
         def f(batch: pa.RecordBatch) -> dict:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, sk: DataFrame, texts: DataFrame) -> DataFrame:
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
-            ok = pa.array([alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            ok = pa.array([alike(unpacked(x), unpacked(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             return {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
 
         return f
@@ -249,7 +249,7 @@ def near_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     sk = written(sketches(docs, text_col), "sketches")
     members = sk.select("id", F.explode("keys").alias("key"))
     members = written(members.join(leaders(members), "key").select("key", "id", "leader"), "members")
-    texts = docs.select(text_of(text_col).alias("t")).select(F.xxhash64("t").alias("id"), "t").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = packed(docs.select(text_of(text_col).alias("t")).select(F.xxhash64("t").alias("id"), "t"), "t").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, "texts")
     first = written(verified(ordered(members.select(F.col("leader").alias("a"), F.col("id").alias("b"))), sk, texts), "links")
     roots = components(first)
