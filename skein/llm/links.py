@@ -100,4 +100,6 @@ def across(members: DataFrame, payload: Callable[[DataFrame], DataFrame], near:
             links = joining(hit, roots[one], roots[two])
         return pa.table({"a": pa.array([ids[one[p]] for p, _ in links], pa.int64()), "b": pa.array([ids[two[q]] for _, q in links], pa.int64())})
 
-    return pairs, ordered(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+    # a block is few bytes and much work: without a number of its own, the partitions would be coalesced by their bytes
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs, ordered(dealt.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
