@@ -3,19 +3,19 @@
 States are histories, arcs are n-grams with their smoothed log10 probability, and a failure arc leads from each state
 to the one of a shorter history:
 
-* word states: words of a share of `WORD_SHARE` or more (at most 1 / WORD_SHARE of them), the begin of a text, and one
-  state for all rarer words, with arcs for the pairs of a share of `PAIR_SHARE` or more (at most 1 / PAIR_SHARE);
-  failure to
-* the unigram state, with an arc for every word of the training texts, however rare; failure to
+* a state for every word of the training texts, and the begin of a text, with an arc for every word (or the end) that
+  follows it there, however rare; failure to
+* the unigram state, with an arc for every word of the training texts; failure to
 * the state of unknown words, one event that takes what discounting the counts has left.
 
 Both levels are interpolated absolute discounting (three discounts from the counts of counts for words), so the
 probabilities over the known words, the end and the unknown event sum to one in every state. A text is scored in one
 traversal from left to right: the state is the last word, and each token follows its arc or fails.
 
-Scale: all counts run over all training texts and are pre-aggregated in the tasks. The word states have the sizes that
-the shares prove, so tasks get them whole. The unigram arcs grow with the corpus: texts are dealt to blocks of bounded
-size, each block asks for the arcs of its different words, and meets them in a cogroup.
+Scale: all adjacent pairs are counted, pre-aggregated in the tasks; a word's count and the number of its arcs follow
+from its pairs. Both grow with the corpus and never leave Spark's rows: texts are dealt to blocks of bounded size, each
+block asks for its different words and pairs, and meets them in a cogroup. Words and pairs are known by 64-bit hashes
+(two different ones of n share one with a probability of n^2 / 2^65).
 
 Defined results: a null text is empty (one token, the end); a null id counts as learned from; without any training
 row every token is the unknown event with probability one; repeated rows score alike.
@@ -24,7 +24,7 @@ row every token is the unknown event with probability one; repeated rows score a
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, text_of, unpacked, written
+from .order_minhash import Hashes, mixed
 
-WORD_SHARE, PAIR_SHARE = 1e-4, 1e-6
 PAIR_CUT = 0.6
 BLOCK = 6_000_000  # characters of a block of texts
-HELD = 400_000  # entries that a task counts before it hands them on
+HELD = 2_000_000  # pairs that a task counts before it hands them on
+BEGIN, END = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)  # stand for no word
 
 
 def tokens(text: str) -> list[bytes]:
@@ -44,62 +45,41 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts (t)."""
+def hashed(words: list[bytes], hashes: Hashes) -> np.ndarray:
+    """The begin, the words and the end as hashes."""
+    return np.concatenate([[BEGIN], np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), [END]])
 
-    def run(batches):
-        held: Counter = Counter()
-
-        def rows():
-            words = sorted(held)  # neighbours share their beginnings, so the shuffle files compress better
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
-            held.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens(text))
-                if len(held) > HELD:
-                    yield rows()
-        yield rows()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * np.uint64(0xBF58476D1CE4E5B9) + b)
 
 
-def pair_counts(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """(code, n): adjacent tokens whose second is in ids or the end; the first may be the begin or a rarer word."""
-    width, end = len(ids) + 3, len(ids)
-    shared = texts.sparkSession.sparkContext.broadcast(ids)
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(code, a, n): all adjacent tokens, the begin and the end included; a is the first one's hash."""
 
     def run(batches):
-        get = shared.value.get
-        held, size, total = [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        hashes, held, size = Hashes(), [], 0
 
-        def merged():
-            codes, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            codes, at = np.unique(np.concatenate([total[0], codes]), return_inverse=True)
-            return codes, np.bincount(at, np.concatenate([total[1], n]), len(codes)).astype(np.int64)
+        def rows():
+            x = np.concatenate(held) if held else np.zeros((0, 2), np.uint64)
+            codes, at, n = np.unique(x[:, 0], return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(x[at, 1].view(np.int64)), pa.array(n.astype(np.int64))], ["code", "a", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                x = np.array([end + 1, *[get(w, -1) for w in tokens(text)], end], np.int64)
-                a, b = np.where(x[:-1] < 0, end + 2, x[:-1]), x[1:]
-                held.append((a * width + b)[b >= 0])
-                size += len(held[-1])
-                if size > 1_000_000:
-                    total = merged()
+                x = hashed(tokens(text), hashes)
+                held.append(np.stack([pair_codes(x[:-1], x[1:]), x[:-1]], axis=1))
+                size += len(x)
+                if size > HELD:
+                    yield rows()
                     held, size = [], 0
-                    if len(total[0]) > HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["code", "n"])
-                        total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        total = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["code", "n"])
+        yield rows()
 
-    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "code long, a long, n long").groupBy("code", "a").agg(F.sum("n").alias("n"))
 
 
 class Core:
-    """What every task gets: totals, discounts, and the word states with their arcs."""
+    """What every task gets: totals and discounts; and the states and arcs of some words, if any are given."""
 
     def __init__(self, n: int, v: int, ends: int, of: dict[int, int], words: dict[bytes, int], pairs: dict[int, int]):
         """of: how many tokens occur once, twice, ..."""
@@ -130,31 +110,25 @@ class Core:
         kept = np.maximum(counts - self.cut[np.minimum(counts, 3)], 1e-300) / self.n
         return np.where(counts > 0, np.log10(kept), self.unknown)
 
-    def traverse(self, ids: np.ndarray, unigram: np.ndarray) -> float:
-        """One pass over a text's tokens, the end included; ids: -1 for words without a state of their own."""
-        before = np.concatenate([[self.width - 2], ids[:-1]])
-        before[before < 0] = self.width - 1
-        out = unigram + self.fail[before]
-        if len(self.codes):
-            code = np.where(ids >= 0, before * self.width + ids, -1)
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            out = np.where(self.codes[at] == code, self.arc[at], out)
-        return float(out.sum())
+    def follow(self, pairs: np.ndarray, histories: np.ndarray, arcs: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        """The steps of a traversal: from states of these counts and numbers of arcs, along arcs of these counts or by failure."""
+        seen = np.maximum(histories, 1)
+        left = np.where(histories > 0, PAIR_CUT * arcs / seen, 1.0)
+        return np.log10(np.where(pairs > 0, pairs - PAIR_CUT, 0.0) / seen + left * 10.0**unigram)
 
 
 def learn(texts: DataFrame) -> tuple[Core, DataFrame]:
-    """The core and the unigram arcs (word, n) of all training texts (t)."""
-    counts = written(word_counts(texts), "words")
-    once, twice, thrice, four, total, kinds = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)], F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = texts.count()
+    """The core, and (key, n, arcs) of every word and the begin (by its hash) and of every pair (by its code, arcs 0) of all training texts (t)."""
+    pairs = written(pair_counts(texts), "pairs")
+    states = written(pairs.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("arcs")), "states")  # what follows a word is a word or the end
+    word = F.col("a") != int(BEGIN.view(np.int64))
+    once, twice, thrice, four, total, kinds, ends = states.agg(*[F.count_if(word & (F.col("n") == k)) for k in (1, 2, 3, 4)], F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)), F.count_if(word), F.coalesce(F.sum(F.when(~word, F.col("n"))), F.lit(0))).first()
     n, v = total + ends, kinds + (ends > 0)
     of = dict(enumerate((once, twice, thrice, four), 1))
     if ends in of:
         of[ends] += 1
-    frequent = {bytes(r.word): r.n for r in counts.filter(F.col("n") >= max(1.0, WORD_SHARE * n)).orderBy("word").collect()}  # 1 / WORD_SHARE rows at most
-    pairs = pair_counts(texts, {w: i for i, w in enumerate(frequent)}).filter(F.col("n") >= max(2.0, PAIR_SHARE * n))
-    core = Core(n, v, ends, of, frequent, {r.code: r.n for r in pairs.collect()})  # 1 / PAIR_SHARE rows at most
-    return core, counts
+    arcs = pairs.select(F.col("code").alias("key"), "n", F.lit(0).cast("long").alias("arcs")).union(states.select("a", "n", "arcs"))
+    return Core(n, v, ends, of, {}, {}), arcs
 
 
 def score(docs: DataFrame, core: Core, arcs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -163,47 +137,49 @@ def score(docs: DataFrame, core: Core, arcs: DataFrame, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("t"))
     chars = src.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     dealt = packed(src.withColumn("block", F.pmod(F.xxhash64("doc", "t"), F.lit(chars // block + 1))), "t").repartition("block")
-    shared = docs.sparkSession.sparkContext.broadcast(core)
 
     def ask(batches):
-        known = shared.value.ids
-        held: dict = defaultdict(set)
+        hashes, held, size = Hashes(), defaultdict(list), 0
 
         def rows():
-            words = [w for ws in held.values() for w in sorted(ws)]
-            out = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(held), np.int64), [len(ws) for ws in held.values()])), pa.array(words, pa.binary())], ["block", "word"])
-            held.clear()
-            return out
+            keys = [np.unique(np.concatenate(x)).view(np.int64) for x in held.values()]
+            numbers = np.repeat(np.array(list(held), np.int64), [len(x) for x in keys])
+            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], ["block", "key"])
 
-        size = 0
         for batch in batches:
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(tokens(unpacked(text)))
-                words.difference_update(known)
-                held[number] |= words
-                size += len(words)
-                if size > 4 * HELD:
+                x = hashed(tokens(unpacked(text)), hashes)
+                held[number] += [x[:-1], pair_codes(x[:-1], x[1:])]
+                size += len(x)
+                if size > HELD:
                     yield rows()
+                    held.clear()
                     size = 0
         yield rows()
 
-    asked = dealt.select("block", "t").mapInArrow(ask, "block long, word binary")
-    found = asked.join(arcs, "word").select("block", "word", "n")
+    asked = dealt.select("block", "t").mapInArrow(ask, "block long, key long")
+    found = asked.join(arcs, "key").select("block", "key", "n", "arcs")
+
+    def answer(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        keys, n, arcs = (np.append(rows.column(c).to_numpy(), x) for c, x in (("key", 0), ("n", 0), ("arcs", 0)))
+        keys, at = np.unique(keys, return_index=True)
+        n, arcs = n[at], arcs[at]
+
+        def counts(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, wanted.view(np.int64)), len(keys) - 1)
+            hit = keys[at] == wanted.view(np.int64)
+            return np.where(hit, n[at], 0), np.where(hit, arcs[at], 0)
 
-    def answer(texts: pa.Table, words: pa.Table) -> pa.Table:
-        core: Core = shared.value
-        count = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
-        count.update((w, int(core.count[i])) for w, i in core.ids.items())
+        hashes, total = Hashes(), core.n + core.v + 1
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        ids_of, total, end = core.ids, core.n + core.v + 1, len(core.ids)
         for text in texts.column("t").to_pylist():
-            found = tokens(unpacked(text))
-            n = np.array([*[count.get(w, 0) for w in found], core.ends], np.int64)
-            ids = np.array([*[ids_of.get(w, -1) for w in found], end], np.int64)
-            out["n_tokens"].append(len(ids))
-            out["n_known"].append(int((n > 0).sum()))
-            out["base_score"].append(float(np.log10((n + 1) / total).sum()))
-            out["score"].append(core.traverse(ids, core.word(n)))
+            x = hashed(tokens(unpacked(text)), hashes)
+            histories, states = counts(x[:-1])
+            words = np.append(histories[1:], core.ends)
+            out["n_tokens"].append(len(words))
+            out["n_known"].append(int((words > 0).sum()))
+            out["base_score"].append(float(np.log10((words + 1) / total).sum()))
+            out["score"].append(float(core.follow(counts(pair_codes(x[:-1], x[1:]))[0], histories, states, core.word(words)).sum()))
         size = len(out["score"])
         return pa.table({id_col: texts.column("doc"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([core.n] * size, pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
 

@@ -57,3 +57,23 @@ def test_awkward(spark, block):
     none, no_arcs = B.learn(B.training(docs(spark, []), B.F.lit(False)))
     r = B.score(docs(spark, [(1, "new words")]), none, no_arcs).collect()[0]
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and math.isfinite(r.score)
+
+
+@pytest.mark.parametrize("block", [4000, 10**6])
+def test_every_pair_is_an_arc(spark, block):
+    """Words under a ten thousandth of all tokens are states, and pairs that occur once are arcs."""
+    texts = [" ".join(f"w{(i * 37 + k * (1 + i % 3)) % 12000}" for k in range(120)) for i in range(250)] + ["once only here", None]
+    df = docs(spark, list(enumerate(texts)))
+    core, arcs = B.learn(B.training(df, B.F.col("doc_id") % 5 == 1))
+    got = {r.doc_id: r for r in B.score(df, core, arcs, block=block).collect()}
+    rows = [["<s>", *(t or "").split(), "</s>"] for t in texts]
+    learned = [r for i, r in enumerate(rows) if i % 5 != 1]
+    pairs, words = Counter(p for r in learned for p in zip(r, r[1:])), Counter(w for r in learned for w in r[1:])
+    before, arcs_of = Counter(w for r in learned for w in r[:-1]), Counter(a for a, _ in pairs)
+    assert max(before[w] for w in words) < 1e4 and min(pairs.values()) == 1
+    for i, r in enumerate(rows):
+        want = 0.0
+        for a, b in zip(r, r[1:]):
+            unigram = 10 ** core.word(np.array([words[b]]))[0]
+            want += math.log10((max(pairs[a, b] - B.PAIR_CUT, 0) + B.PAIR_CUT * arcs_of[a] * unigram) / before[a] if before[a] else unigram)
+        assert math.isclose(got[i].score, want, rel_tol=1e-9)
