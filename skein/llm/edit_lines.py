@@ -4,7 +4,7 @@ Lines match within `EDITS` edits. A line is cut into EDITS + 1 even segments; of
 some segment of the shorter unchanged, at a place that the number and the length of the segments narrow down. So each
 line is indexed under (length, segment number, segment) and probes for every length from its own down to EDITS less.
 Candidates are verified by a banded bit-parallel edit distance. Classes are the connected components of the matches and
-of equal lines; the first line of a class (by document id, then position) stays, the others go.
+of equal lines; the first line of a class (by document id, then position, then the text's hash) stays, the others go.
 
 Scale: each task emits the keys of its different lines; the index's leaders (one row a key, pre-aggregated) meet the
 probes in one join whose skewed keys Spark splits; only members of buckets that two lines share are written. Lines are
@@ -12,7 +12,8 @@ known by a 64-bit hash (two different ones of n share one with a probability of
 
 Defined results: a null text has no lines, an empty one has one empty line; lines under `LEAST` characters without
 the white space around them always stay, those under `FUZZY` characters match equal ones only; rows that share their
-id and text count as one and keep or lose the same lines; a null id comes before others.
+id and text count as one and keep or lose the same lines, rows that share an id (or have none) but not their text are
+apart; a null id comes before others.
 """
 
 from __future__ import annotations
@@ -90,9 +91,10 @@ def within(a: str, b: str, k: int) -> bool:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, pos, id, line): every line of every text, with its hash."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line"))
-    return lines.select("doc", "pos", F.xxhash64("line").alias("id"), "line")
+    """(doc, hash, pos, id, line): every line of every text, with its hash and that of its text."""
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text"))
+    lines = texts.select("doc", "hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select("doc", "hash", "pos", F.xxhash64("line").alias("id"), "line")
 
 
 def keys(lines: DataFrame, edits: int, indexed_only: bool) -> DataFrame:
@@ -163,30 +165,31 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """(doc, pos, first_doc, first_pos) of every line that goes, with the first line of its class."""
+    """(doc, hash, pos, first_doc, first_pos) of every line that goes, with the first line of its class; hash: of the text, as ids may repeat or lack."""
     roots = line_classes(docs, id_col, text_col, edits)
-    lines = line_rows(docs, id_col, text_col).filter(F.length(F.trim("line")) >= LEAST).select("doc", "pos", "id")
-    by_line = lines.groupBy("id").agg(F.min(F.struct("doc", "pos")).alias("at"), F.max(F.struct("doc", "pos")).alias("to"))
+    place = F.struct("doc", "pos", "hash")
+    lines = line_rows(docs, id_col, text_col).filter(F.length(F.trim("line")) >= LEAST).select("doc", "hash", "pos", "id")
+    by_line = lines.groupBy("id").agg(F.min(place).alias("at"), F.max(place).alias("to"))
     by_line = by_line.join(roots, "id", "left").filter("root is not null or not at <=> to").select("id", F.coalesce("root", "id").alias("root"), "at")
     by_line = written(by_line, "repeated")
     firsts = by_line.groupBy("root").agg(F.min("at").alias("first"))
     known = by_line.join(firsts, "root").select("id", "first")
-    return lines.join(known, "id").filter(~F.struct("doc", "pos").eqNullSafe(F.col("first"))).select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    return lines.join(known, "id").filter(~place.eqNullSafe(F.col("first"))).select("doc", "hash", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """(id, n_lines, n_duplicates, duplicates) for each row; duplicates: (pos, first_doc, first_pos) by pos."""
-    gone = duplicate_lines(docs, id_col, text_col, edits).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "first_doc", "first_pos"))).alias("duplicates"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).alias("lines"))
+    gone = duplicate_lines(docs, id_col, text_col, edits).distinct().groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("pos", "first_doc", "first_pos"))).alias("duplicates"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("own"), F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).alias("lines"))
     rows = rows.withColumn("lines", F.when(F.col("lines") < 0, 0).otherwise(F.col("lines")).cast("long"))
-    out = rows.join(gone, rows["id"].eqNullSafe(gone["doc"]), "left")
+    out = rows.join(gone, rows["id"].eqNullSafe(gone["doc"]) & (rows["own"] == gone["hash"]), "left")
     return out.select(F.col("id").alias(id_col), F.col("lines").alias("n_lines"), F.coalesce(F.size("duplicates"), F.lit(0)).cast("long").alias("n_duplicates"), F.coalesce("duplicates", F.array().cast(gone.schema["duplicates"].dataType)).alias("duplicates"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """The rows of docs, all columns, without the lines that go; a text that loses all its lines becomes empty."""
-    gone = duplicate_lines(docs, id_col, text_col, edits).groupBy("doc").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc", "__doc")
+    gone = duplicate_lines(docs, id_col, text_col, edits).groupBy("doc", "hash").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"doc": "__doc", "hash": "__hash"})
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("__gone", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), "\n")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__doc"]), "left")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__doc"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__hash"]), "left")
     return out.select(*[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -117,3 +117,15 @@ def test_awkward(spark):
     assert E.dedup_lines(docs(spark, [])).count() == 0
     report = {r.doc_id: r for r in E.dedup_report(docs(spark, rows)).collect()}
     assert (report[1].n_lines, report[2].n_lines, report[7].n_duplicates, report[9].n_duplicates) == (0, 1, 4, 1)
+
+
+@pytest.mark.parametrize("doc", [None, 7])
+def test_rows_without_an_id_of_their_own(spark, doc):
+    """Rows that share an id, or have none, lose their own repeated lines only, and one of them keeps a line that both begin with."""
+    line = [f"line number {k} that no other text has {k * 7919}" for k in range(8)]
+    shared, again = "a line that some texts hold at other places", "a line that two texts hold at the same place"
+    rows = [(doc, "\n".join([line[0], shared, line[1]])), (doc, "\n".join([line[2], line[3], shared])), (doc, "\n".join([line[4], line[5], line[6]])), (doc, again + "\n" + line[7]), (doc, again)]
+    got = sorted(r.text for r in E.dedup_lines(docs(spark, rows)).collect())
+    lines = [x for t in got for x in t.split("\n")]
+    assert len(got) == 5 and all(lines.count(x) == 1 for x in [*line, shared, again])
+    assert sum(r.n_duplicates for r in E.dedup_report(docs(spark, rows)).collect()) == 2
