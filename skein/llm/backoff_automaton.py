@@ -1,191 +1,215 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are histories, arcs are n-grams with their smoothed log10 probability, and a failure arc leads from each state
-to the one of a shorter history:
-
-* a state for every word of the training texts, and the begin of a text, with an arc for every word (or the end) that
-  follows it there, however rare; failure to
-* the unigram state, with an arc for every word of the training texts; failure to
-* the state of unknown words, one event that takes what discounting the counts has left.
-
-Both levels are interpolated absolute discounting (three discounts from the counts of counts for words), so the
-probabilities over the known words, the end and the unknown event sum to one in every state. A text is scored in one
-traversal from left to right: the state is the last word, and each token follows its arc or fails.
-
-Scale: all adjacent pairs are counted, pre-aggregated in the tasks; a word's count and the number of its arcs follow
-from its pairs. Both grow with the corpus and never leave Spark's rows: texts are dealt to blocks of bounded size, each
-block asks for its different words and pairs, and meets them in a cogroup. Words and pairs are known by 64-bit hashes
-(two different ones of n share one with a probability of n^2 / 2^65).
-
-Defined results: a null text is empty (one token, the end); a null id counts as learned from; without any training
-row every token is the unknown event with probability one; repeated rows score alike.
+States are histories that the training texts hold: two words, one word (or the begin of a text), and none. Arcs are the
+n-grams of the training texts, each however rare: from a state, a token leads along its arc to the state of the last
+two words, with the log10 of its smoothed probability. Where a state has no arc for a token, its failure arc leads to
+the history without its first word, from two words to one, to none, and there to the state of unknown words, one event.
+A text is scored in one traversal from left to right, which carries the state and adds up weights.
+
+Smoothing is hierarchical: a history h of n occurrences gives a token the probability (count + K p) / (n + K), where p
+is that of the shorter history; K / (n + K) is the weight of the failure arc. The last level is Witten-Bell's: known
+words share N / (N + V), the unknown event has V / (N + V). So in every state the probabilities of the known words, the
+end and the unknown event sum to one.
+
+Scale: all n-grams up to three words are counted, and nothing of them leaves Spark's rows. Texts are packed into blocks
+of bounded size. Each block hands on its different n-grams once, as sorted codes with their counts in its training
+texts; the codes of a slice of the code space meet in a group, whose size is bounded by the number of slices (an n-gram
+is there once a block, so a frequent one is no hot key), and the total of each goes back to the block, in the order of
+its codes. Blocks then meet their totals in a cogroup. Codes are hashes cut to 24 bits more than the corpus has bytes
+(64 at most), so that an n-gram is taken for another one with a probability below 2^-24 at any size up to a terabyte.
+
+Defined results: a null text is empty (one token, the end); a null id counts as learned from where the condition is
+null; without any training row every token is the unknown event with probability one; repeated rows score alike.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_of, unpacked, written
-from .order_minhash import Hashes, mixed
+from .common import text_of, written
+from .order_minhash import mixed
 
-PAIR_CUT = 0.6
-BLOCK = 6_000_000  # characters of a block of texts
-HELD = 2_000_000  # pairs that a task counts before it hands them on
-BEGIN, END = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)  # stand for no word
+ORDERS = 3
+K2, K3 = 8.0, 2.0  # how many occurrences of a history the shorter history is worth
+BLOCK = 16_000_000  # bytes of a block of texts
+SLICE = 48_000_000  # bytes of text for each slice of the code space
+CACHE = 400_000
+BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)  # stand for no word
+FACTOR = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def tokens(text: str) -> list[bytes]:
-    """A-Z in lower case; bytes.split cuts at exactly \\x20 and \\x09 to \\x0D."""
-    return text.encode().lower().split()
-
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
 
-def hashed(words: list[bytes], hashes: Hashes) -> np.ndarray:
-    """The begin, the words and the end as hashes."""
-    return np.concatenate([[BEGIN], np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), [END]])
 
-
-def pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed(a * np.uint64(0xBF58476D1CE4E5B9) + b)
+def tokens(raw: bytes) -> list[bytes]:
+    """A-Z in lower case; bytes.split cuts at exactly \\x20 and \\x09 to \\x0D."""
+    return raw.lower().split()
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(code, a, n): all adjacent tokens, the begin and the end included; a is the first one's hash."""
+def blocks(docs: DataFrame, learned: Column, id_col: str, text_col: str, block: int) -> DataFrame:
+    """(block, doc, size, learn, t): neighbouring texts, packed; size: bytes of each text; learn: whether it is learned from."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        hashes, held, size = Hashes(), [], 0
-
-        def rows():
-            x = np.concatenate(held) if held else np.zeros((0, 2), np.uint64)
-            codes, at, n = np.unique(x[:, 0], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(x[at, 1].view(np.int64)), pa.array(n.astype(np.int64))], ["code", "a", "n"])
+        number, held, size = 0, ([], [], [], []), 0
+        press = zstandard.ZstdCompressor(level=3).compress
+
+        def row():
+            nonlocal number
+            number += 1
+            key = (TaskContext.get().partitionId() << 32) + number
+            ids, sizes, learn, raw = held
+            ids = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int64())), pa.array([learn], pa.list_(pa.bool_())), pa.array([press(b"".join(raw))], pa.binary())],
+                ["block", "doc", "size", "learn", "t"],
+            )
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                x = hashed(tokens(text), hashes)
-                held.append(np.stack([pair_codes(x[:-1], x[1:]), x[:-1]], axis=1))
-                size += len(x)
-                if size > HELD:
-                    yield rows()
-                    held, size = [], 0
-        yield rows()
-
-    return texts.mapInArrow(run, "code long, a long, n long").groupBy("code", "a").agg(F.sum("n").alias("n"))
-
-
-class Core:
-    """What every task gets: totals and discounts; and the states and arcs of some words, if any are given."""
-
-    def __init__(self, n: int, v: int, ends: int, of: dict[int, int], words: dict[bytes, int], pairs: dict[int, int]):
-        """of: how many tokens occur once, twice, ..."""
-        self.n, self.v, self.ends = n, v, ends
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.width = len(words) + 3  # the words, the end, the begin, rarer words
-        y = of.get(1, 0) / max(1, of.get(1, 0) + 2 * of.get(2, 0))
-        cut = [1 - 2 * y * of.get(2, 0) / of[1] if of.get(1) else 0.5] + [k - (k + 1) * y * of.get(k + 1, 0) / of[k] if of.get(k) else 0.5 for k in (2, 3)]
-        self.cut = np.array([0.0, *(min(max(x, 0.1), k - 0.1) for k, x in enumerate(cut, 1))])
-        kinds = np.array([0, of.get(1, 0), of.get(2, 0), v - of.get(1, 0) - of.get(2, 0)], float)
-        self.unknown = math.log10(float(self.cut @ kinds) / n) if n else 0.0
-        self.count = np.array([*words.values(), ends], np.int64)
-        self.unigram = self.word(self.count)
-        histories = np.array([*words.values(), 0, ends, max(0, n - ends - sum(words.values()))], float)
-        self.codes = np.array(sorted(pairs), np.int64)
-        share, left = np.zeros(0), np.ones(self.width)
-        if len(self.codes):
-            history = self.codes // self.width
-            share = (np.array([pairs[c] for c in self.codes.tolist()], float) - PAIR_CUT) / histories[history]
-            left = np.maximum(1 - np.bincount(history, share, self.width), 1e-12)
-            share = share + left[history] * 10.0 ** self.unigram[self.codes % self.width]
-        self.fail, self.arc = np.log10(left), np.log10(share)
-
-    def word(self, counts: np.ndarray) -> np.ndarray:
-        """The unigram arcs of words with these counts; 0 fails to the unknown event."""
-        if not self.n:
-            return np.zeros(len(counts))
-        kept = np.maximum(counts - self.cut[np.minimum(counts, 3)], 1e-300) / self.n
-        return np.where(counts > 0, np.log10(kept), self.unknown)
-
-    def follow(self, pairs: np.ndarray, histories: np.ndarray, arcs: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """The steps of a traversal: from states of these counts and numbers of arcs, along arcs of these counts or by failure."""
-        seen = np.maximum(histories, 1)
-        left = np.where(histories > 0, PAIR_CUT * arcs / seen, 1.0)
-        return np.log10(np.where(pairs > 0, pairs - PAIR_CUT, 0.0) / seen + left * 10.0**unigram)
-
-
-def learn(texts: DataFrame) -> tuple[Core, DataFrame]:
-    """The core, and (key, n, arcs) of every word and the begin (by its hash) and of every pair (by its code, arcs 0) of all training texts (t)."""
-    pairs = written(pair_counts(texts), "pairs")
-    states = written(pairs.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("arcs")), "states")  # what follows a word is a word or the end
-    word = F.col("a") != int(BEGIN.view(np.int64))
-    once, twice, thrice, four, total, kinds, ends = states.agg(*[F.count_if(word & (F.col("n") == k)) for k in (1, 2, 3, 4)], F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)), F.count_if(word), F.coalesce(F.sum(F.when(~word, F.col("n"))), F.lit(0))).first()
-    n, v = total + ends, kinds + (ends > 0)
-    of = dict(enumerate((once, twice, thrice, four), 1))
-    if ends in of:
-        of[ends] += 1
-    arcs = pairs.select(F.col("code").alias("key"), "n", F.lit(0).cast("long").alias("arcs")).union(states.select("a", "n", "arcs"))
-    return Core(n, v, ends, of, {}, {}), arcs
-
-
-def score(docs: DataFrame, core: Core, arcs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("t"))
-    chars = src.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    dealt = packed(src.withColumn("block", F.pmod(F.xxhash64("doc", "t"), F.lit(chars // block + 1))), "t").repartition("block")
+            begin = 0
+            for i, (learn, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                raw = text.encode()
+                held[1].append(len(raw))
+                held[2].append(learn)
+                held[3].append(raw)
+                size += len(raw) + 1
+                if size > block:
+                    held[0].append(batch.column(0).slice(begin, i + 1 - begin))
+                    yield row()
+                    begin, held, size = i + 1, ([], [], [], []), 0
+            if begin < batch.num_rows:
+                held[0].append(batch.column(0).slice(begin))
+        if held[1]:
+            yield row()
+
+    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(learned, F.lit(True)).alias("learn"), text_of(text_col).alias("t"))
+    return rows.mapInArrow(run, f"block long, doc array<{kind}>, size array<long>, learn array<boolean>, t binary")
+
+
+class Grams:
+    """The n-grams of a block: its different codes of each order, and where they occur."""
+
+    def __init__(self, sizes: list[int], packed: bytes, hashes: Hashes, bits: int):
+        raw, at, parts, counts = zstandard.decompress(packed), 0, [], []
+        for size in sizes:
+            words = tokens(raw[at : at + size])
+            at += size
+            parts += [BEGIN, *map(hashes.__getitem__, words), END]
+            counts.append(len(words) + 2)
+        x = np.array(parts, np.uint64)
+        del parts
+        self.starts = np.cumsum([0, *counts])[:-1]
+        begins = np.zeros(len(x), bool)
+        begins[self.starts] = True
+        self.at = [np.flatnonzero(~begins)]  # the tokens
+        self.at += [self.at[0], self.at[0][~begins[self.at[0] - 1]]]  # those with a history of one, of two words
+        self.size, self.begins = len(x), begins
+        shift = np.uint64(64 - bits)
+        two = np.zeros_like(x)
+        two[1:] = mixed(x[:-1] * FACTOR + x[1:])
+        three = mixed(two[self.at[2] - 1] * FACTOR + x[self.at[2]])
+        self.codes, self.inverse = zip(*(np.unique(c >> shift, return_inverse=True) for c in (mixed(x[self.at[0]]), two[self.at[1]], three)), strict=True)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(z: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(z), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def totals(held: DataFrame, slices: int, bits: int) -> DataFrame:
+    """(block, gram, slice, totals, kinds, tokens): the counts in all training texts of each block's n-grams, in the order of their codes; the different ones of a slice and their sum in one of its rows."""
 
     def ask(batches):
-        hashes, held, size = Hashes(), defaultdict(list), 0
-
-        def rows():
-            keys = [np.unique(np.concatenate(x)).view(np.int64) for x in held.values()]
-            numbers = np.repeat(np.array(list(held), np.int64), [len(x) for x in keys])
-            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], ["block", "key"])
-
+        hashes = Hashes()
+        bounds = np.array([-((-k << bits) // slices) for k in range(1, slices)], np.uint64)
         for batch in batches:
-            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = hashed(tokens(unpacked(text)), hashes)
-                held[number] += [x[:-1], pair_codes(x[:-1], x[1:])]
-                size += len(x)
-                if size > HELD:
-                    yield rows()
-                    held.clear()
-                    size = 0
-        yield rows()
-
-    asked = dealt.select("block", "t").mapInArrow(ask, "block long, key long")
-    found = asked.join(arcs, "key").select("block", "key", "n", "arcs")
+            for number, sizes, learn, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                grams = Grams(sizes, t, hashes, bits)
+                learned = np.repeat(np.array(learn), np.diff([*grams.starts, grams.size]))
+                for gram in range(ORDERS):
+                    codes = grams.codes[gram]
+                    counts = np.bincount(grams.inverse[gram], learned[grams.at[gram]], len(codes))
+                    cuts = [0, *np.searchsorted(codes, bounds).tolist(), len(codes)]
+                    found = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([gram] * len(found), pa.int32()), pa.array([k for k, _, _ in found], pa.int32()), pa.array([number] * len(found), pa.int64()), pa.array([pack(np.diff(codes[a:b], prepend=np.uint64(0))) for _, a, b in found], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in found], pa.binary())],
+                        ["gram", "slice", "block", "codes", "counts"],
+                    )
+
+    def add(rows: pa.Table) -> pa.Table:
+        codes = [np.cumsum(unpack(z), dtype=np.uint64) for z in rows.column("codes").to_pylist()]
+        ends = np.cumsum([len(c) for c in codes])
+        different, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+        del codes
+        total = np.bincount(inverse, np.concatenate([unpack(z) for z in rows.column("counts").to_pylist()]).astype(float), len(different)).astype(np.int64)
+        size, rest = len(ends), [0] * (len(ends) - 1)
+        return pa.table({"block": rows.column("block"), "gram": rows.column("gram"), "slice": rows.column("slice"), "totals": pa.array([pack(total[inverse[a:b]]) for a, b in zip([0, *ends], ends)], pa.binary()), "kinds": pa.array([int((total > 0).sum()), *rest][:size], pa.int64()), "tokens": pa.array([int(total.sum()), *rest][:size], pa.int64())})
+
+    asked = held.select("block", "size", "learn", "t").mapInArrow(ask, "gram int, slice int, block long, codes binary, counts binary")
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a slice is much work for its bytes
+    return asked.repartition(tasks, "gram", "slice").groupBy("gram", "slice").applyInArrow(add, "block long, gram int, slice int, totals binary, kinds long, tokens long")
+
+
+def traverse(word: np.ndarray, history: list[np.ndarray], arc: list[np.ndarray], n: int, v: int) -> np.ndarray:
+    """The weight of each step: from the longest history that has occurrences, along the token's arc if it has one, else by
+    failure to the shorter history. word: the token's count; history, arc: occurrences of the histories of one and two
+    words before it and of the n-grams that they make with it (0: no such state or arc)."""
+    out = np.log10(np.where(word > 0, word, v) / (n + v)) if n else np.zeros(len(word))
+    for count, gram, worth in zip(history, arc, (K2, K3), strict=True):
+        fail = np.log10(worth / (count + worth))  # 0 where there is no such state
+        out = np.where(gram > 0, np.log10((gram + worth * 10.0**out) / (count + worth)), fail + out)
+    return out
+
+
+def scores(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row; those where `learned` is not false are learned from."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    held = written(blocks(docs, learned, id_col, text_col, block), "blocks")
+    size, ends = held.agg(F.coalesce(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("learn", lambda x: x))), F.lit(0))).first()
+    slices = int(size) // SLICE + 1
+    bits = min(64, int(size + 2).bit_length() + 24)
+    found = written(totals(held, slices, bits), "totals")
+    n, v = found.filter("gram = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
     def answer(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        keys, n, arcs = (np.append(rows.column(c).to_numpy(), x) for c, x in (("key", 0), ("n", 0), ("arcs", 0)))
-        keys, at = np.unique(keys, return_index=True)
-        n, arcs = n[at], arcs[at]
-
-        def counts(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(keys, wanted.view(np.int64)), len(keys) - 1)
-            hit = keys[at] == wanted.view(np.int64)
-            return np.where(hit, n[at], 0), np.where(hit, arcs[at], 0)
-
-        hashes, total = Hashes(), core.n + core.v + 1
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for text in texts.column("t").to_pylist():
-            x = hashed(tokens(unpacked(text)), hashes)
-            histories, states = counts(x[:-1])
-            words = np.append(histories[1:], core.ends)
-            out["n_tokens"].append(len(words))
-            out["n_known"].append(int((words > 0).sum()))
-            out["base_score"].append(float(np.log10((words + 1) / total).sum()))
-            out["score"].append(float(core.follow(counts(pair_codes(x[:-1], x[1:]))[0], histories, states, core.word(words)).sum()))
-        size = len(out["score"])
-        return pa.table({id_col: texts.column("doc"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([core.n] * size, pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
+        grams = Grams(texts.column("size")[0].as_py(), texts.column("t")[0].as_py(), Hashes(), bits)
+        order = sorted(zip(rows.column("gram").to_pylist(), rows.column("slice").to_pylist(), rows.column("totals").to_pylist(), strict=True))
+        count = []
+        for gram in range(ORDERS):
+            x = np.zeros(grams.size)
+            parts = [unpack(z) for k, _, z in order if k == gram]
+            if parts:
+                x[grams.at[gram]] = np.concatenate(parts)[grams.inverse[gram]]
+            count.append(x)
+        at, states = grams.at[0], np.where(grams.begins, ends, count[0])
+        two = np.where(grams.begins[at - 1], 0, count[1][at - 1])  # occurrences of the two words before
+        weight = traverse(count[0][at], [states[at - 1], two], [count[1][at], count[2][at]], n, v)
+        first = grams.starts - np.arange(len(grams.starts))
+        return pa.table(
+            {
+                id_col: texts.column("doc").combine_chunks().flatten(),
+                "n_tokens": pa.array(np.diff([*first, len(at)]), pa.int64()),
+                "n_known": pa.array(np.add.reduceat((count[0][at] > 0).astype(np.int64), first), pa.int64()),
+                "train_tokens": pa.array([n] * len(first), pa.int64()),
+                "base_score": pa.array(np.add.reduceat(np.log10((count[0][at] + 1) / (n + v + 1)), first), pa.float64()),
+                "score": pa.array(np.add.reduceat(weight, first), pa.float64()),
+            }
+        )
 
     schema = f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(answer, schema)
-
-
-def training(docs: DataFrame, held_out: Column, text_col: str = "text") -> DataFrame:
-    return docs.filter(~F.coalesce(held_out, F.lit(False))).select(text_of(text_col).alias("t"))
+    return held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(answer, schema)

@@ -43,8 +43,7 @@ def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    core, arcs = backoff_automaton.learn(backoff_automaton.training(docs, held_out(7, 2)))
-    scored = backoff_automaton.score(docs, core, arcs)
+    scored = backoff_automaton.scores(docs, ~held_out(7, 2))
     return scored.select("doc_id", F.coalesce(held_out(7, 2), F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

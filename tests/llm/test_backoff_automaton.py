@@ -7,10 +7,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from skein.llm import backoff_automaton as B
 from skein.llm.queries import QUERIES
 
-from .helpers import AWKWARD, SF01, docs
+from .helpers import AWKWARD, SF, SF01, docs
 
 
 def lower(text):
@@ -34,46 +36,91 @@ def test_table(spark):
     assert h.score.sum() > h.base_score.sum() and (h.score > h.base_score).mean() > 0.5
 
 
+class Slow:
+    """The automaton as tables of states, arcs and failure arcs, walked a token at a time."""
+
+    def __init__(self, rows):
+        self.counts = [Counter(), Counter(), Counter()]
+        for r in rows:
+            r = ["<s>", *r, "</s>"]
+            self.counts[0].update(r[1:])
+            self.counts[1].update(zip(r, r[1:]))
+            self.counts[2].update(zip(r, r[1:], r[2:]))
+        self.n, self.v = sum(self.counts[0].values()), len(self.counts[0])
+        self.seen = {(): self.n, **{(w,): c for w, c in self.counts[0].items()}, ("<s>",): len(rows)} | {h: c for h, c in self.counts[1].items() if h[1] != "</s>"}
+        self.arcs = {(): {w: math.log10(c / (self.n + self.v)) for w, c in self.counts[0].items()}}
+        self.fail = {}
+        for length, worth in ((1, B.K2), (2, B.K3)):
+            for gram, c in self.counts[length].items():
+                h, w = gram[:-1], gram[-1]
+                self.arcs.setdefault(h, {})[w] = math.log10((c + worth * 10 ** self.step(h[1:], w)[0]) / (self.seen[h] + worth))
+            self.fail |= {h: math.log10(worth / (c + worth)) for h, c in self.seen.items() if len(h) == length}
+
+    def step(self, state, w):
+        total = 0.0
+        while True:
+            if state and state not in self.seen:
+                state = state[1:]
+            elif w in self.arcs.get(state, ()):
+                return total + self.arcs[state][w], (*state, w)[-2:]
+            elif not state:
+                return total + (math.log10(self.v / (self.n + self.v)) if self.n else 0.0), (w,)
+            else:
+                total += self.fail[state]
+                state = state[1:]
+
+    def score(self, row):
+        state, total = ("<s>",), 0.0
+        for w in [*row, "</s>"]:
+            weight, state = self.step(state, w)
+            total += weight
+        return total
+
+
+@pytest.mark.parametrize("block", [20_000, B.BLOCK])
+def test_table_equals_automaton(spark, block):
+    texts = pd.read_parquet(f"{SF}/documents.parquet")
+    rows = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for i, t in zip(texts.doc_id, texts.text)}
+    slow = Slow([r for i, r in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    got = B.scores(spark.read.parquet(f"{SF}/documents.parquet"), held(7, 2), block=block).collect() if block < B.BLOCK else QUERIES["op7_backoff_automaton"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        assert math.isclose(r.score, slow.score(rows[r.doc_id]), rel_tol=1e-9)
+
+
+def held(modulus, remainder):
+    return ~(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder)
+
+
 def test_probabilities_sum_to_one():
-    counts = {b"ab": 5, b"ba": 3}
-    width = 5
-    pairs = {0 * width + 1: 3, 3 * width + 0: 2, 1 * width + 2: 2, 4 * width + 0: 2}
-    core = B.Core(13, 6, 2, {1: 3, 2: 1, 3: 1}, counts, pairs)
-    mass = (10 ** core.word(np.array([5, 3, 1, 1, 1, 2]))).sum() + 10**core.unknown
-    assert math.isclose(mass, 1, rel_tol=1e-9)
-    for h in (0, 1, 3, 4):  # a state's arcs and what its failure leads to
-        arcs = {int(c % width): 10**p for c, p in zip(core.codes, core.arc) if c // width == h}
-        assert arcs and math.isclose(sum(arcs.values()) + 10 ** core.fail[h] * (1 - sum(10 ** core.unigram[w] for w in arcs)), 1, rel_tol=1e-9)
-
-
-@pytest.mark.parametrize("block", [40, 10**6])
+    slow = Slow(["a b a c".split(), "b a c c".split(), "a a".split(), []])
+    for state in [(), ("<s>",), ("a",), ("c", "c"), ("a", "c"), ("<s>", "a"), ("z",), ("z", "b")]:
+        mass = sum(10 ** slow.step(state, w)[0] for w in (*slow.counts[0], "never seen"))
+        assert math.isclose(mass, 1, rel_tol=1e-12)
+        for w in (*slow.counts[0], "never seen"):  # the vectorised steps are the same
+            h = state[-1:]
+            word, one, two = slow.counts[0][w], slow.seen.get(h, 0) if h else 0, slow.seen.get(state, 0) if len(state) == 2 else 0
+            grams = [slow.counts[1][(*h, w)] if h else 0, slow.counts[2][(*state, w)] if len(state) == 2 else 0]
+            step = B.traverse(*(np.array([x], float) for x in (word,)), [np.array([one]), np.array([two])], [np.array([g]) for g in grams], slow.n, slow.v)
+            assert math.isclose(step[0], slow.step(state, w)[0], rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("block", [40, B.BLOCK])
 def test_awkward(spark, block):
     df = docs(spark, AWKWARD)
-    core, arcs = B.learn(B.training(df, B.F.col("doc_id") == 4))
-    got = B.score(df, core, arcs, block=block).collect()
+    got = B.scores(df, F.col("doc_id") != 4, block=block).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in AWKWARD)
     by = {r.doc_id: r for r in got}
     assert by[1].n_tokens == 1 and by[4].n_tokens == 4 and by[4].score == by[5].score and by[6].n_tokens == 30001
-    none, no_arcs = B.learn(B.training(docs(spark, []), B.F.lit(False)))
-    r = B.score(docs(spark, [(1, "new words")]), none, no_arcs).collect()[0]
-    assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and math.isfinite(r.score)
-
-
-@pytest.mark.parametrize("block", [4000, 10**6])
-def test_every_pair_is_an_arc(spark, block):
-    """Words under a ten thousandth of all tokens are states, and pairs that occur once are arcs."""
-    texts = [" ".join(f"w{(i * 37 + k * (1 + i % 3)) % 12000}" for k in range(120)) for i in range(250)] + ["once only here", None]
-    df = docs(spark, list(enumerate(texts)))
-    core, arcs = B.learn(B.training(df, B.F.col("doc_id") % 5 == 1))
-    got = {r.doc_id: r for r in B.score(df, core, arcs, block=block).collect()}
-    rows = [["<s>", *(t or "").split(), "</s>"] for t in texts]
-    learned = [r for i, r in enumerate(rows) if i % 5 != 1]
-    pairs, words = Counter(p for r in learned for p in zip(r, r[1:])), Counter(w for r in learned for w in r[1:])
-    before, arcs_of = Counter(w for r in learned for w in r[:-1]), Counter(a for a, _ in pairs)
-    assert max(before[w] for w in words) < 1e4 and min(pairs.values()) == 1
-    for i, r in enumerate(rows):
-        want = 0.0
-        for a, b in zip(r, r[1:]):
-            unigram = 10 ** core.word(np.array([words[b]]))[0]
-            want += math.log10((max(pairs[a, b] - B.PAIR_CUT, 0) + B.PAIR_CUT * arcs_of[a] * unigram) / before[a] if before[a] else unigram)
-        assert math.isclose(got[i].score, want, rel_tol=1e-9)
+    r = B.scores(docs(spark, [(1, "new words")]), F.lit(False)).collect()[0]
+    assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+    assert B.scores(docs(spark, []), F.lit(True)).count() == 0
+
+
+def test_slices(spark, monkeypatch):
+    """Many slices give what one gives."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    one = sorted(map(tuple, B.scores(df, held(7, 2)).collect()))
+    monkeypatch.setattr(B, "SLICE", 20_000)
+    many = sorted(map(tuple, B.scores(df, held(7, 2), block=50_000).collect()))
+    assert [x[:4] for x in one] == [x[:4] for x in many] and np.allclose([x[4:] for x in one], [x[4:] for x in many], rtol=1e-9)
