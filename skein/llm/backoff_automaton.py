@@ -36,7 +36,7 @@ from .common import text_of, written
 from .order_minhash import mixed
 
 ORDERS = 3
-K2, K3 = 8.0, 2.0  # how many occurrences of a history the shorter history is worth
+K2, K3 = 500.0, 2.0  # how many occurrences of a history the shorter history is worth (chosen by held-out likelihood)
 BLOCK = 16_000_000  # bytes of a block of texts
 SLICE = 48_000_000  # bytes of text for each slice of the code space
 CACHE = 400_000
