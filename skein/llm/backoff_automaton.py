@@ -37,8 +37,8 @@ from .order_minhash import mixed
 
 ORDERS = 3
 K2, K3 = 500.0, 2.0  # how many occurrences of a history the shorter history is worth (chosen by held-out likelihood)
-BLOCK = 16_000_000  # bytes of a block of texts
-SLICE = 48_000_000  # bytes of text for each slice of the code space
+BLOCK = 12_000_000  # bytes of a block of texts
+SLICE = 16_000_000  # bytes of text for each slice of the code space
 CACHE = 400_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)  # stand for no word
 FACTOR = np.uint64(0xBF58476D1CE4E5B9)
