@@ -2,17 +2,25 @@
 
 Each page becomes a token stream of block elements and text slots. The streams of a host's pages are aligned one after
 another: equal tokens match, adjacent repeats become repeated groups, what only one side has becomes optional, and
-texts become slots. The result is a union-free regular expression, the wrapper of the host. With the text mass that
-pages of the host have under each of its paths, it says which container holds the article; the texts in that
-container's slots are the page's main text.
-
-Scale: a task emits a folded stream and per-path sums for its pages; equal streams of a host are merged before and
-after the shuffle, so a hot host costs as much as it has different layouts. Wrappers are written to the shared folder
-and joined to the pages; Spark broadcasts them only if that table is below its threshold.
-
-Defined results: a null page is an empty one (text ''); a null or odd url gives the host ''; a page that lacks the
-wrapper's container is read by the wrapper that it makes alone; a page without any container is read as a whole,
-without its boilerplate; repeated pages give repeated rows.
+texts become slots. The result is a union-free regular expression, the wrapper of the host. Each slot of it gathers
+what all pages have there: texts, characters, characters in links or in furniture by name, and a sketch of how many
+different texts (the lowest hashes). A page is read by aligning its own stream with its host's wrapper: its text is in
+the wrapper's article slots.
+
+Which slots these are: a slot is a template's if its texts are the same ones on many pages, and links if most of it is
+linked; the text that is left has its mass in one part of the wrapper, found by going down from the root while one
+single container holds most of it. Names of elements, classes and roles count as evidence beside that, not against it:
+where slots of furniture by name, or repeated ones, hold most of a host's text, that evidence is dropped.
+
+Scale: a task emits one row for each different stream of a host, with its slots' sums. Rows of a host are aligned in
+groups of about `FAN`, the results again, until a host's are few; so a hot host is split and never in one task as a
+whole. Wrappers are written to the shared folder and joined to the pages; Spark broadcasts them only if that table is
+below its threshold, and can split the join of a hot host otherwise.
+
+Defined results: a null page is an empty one (text ''); a null or odd url gives the host ''; elements nested deeper
+than `DEEP` bound blocks but are no tokens, so their text is their ancestor's; a part of a page that its wrapper does
+not match is text where the wrapper's parts around it are; a page of which its wrapper reads nothing is read by the one
+that it makes alone; repeated pages give repeated rows and count once as evidence.
 """
 
 from __future__ import annotations
@@ -20,9 +28,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import defaultdict
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +46,30 @@ NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary dialog center head hr menu search hgroup".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 BOILER = frozenset("nav header footer aside form head menu dialog search button label input fieldset".split())
+BOXES = frozenset("html body article main section div td center dd table tbody tr form details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 # Words that name page furniture in class, id and role attributes.
 FURNITURE = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|adslot|banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|notification|alert|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|complementary|footer|contentinfo|masthead|header|comments?|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|search|skip|hidden)(?:$|[-_\s\d])", re.I)
 
+DEEP = 48  # levels of elements that are tokens
+FAN = 64  # streams of a host that are aligned in one group
+SKETCH = 16  # hashes that a slot keeps
+SHARE, FEW = 0.1, 10  # a slot with fewer different texts a page is a template's, on so many pages at least
+MOST = 0.6  # of the mass that the container of the text holds
+
+# A wrapper is a list of nodes [token, optional?, repeated?, children, slot]; "#" is a text slot and "()" a repeated
+# group. A slot is [texts, characters, of them in links, of them in furniture by name, lowest hashes, blocks of the page].
 
 
-def parse(page: str, skeleton: bool = False) -> tuple[list[tuple[str, str, int]], list]:
-    """The page's text blocks outside boilerplate as (path, text, characters in links), and its token stream as a tree."""
+def parse(page: str) -> tuple[list[str], list]:
+    """The page's text blocks, and its token stream as a folded tree whose slots name the blocks."""
     root: list = []
-    stack = [("", "", False, root)]  # tag, path, in boilerplate, children
-    blocks, text, links, in_link = [], [], 0, 0
+    stack = [("", False, root)]  # tag, in furniture by name, children
+    blocks: list[str] = []
+    text: list[str] = []
+    links, in_link = 0, 0
 
     def flush() -> None:
         nonlocal links
@@ -57,11 +77,12 @@ def parse(page: str, skeleton: bool = False) -> tuple[list[tuple[str, str, int]]
             joined = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if joined:
-                _, path, boiler, children = stack[-1]
+                _, named, children = stack[-1]
                 if not children or children[-1][0] != "#":
-                    children.append(["#", 0, 0, []])
-                if not boiler:
-                    blocks.append((path, joined, links))
+                    children.append(["#", 0, 0, [], [0, 0, 0, 0, [], []]])
+                n = len(joined)
+                merge(children[-1][4], [1, n, min(links, n), n * named, [xxhash.xxh3_64_intdigest(joined) >> 12], [len(blocks)]])
+                blocks.append(joined)
         links = 0
 
     at = 0
@@ -89,8 +110,8 @@ def parse(page: str, skeleton: bool = False) -> tuple[list[tuple[str, str, int]]
             flush()
             continue
         names = [x.lower() if k.lower() != "itemprop" else x for k, *xs in NAMES.findall(m["attrs"]) if (x := "".join(xs).strip())] if m["attrs"] else []
-        furniture = tag in BOILER or any(FURNITURE.search(x) for x in names) or "hidden" in m["attrs"].split()
-        if tag in VOID or tag not in BLOCKS and not furniture:
+        named = tag in BOILER or tag not in HEADINGS and tag != "p" and any(FURNITURE.search(x) for x in names) or "hidden" in m["attrs"].split()
+        if tag in VOID or tag not in BLOCKS and not named:
             continue
         flush()
         if tag in CLOSES_P and stack[-1][0] == "p":
@@ -103,23 +124,34 @@ def parse(page: str, skeleton: bool = False) -> tuple[list[tuple[str, str, int]]
                 if stack[k][0] in same:
                     del stack[k:]
                     break
-        sig = tag + "".join(f"[{re.sub(r'[0-9]+', '', x)[:40]}]" for x in names)
-        _, path, boiler, children = stack[-1]
-        node = [sig, 0, 0, []]
-        children.append(node)
+        _, above, children = stack[-1]
+        if len(stack) <= DEEP:
+            sig = tag + "".join(f"[{re.sub(r'[0-9]+', '', x)[:40]}]" for x in names)
+            node = [sig, 0, 0, [], None]
+            children.append(node)
+            children = node[3]
         if tag != "hr" and not m["attrs"].endswith("/"):
-            stack.append((tag, f"{path}/{sig}", boiler or furniture, node[3]))
+            stack.append((tag, above or named, children))
     if at < len(page):
         text.append(page[at:])
     flush()
-    return blocks, fold(root) if skeleton else []
+    return blocks, fold(root)
 
 
-# A wrapper is a list of nodes [token, optional?, repeated?, children]; "#" is a text slot and "()" a repeated group.
+def merge(a: list, b: list) -> None:
+    """Add the slot b to the slot a."""
+    for k in range(4):
+        a[k] += b[k]
+    a[4] = sorted({*a[4], *b[4]})[:SKETCH]
+    a[5] += b[5]
 
 
 def combine(a: list, b: list) -> list:
-    return [a[0], a[1] | b[1], a[2] | b[2], align(a[3], b[3])]
+    if a[4]:
+        slot = [*a[4][:5], list(a[4][5])]
+        merge(slot, b[4])
+        return [a[0], a[1] | b[1], a[2] | b[2], [], slot]
+    return [a[0], a[1] | b[1], a[2] | b[2], align(a[3], b[3]), None]
 
 
 def name(node: list) -> str:
@@ -128,12 +160,15 @@ def name(node: list) -> str:
 
 def fold(nodes: list) -> list:
     """Adjacent repeats become repeated groups, of one element or of two or three in turn."""
+    return grouped([[*node[:3], fold(node[3]), node[4]] for node in nodes])
+
+
+def grouped(nodes: list) -> list:
     out: list = []
     for node in nodes:
-        node = [*node[:3], fold(node[3])]
-        if out and name(out[-1]) == name(node) != "#":
+        if out and name(out[-1]) == name(node):
             out[-1] = combine(out[-1], node)
-            out[-1][2] = 1
+            out[-1][2] = int(node[0] != "#")
         else:
             out.append(node)
     for period in (2, 3):
@@ -146,16 +181,16 @@ def fold(nodes: list) -> list:
                 while names == [name(x) for x in out[end : end + period]]:
                     group = [combine(a, b) for a, b in zip(group, out[end : end + period], strict=True)]
                     end += period
-                out[i:end] = [["()", 0, 1, group]]
+                out[i:end] = [["()", 0, 1, group, None]]
             i += 1
     return out
 
 
-def align(xs: list, ys: list) -> list:
-    """Two streams by their longest common subsequence; what is in one only becomes optional."""
-    if [name(x) for x in xs] == [name(y) for y in ys]:
-        return [combine(x, y) for x, y in zip(xs, ys, strict=True)]
+def matched(xs: list, ys: list) -> list[tuple]:
+    """Two streams by their longest common subsequence: pairs of nodes, None where a side has none."""
     a, b = [name(x) for x in xs], [name(y) for y in ys]
+    if a == b:
+        return list(zip(xs, ys, strict=True))
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -163,21 +198,28 @@ def align(xs: list, ys: list) -> list:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(combine(xs[i], ys[j]))
+            out.append((xs[i], ys[j]))
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([xs[i][0], 1, *xs[i][2:]])
+            out.append((xs[i], None))
             i += 1
         else:
-            out.append([ys[j][0], 1, *ys[j][2:]])
+            out.append((None, ys[j]))
             j += 1
-    return fold(out)
+    return out
+
+
+def align(xs: list, ys: list) -> list:
+    """The wrapper of two streams; what is in one only becomes optional."""
+    pairs = matched(xs, ys)
+    out = [combine(x, y) if x and y else [(x or y)[0], 1, *(x or y)[2:]] for x, y in pairs]
+    return out if all(x and y for x, y in pairs) else grouped(out)
 
 
 def expression(nodes: list) -> str:
     """The wrapper as a regular expression over tags; #TEXT is a slot."""
     parts = []
-    for token, optional, repeated, children in nodes:
+    for token, optional, repeated, children, _ in nodes:
         inner = expression(children)
         body = "#TEXT" if token == "#" else inner if token == "()" else f"<{token}>{inner}</{token.split('[')[0]}>"
         mark = {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[optional, repeated]
@@ -185,107 +227,165 @@ def expression(nodes: list) -> str:
     return "".join(parts)
 
 
-def paths(nodes: list, above: str = "") -> set[str]:
-    out = set()
-    for token, _, _, children in nodes:
-        if token == "()":
-            out |= paths(children, above)
-        elif token != "#":
-            out |= {f"{above}/{token}"} | paths(children, f"{above}/{token}")
-    return out
+def different(hashes: list[int]) -> float:
+    """How many different ones, from the lowest hashes (of 52 bits)."""
+    return len(hashes) if len(hashes) < SKETCH else (SKETCH - 1) * 2**52 / (hashes[-1] + 1)
 
 
-def container(known: set[str], mass: dict[str, tuple[int, int]]) -> str | None:
-    """The path of the wrapper that holds the article: an article element, else main, else the deepest path with most of the plain text. mass: characters and characters in links by path."""
-    total: dict[str, int] = defaultdict(int)
-    for path, (chars, linked) in mass.items():
-        parts = path.split("/")
-        for k in range(1, len(parts) + 1):
-            total["/".join(parts[:k])] += max(0, chars - 2 * linked)
-    if not total:
-        return None
-    for tags in (("article",), ("main",)):
-        held = [p for p in known if total.get(p) and (re.sub(r"\[.*", "", p.rpartition("/")[2]) in tags or "[articleBody]" in p.rpartition("/")[2] or tags == ("main",) and "[main]" in p.rpartition("/")[2])]
-        outer = [p for p in held if not any(p.startswith(f"{q}/") for q in held)]
-        if outer:
-            return max(outer, key=lambda p: (total[p], p))
-    most = total[""]
-    boxes = [p for p in known if total.get(p, 0) >= 0.5 * most and re.match(r"(?:body|div|section|td|center)\b", p.rpartition("/")[2])]
-    return max(boxes, key=lambda p: (p.count("/"), total[p], p)) if boxes else None
-
-
-def masses(blocks: list[tuple[str, str, int]]) -> dict[str, tuple[int, int]]:
-    out: dict[str, tuple[int, int]] = {}
-    for path, text, linked in blocks:
-        a, b = out.get(path, (0, 0))
-        out[path] = a + len(text), b + min(linked, len(text))
-    return out
+def decide(nodes: list, pages: list[int]) -> list:
+    """The wrapper with, in place of each slot's sums, whether it is the article's. pages: lowest hashes of the pages."""
+    count = different(pages)
+
+    def value(slot: list, evidence: tuple[bool, bool]) -> int:
+        """Characters of a slot that may be the article's: none of a template's, of links, or of furniture by name."""
+        _, chars, linked, named, hashes, _ = slot
+        by_name, by_texts = evidence
+        if by_texts and count >= FEW and different(hashes) < max(1.5, SHARE * count):
+            return 0
+        return 0 if by_name and named else max(0, chars - 2 * linked)
+
+    def mass(node: list, evidence: tuple) -> int:
+        return value(node[4], evidence) if node[4] else sum(mass(x, evidence) for x in node[3])
+
+    root = ["", 0, 0, nodes, None]
+    every = mass(root, (False, False))
+    evidence = next((e for e in ((True, True), (True, False), (False, True)) if 2 * mass(root, e) >= every), (False, False))
+    at = root
+    while at[3]:
+        boxes = [x for x in at[3] if not x[4] and x[0] != "()" and not x[2] and re.match(r"\w+", x[0])[0] in BOXES]
+        best = max(boxes, key=lambda x: mass(x, evidence), default=None)
+        titles = any(x is not best and not x[4] and re.sub(r"\[.*", "", x[0]) in HEADINGS and mass(x, evidence) for x in at[3])
+        if best is None or titles or mass(best, evidence) < MOST * max(1, mass(at, evidence)):
+            break
+        at = best
+
+    def marked(xs: list, inside: bool) -> list:
+        return [[*x[:3], marked(x[3], inside or x is at), bool(inside and value(x[4], evidence)) if x[4] else None] for x in xs]
+
+    return marked(nodes, at is root)
 
 
-def main_text(page: str, held: str | None) -> str:
-    """The page's blocks in the wrapper's container, joined by newlines."""
-    blocks, _ = parse(page)
-    inside = [t for p, t, _ in blocks if held is not None and (p == held or p.startswith(f"{held}/"))]
-    if not inside:
-        own = container(paths(parse(page, True)[1]), masses(blocks))
-        inside = [t for p, t, _ in blocks if own is None or p == own or p.startswith(f"{own}/")]
-    return "\n".join(inside)
+def has_article(node: list) -> bool:
+    return bool(node[4]) or any(map(has_article, node[3]))
+
+
+def article_blocks(page: list, wrapper: list) -> list[int]:
+    """The numbers of the page's blocks that are in the wrapper's article slots."""
+    out: list[int] = []
+
+    def every(node: list) -> None:
+        if node[4]:
+            out.extend(node[4][5] if not node[4][3] else [])
+        for x in node[3]:
+            every(x)
+
+    def read(xs: list, ys: list) -> None:
+        here = any(y[4] for y in ys) or sum(map(has_article, ys)) > 1  # not on the way to the container
+        for x, y in matched(xs, ys):
+            if x and y:
+                if x[4]:
+                    out.extend(x[4][5] if y[4] else [])
+                else:
+                    read(x[3], y[3])
+            elif x and here:
+                every(x)
+
+    read(page, wrapper)
+    return sorted(out)
+
+
+def main_text(page: str, wrapper: list) -> str:
+    """The page's blocks in the article slots of the wrapper, joined by newlines."""
+    blocks, tree = parse(page)
+    found = article_blocks(tree, wrapper)
+    if not found and blocks:
+        found = article_blocks(tree, decide(tree, [0]))
+    return "\n".join(blocks[k] for k in found)
 
 
 def host_of(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def bare(nodes: list) -> list:
+    """A page's stream without the numbers of its blocks."""
+    return [[*x[:3], bare(x[3]), [*x[4][:5], []] if x[4] else None] for x in nodes]
+
+
+def shape(nodes: list) -> str:
+    return "".join(f"{x[0]}{'?' * x[1]}{'+' * x[2]}({shape(x[3])})" for x in nodes)
+
+
+def aligned(streams: list[tuple[list, list]]) -> tuple[list, list]:
+    """(wrapper, lowest hashes of the pages) of several, in an order that does not depend on how they came."""
+    streams = sorted(streams, key=lambda s: (shape(s[0]), json.dumps(s)))
+    wrapper, pages = streams[0]
+    for tree, more in streams[1:]:
+        wrapper, pages = align(wrapper, tree), sorted({*pages, *more})[:SKETCH]
+    return wrapper, pages
+
+
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, container) for each host: its wrapper as an expression, and the container's path (null: none)."""
+    """(host, wrapper, slots) for each host: its wrapper as an expression, and as JSON with its article slots marked."""
     src = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("page"))
 
+    def dump(stream: tuple) -> str:
+        return json.dumps(stream, separators=(",", ":"))
+
     def make():
         def f(batch: pa.RecordBatch) -> dict:
-            streams: dict = {}
-            sums: dict = {}
+            found: dict = {}
+            seen: set = set()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, tree = parse(page, True)
-                streams[host, json.dumps(tree, separators=(",", ":"))] = None
-                for path, (chars, linked) in masses(blocks).items():
-                    a, b = sums.get((host, path), (0, 0))
-                    sums[host, path] = a + chars, b + linked
-            rows = [(h, s, None, 0, 0) for h, s in streams] + [(h, None, p, a, b) for (h, p), (a, b) in sums.items()]
-            return {k: [r[i] for r in rows] for i, k in enumerate(("host", "stream", "path", "chars", "linked"))}
+                key = xxhash.xxh3_64_intdigest(page) >> 12
+                if (host, key) in seen:
+                    continue
+                seen.add((host, key))
+                tree = bare(parse(page)[1])
+                one = (host, shape(tree))
+                found[one] = aligned([found[one], (tree, [key])]) if one in found else (tree, [key])
+            return {"host": [h for h, _ in found], "stream": [dump(x) for x in found.values()]}
 
         return f
 
-    parts = map_rows(src, "host string, stream string, path string, chars long, linked long", make)
-    parts = parts.groupBy("host", "stream", "path").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    hosts = parts.groupBy("host").agg(F.sort_array(F.collect_set("stream")).alias("streams"), F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "chars", "linked"))).alias("mass"))
+    def together(rows: pa.Table) -> pa.Table:
+        return pa.table({"host": rows.column("host")[:1], "stream": pa.array([dump(aligned([tuple(json.loads(x)) for x in rows.column("stream").to_pylist()]))])})
+
+    parts = written(map_rows(src, "host string, stream string", make), "streams")
+    while (most := parts.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]) > FAN:
+        salt = F.pmod(F.xxhash64("stream", F.rand(1)), F.lit(-(-most // FAN)))
+        parts = written(parts.groupBy("host", salt.alias("salt")).applyInArrow(together, "host string, stream string"), "streams")
+    hosts = parts.groupBy("host").applyInArrow(together, "host string, stream string")
 
     def make_wrapper():
         def f(batch: pa.RecordBatch) -> dict:
-            wrappers, held = [], []
-            for streams, mass in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                wrapper = json.loads(streams[0])
-                for s in streams[1:]:
-                    wrapper = align(wrapper, json.loads(s))
-                wrappers.append(expression(wrapper))
-                held.append(container(paths(wrapper), {x["path"]: (x["chars"], x["linked"]) for x in mass}))
-            return {"host": batch.column(0), "wrapper": wrappers, "container": held}
+            found = [json.loads(s) for s in batch.column(1).to_pylist()]
+            return {"host": batch.column(0), "wrapper": [expression(w) for w, _ in found], "slots": [dump(decide(w, p)) for w, p in found]}
 
         return f
 
-    return map_rows(hosts, "host string, wrapper string, container string", make_wrapper)
+    return map_rows(hosts, "host string, wrapper string, slots string", make_wrapper)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars, host) for each page."""
-    wrappers = written(infer_wrappers(pages, url_col, html_col).select("host", "container"), "wrappers")
+    wrappers = written(infer_wrappers(pages, url_col, html_col).select("host", "slots"), "wrappers")
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"), F.coalesce(F.col(html_col), F.lit("")).alias("page"), host_of(url_col).alias("host"))
     kind, ukind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
     def make():
+        known: dict = {}
+
         def f(batch: pa.RecordBatch) -> dict:
-            texts = [main_text(p, held) for p, held in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            texts = []
+            for page, host, slots in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[host] = json.loads(slots)
+                texts.append(main_text(page, known[host]))
             return {id_col: batch.column(0), url_col: batch.column(1), "text": texts, "n_chars": [len(t) for t in texts], "host": batch.column(3)}
 
         return f
 
-    return map_rows(src.join(wrappers, "host", "left").select("id", "u", "page", "host", "container"), f"`{id_col}` {kind}, `{url_col}` {ukind}, text string, n_chars long, host string", make)
+    return map_rows(src.join(wrappers, "host", "left").select("id", "u", "page", "host", "slots"), f"`{id_col}` {kind}, `{url_col}` {ukind}, text string, n_chars long, host string", make)

@@ -49,14 +49,61 @@ def test_awkward(spark):
 
 
 def test_wrapper_generalises():
-    one = W.parse("<body><h1>a</h1><ul><li>x<li>y</ul><p>t</p></body>", True)[1]
-    two = W.parse("<body><h1>b</h1><div class=z>n</div><p>t</p><p>u</p></body>", True)[1]
+    one = W.parse("<body><h1>a</h1><ul><li>x<li>y</ul><p>t</p></body>")[1]
+    two = W.parse("<body><h1>b</h1><div class=z>n</div><p>t</p><p>u</p></body>")[1]
     assert W.expression(W.align(one, two)) == "<body><h1>#TEXT</h1>(<ul>(<li>#TEXT</li>)+</ul>)?(<div[z]>#TEXT</div>)?(<p>#TEXT</p>)+</body>"
-    assert W.align(json.loads(json.dumps(one)), one) == one
-    assert W.expression(W.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>", True)[1]) == "<dl>(<dt>#TEXT</dt><dd>#TEXT</dd>)+</dl>"
+    assert W.expression(W.align(json.loads(json.dumps(one)), one)) == W.expression(one)
+    assert W.expression(W.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>")[1]) == "<dl>(<dt>#TEXT</dt><dd>#TEXT</dd>)+</dl>"
 
 
 def test_wrappers_of_hosts(spark):
-    data = [(1, "http://A.example:80/x", PAGE), (2, "https://a.example/y", PAGE), (3, "http://b.example", "<main><p>hello</p></main>")]
-    got = {r.host: r.container for r in W.infer_wrappers(rows(spark, data)).collect()}
-    assert got == {"a.example": "/html/body/div[content]/div[post]", "b.example": "/main"}
+    data = [(1, "http://A.example:80/x", "<body><p>one</p>"), (2, "https://a.example/y", "<body><p>x</p><p>y</p>"), (3, "http://b.example", "<main><p>hello</p></main>")]
+    got = {r.host: r.wrapper for r in W.infer_wrappers(rows(spark, data)).collect()}
+    assert got == {"a.example": "<body>(<p>#TEXT</p>)+</body>", "b.example": "<main><p>#TEXT</p></main>"}
+
+
+def unmarked(i, notice):
+    """No article element and no telling name: what tells is where texts repeat and where they vary."""
+    links = "".join(f"<li><a href=/{k}>section {k}</a>" for k in range(8))
+    story = "".join(f"<p>Paragraph {k} of story {i} goes on for a while, about {i * 7919 % 1000} things.</p>" for k in range(2 + i % 4))
+    more = "<div>Sign here to get our letter.</div>" if notice else ""
+    return f"<body><div>The Daily</div><div><ul>{links}</ul></div><div><div><h1>Story {i}</h1>{story}{more}<p>The end of {i}.</p></div><div>All stories by our staff</div></div><div>Some rights kept</div></body>"
+
+
+def wanted(i):
+    return "\n".join([f"Story {i}", *(f"Paragraph {k} of story {i} goes on for a while, about {i * 7919 % 1000} things." for k in range(2 + i % 4)), f"The end of {i}."])
+
+
+def test_unmarked_pages_and_the_part_of_alignment(spark, monkeypatch):
+    data = [(i, f"http://daily.example/{i}", unmarked(i, i % 3 == 0)) for i in range(30)]
+    got = {r.page_id: r.text for r in W.extract(rows(spark, data)).collect()}
+    assert got == {i: wanted(i) for i in range(30)}
+    streams = [(W.bare(W.parse(p)[1]), [(2 * i + 1) * 2**52 // 60]) for i, _, p in data]
+    wrapper, pages = W.aligned(streams)
+    assert [W.main_text(p, W.decide(wrapper, pages)) for _, _, p in data] == [wanted(i) for i in range(30)]
+    monkeypatch.setattr(W, "align", lambda xs, ys: xs)  # without alignment no slot gathers what pages share
+    wrapper, pages = W.aligned(streams)
+    assert [W.main_text(p, W.decide(wrapper, pages)) for _, _, p in data] != [wanted(i) for i in range(30)]
+
+
+def test_a_hot_host_is_aligned_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(W, "FAN", 3)
+    data = [(i, f"http://daily.example/{i}", unmarked(i, i % 3 == 0).replace("<body>", f"<body><div class=c{'abcdefgh'[i % 8]}></div>")) for i in range(60)]
+    got = {r.page_id: r.text for r in W.extract(rows(spark, data).repartition(12)).collect()}
+    assert got == {i: wanted(i) for i in range(60)}
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 5000 + "<p>in the deep</p>" + "</div>" * 5000 + "<p>above, with more words than there are below</p>"
+    spans = "".join(f"<div><p>one {k}<ul><li>a {k}<li>b</ul><blockquote>q {k}</blockquote></div>" if k % 2 else f"<p>two {k}<br>three" for k in range(4000))
+    data = [(1, "http://deep/", deep), (2, "http://x/", unmarked(1, False)), (3, "http://long/", f"<main>{spans}</main>"), (4, "http://deep2/", "<ul><li>" * 5000 + "x")]
+    got = {r.page_id: r.text for r in W.extract(rows(spark, data)).collect()}
+    assert got[1] == "in the deep\nabove, with more words than there are below" and "\nStory 1\n" in got[2] and got[4] == "x"
+    assert got[3] == "\n".join(f"one {k}\na {k}\nb\nq {k}" if k % 2 else f"two {k}\nthree" for k in range(4000))
+
+
+def test_names_in_an_article_do_not_hide_text():
+    page = "<body><nav>menu</nav><article><h2 id=share-prices>Share prices</h2><p class=banner-year>They rose.</p></article></body>"
+    assert W.main_text(page, W.decide(W.parse(page)[1], [1])) == "Share prices\nThey rose."
+    form = "<body><form><div><p>All of this page is in a form, as some systems have it.</p></div></form></body>"
+    assert W.main_text(form, W.decide(W.parse(form)[1], [1])) == "All of this page is in a form, as some systems have it."
