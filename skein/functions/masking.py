@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -40,12 +41,20 @@ def marker(kind: str, hit: Column) -> Column:
     return F.concat(F.lit(f"[masked:{kind}:"), F.length(hit).cast("string"), F.lit(":"), F.substring(F.sha2(hit, 256), 1, 8), F.lit("]"))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def replaced(text: Column, kind: str, pattern: str) -> Column:
-    hits = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
-    gaps = F.split(text, java(pattern), -1)
     mark = (lambda h: F.when(dense(h), marker(kind, h)).otherwise(h)) if kind == "entropy" else (lambda h: marker(kind, h))
-    joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform(hits, mark), lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
-    return F.when(F.size(hits) == 0, text).otherwise(joined)
+
+    def joined(t: Column) -> Column:
+        hits = F.transform(F.regexp_extract_all(t, F.lit(java(pattern)), F.lit(0)), mark)
+        pieces = F.zip_with(F.split(t, java(pattern), -1), hits, lambda gap, hit: F.array(gap, F.coalesce(hit, F.lit(""))))
+        return F.array_join(F.flatten(pieces), "")
+
+    return bound(text, lambda t: F.when(t.rlike(java(pattern)), joined(t)).otherwise(t))
 
 
 def mask(text: Column) -> Column:
@@ -66,9 +75,12 @@ def mask_counts(text: Column) -> dict[str, Column]:
 
 def clip(text: Column, cap: int = CAP) -> Column:
     """The text up to `cap` UTF-16 units; a surrogate pair is never split."""
-    raw = F.encode(text, "UTF-16BE")
-    high = F.conv(F.hex(F.substring(raw, 2 * cap - 1, 1)), 16, 10).cast("int").between(0xD8, 0xDB)
-    return F.when(F.octet_length(raw) <= 2 * cap, text).otherwise(F.decode(F.when(high, F.substring(raw, 1, 2 * cap - 2)).otherwise(F.substring(raw, 1, 2 * cap)), "UTF-16BE"))
+
+    def cut(raw: Column) -> Column:
+        high = F.conv(F.hex(F.substring(raw, 2 * cap - 1, 1)), 16, 10).cast("int").between(0xD8, 0xDB)
+        return F.decode(F.substring(raw, F.lit(1), F.when((F.octet_length(raw) > 2 * cap) & high, 2 * cap - 2).otherwise(2 * cap)), "UTF-16BE")
+
+    return bound(text, lambda t: F.when(F.length(t) <= cap // 2, t).otherwise(bound(F.encode(t, "UTF-16BE"), cut)))
 
 
 def mask_value(text: str) -> str:
@@ -110,7 +122,7 @@ def mask_extra(extra: Column) -> Column:
     def batch(texts: pd.Series) -> pd.Series:
         return texts.map(one)
 
-    return F.pandas_udf(batch, "string")(extra)
+    return F.when(F.coalesce(extra, F.lit("{}")) == "{}", "{}").otherwise(F.pandas_udf(batch, "string")(extra))
 
 
 def date_partition(ts: Column) -> Column:

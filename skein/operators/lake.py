@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import masking as M
 from ..schema import RUNTIMES, STORED_EVENT, STORED_LABEL, LakeError, check_runtime
-from ..sources.adapters import ADAPTERS
+from ..sources.adapters import ADAPTERS, droid_settings
+from ..sources.discovery import kimi_projects, sidecars
 from ..streaming.tail import TailSource
 
 CORRUPT = "_corrupt"
@@ -71,22 +72,31 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/labels", copy.deepcopy(STORED_LABEL))
 
 
-def ingest(spark: SparkSession, sources: dict[str, str], path: str, machine: str) -> None:
-    """All complete lines of the sources (a glob by runtime) into the lake."""
+def parsed(lines: DataFrame, runtime: str, kimi_index: str | None = None) -> DataFrame:
+    """The raw events of a runtime's lines; kimi_index: its session index, which has the projects."""
+    if runtime == "kimi" and kimi_index and _exists(lines.sparkSession, kimi_index):
+        return ADAPTERS[runtime](lines, kimi_projects(lines.sparkSession, kimi_index))
+    return ADAPTERS[runtime](lines)
+
+
+def ingest(spark: SparkSession, sources: dict[str, str], path: str, machine: str, kimi_index: str | None = None) -> None:
+    """All complete lines of the sources (a glob by runtime) into the lake, and the settings beside droid's transcripts."""
     spark.dataSource.register(TailSource)
     for runtime in RUNTIMES:
         if runtime in sources:
             lines = spark.read.format("tail").option("path", sources[runtime]).load()
-            append(canonical(ADAPTERS[runtime](lines), runtime, machine), path)
+            append(canonical(parsed(lines, runtime, kimi_index), runtime, machine), path)
+            if runtime == "droid":
+                append(canonical(droid_settings(sidecars(spark, sources[runtime])), runtime, machine), path)
 
 
-def rebuild(spark: SparkSession, sources: dict[str, str], target: str, machine: str) -> None:
+def rebuild(spark: SparkSession, sources: dict[str, str], target: str, machine: str, kimi_index: str | None = None) -> None:
     """A replay into an empty root, by the transforms of the stream."""
     if unknown := set(sources) - set(RUNTIMES):
         raise LakeError(f"unknown runtimes {sorted(unknown)}")
     if _exists(spark, f"{target}/events"):
         raise LakeError(f"{target} is not empty")
-    ingest(spark, sources, target, machine)
+    ingest(spark, sources, target, machine, kimi_index)
 
 
 def compact(spark: SparkSession, path: str) -> None:
@@ -94,7 +104,8 @@ def compact(spark: SparkSession, path: str) -> None:
     events = read_events(spark, path).drop("filename")
     if "date" not in events.columns:
         events = events.withColumn("date", F.lit("unknown"))
-    events.repartition("runtime", "date").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("runtime", "date").parquet(f"{path}/parquet")
+    # about one file for each partition in each task's share of it: a busy day is many tasks' work
+    events.repartition("runtime", "date", F.pmod(F.xxhash64("session_id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("runtime", "date").parquet(f"{path}/parquet")
 
 
 def read_mirror(spark: SparkSession, path: str) -> DataFrame:

@@ -16,10 +16,11 @@ LAYOUT = {
     "codex": (".codex/sessions/*/*/*/rollout-*.jsonl",),
     "omp": (".omp/agent/sessions/*/*.jsonl",),
     "droid": (".factory/sessions/*.jsonl", ".factory/sessions/*/*.jsonl"),
-    "kimi": (".kimi/sessions/wd_*/session_*/agents/main/wire.jsonl",),
+    "kimi": (".kimi-code/sessions/wd_*/session_*/agents/main/wire.jsonl",),
     "hooks": (".claude/hooks/telemetry.prev.jsonl", ".claude/hooks/telemetry.jsonl"),
 }
-SETTINGS = (".factory/sessions/*.settings.json", ".factory/sessions/*/*.settings.json")
+SIDECAR = (".jsonl", ".settings.json")  # a transcript's name ends in the first, that of its settings in the second
+INDEX = ".kimi-code/session_index.jsonl"
 
 
 def source(runtime: str, home: str) -> str:
@@ -36,6 +37,15 @@ def inventory(home: str) -> dict[str, dict]:
     return out
 
 
+def sidecars(spark: SparkSession, source: str) -> DataFrame:
+    """(file, content) of the settings beside the transcripts of a source (globs, or files, separated by commas)."""
+    names = [p.removesuffix(SIDECAR[0]) + SIDECAR[1] for p in source.split(",") if p.endswith(SIDECAR[0])]
+    names = [p for p in names if glob.glob(p)]
+    if not names:
+        return spark.createDataFrame([], "file string, content string")
+    return spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")).distinct()
+
+
 def kimi_projects(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, project) of a session index (a text file of JSON lines); the last line of a session wins."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line"))

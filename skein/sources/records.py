@@ -126,6 +126,7 @@ def kept(events: Column) -> Column:
 
 def exploded(df: DataFrame, keep: tuple[str, ...] = ("ts", "session_id", "project")) -> DataFrame:
     """A row for each event of `events`."""
+    keep += ("opened",) if "opened" in df.columns else ()
     rows = df.select("file", "seq", *keep, F.posexplode("events").alias("pos", "e"))
     return rows.select("file", "seq", "pos", *keep, "e.*")
 
@@ -133,9 +134,11 @@ def exploded(df: DataFrame, keep: tuple[str, ...] = ("ts", "session_id", "projec
 def released(df: DataFrame, release: Column) -> DataFrame:
     """Events are held until the first line where `release` holds or more than HELD wait; then they take the session of
     that line, and its project and time where they have none. What then has no time is dropped; at the end of a file
-    without a release, all are let go. Wants columns events, ts, session_id, project, last_ts."""
+    without a release, all are let go. Wants columns events, ts, session_id, project, last_ts; adds `opened`, the place of
+    the release, null without one: a stream keeps the events of such a file until there is one."""
     df = df.withColumn("__count", F.sum(F.size("events")).over(so_far()))
     df = df.withColumn("__open", F.min(F.when(release | (F.col("__count") > HELD), F.col("seq"))).over(whole_file()))
+    df = df.withColumn("opened", F.col("__open"))
     df = df.withColumn("__open", F.coalesce("__open", F.max("seq").over(whole_file())))
     at = F.max(F.when(F.col("seq") == F.col("__open"), F.struct("session_id", "project", "last_ts"))).over(whole_file())
     df = df.withColumn("__at", at).withColumn("__held", F.col("seq") <= F.col("__open"))

@@ -1,8 +1,9 @@
 """Live ingest: tail the sources, parse, mask, append, in micro-batches that can be repeated.
 
 Registers (session, project, model, times) must carry over from earlier batches. A batch re-reads the files it touches
-up to its end and keeps the events of its new lines, so the stream equals a rebuild; what an adapter still holds at the
-end of a batch is let go. Each batch writes its own `batch=` partitions, replaced when it is repeated.
+up to its end and keeps the events of its new lines, so the stream equals a rebuild. Events that an adapter holds are not
+written before the batch that releases them; what a rebuild lets go at the end of a file waits in a stream. Each batch
+writes its own `batch=` partitions, replaced when it is repeated; droid's settings, whole files, have one each.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.export import merge_export
-from ..operators.lake import canonical
-from ..sources.adapters import ADAPTERS
+from ..operators.lake import canonical, parsed
+from ..sources.adapters import droid_settings
+from ..sources.discovery import sidecars
 from .tail import TailSource
 
 
-def start(spark: SparkSession, runtime: str, source: str, path: str, machine: str, max_bytes: int = 0, export: bool = False, available_now: bool = False) -> StreamingQuery:
+def start(spark: SparkSession, runtime: str, source: str, path: str, machine: str, max_bytes: int = 0, export: bool = False, available_now: bool = False, kimi_index: str | None = None) -> StreamingQuery:
     """A query that follows one runtime's files (a glob); its checkpoint is under the lake."""
     spark.dataSource.register(TailSource)
-    adapter = ADAPTERS[runtime]
 
     def batch(lines: DataFrame, number: int) -> None:
         session = lines.sparkSession
@@ -36,8 +37,14 @@ def start(spark: SparkSession, runtime: str, source: str, path: str, machine: st
         if not stops:
             return
         whole = session.read.format("tail").option("path", source).option("ends", json.dumps(stops)).load()
-        raw = adapter(whole).join(touched.select("file", "begin"), "file").filter("seq >= begin").drop("begin")
+        raw = parsed(whole, runtime, kimi_index).join(touched.select("file", "begin"), "file")
+        raw = raw.filter("opened is not null and (seq >= begin or opened >= begin)" if "opened" in raw.columns else "seq >= begin").drop("begin")
         events = canonical(raw, runtime, machine).withColumn("batch", F.lit(f"{number:09d}"))
+        if runtime == "droid":
+            settings = droid_settings(sidecars(session, ",".join(sorted(stops))))
+            parts = settings.select(F.md5("file").alias("batch"), "*")
+            for name in [r.batch for r in parts.select("batch").distinct().collect()]:  # a sidecar for each file that grew
+                events = events.unionByName(canonical(parts.filter(F.col("batch") == name).drop("batch"), runtime, machine).withColumn("batch", F.lit(f"settings-{name}")))
         events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("runtime", "date", "batch").json(f"{path}/events")
         if export:
             merge_export(events, f"{path}/export")

@@ -142,6 +142,65 @@ def test_stream_equals_rebuild(spark, tmp_path):
         query.awaitTermination(120)
 
 
+def omp_lines():
+    yield {"type": "message", "timestamp": "2024-01-02T00:00:01Z", "message": {"role": "user", "content": "before the session"}}
+    yield {"type": "session", "id": "S", "cwd": "/p", "timestamp": "2024-01-02T00:00:02Z"}
+    for i in range(4):
+        yield {"type": "message", "timestamp": f"2024-01-02T00:01:0{i}Z", "message": {"role": "user", "content": f"later {i}"}}
+
+
+def droid_lines():
+    yield {"type": "message", "message": {"role": "user", "content": "no time yet"}}
+    yield {"type": "session_start", "id": "D", "cwd": "/q", "title": "t"}
+    for i in range(4):
+        yield {"type": "message", "timestamp": f"2024-01-02T00:01:0{i}Z", "message": {"role": "user", "content": f"said {i}"}}
+
+
+def kimi_lines():
+    for i in range(5):
+        yield {"type": "context.append_message", "time": 1704153600000 + i, "message": {"role": "user", "origin": {"kind": "user"}, "content": f"hello {i}"}}
+
+
+def claude_lines():
+    for i in range(5):
+        yield {"type": "user", "sessionId": "C" if i else None, "cwd": "/c" if i % 2 else None, "timestamp": f"2024-01-02T00:00:0{i}Z", "message": {"role": "user", "content": f"line {i}"}}
+
+
+@pytest.mark.parametrize("runtime", ["claude", "omp", "droid", "kimi", "hooks"])
+def test_stream_equals_rebuild_for_runtimes(spark, tmp_path, runtime):
+    """Random cuts, within lines too: events that wait for a session get it, and are written once."""
+    rows = {"claude": claude_lines, "omp": omp_lines, "droid": droid_lines, "kimi": kimi_lines, "hooks": lambda: ({"ts": f"2024-01-02T00:00:0{i}Z", "session": "h", "id": "x", "decision": "block"} for i in range(5))}[runtime]()
+    folder = tmp_path / "src" / ("session_k/agents/main" if runtime == "kimi" else "-p")
+    folder.mkdir(parents=True)
+    file, index = folder / ("wire.jsonl" if runtime == "kimi" else "a.jsonl"), tmp_path / "session_index.jsonl"
+    index.write_text(json.dumps({"sessionId": "session_k", "workDir": "/k"}) + "\n")
+    if runtime == "droid":
+        (folder / "a.settings.json").write_text(json.dumps({"providerLockTimestamp": "2024-01-02T09:00:00Z", "tokenUsage": {"inputTokens": 7, "outputTokens": 9}}))
+    out, again = str(tmp_path / "live"), str(tmp_path / "again")
+    text = "".join(json.dumps(r) + "\n" for r in rows)
+    random.seed(runtime)
+    cuts = [text.index("\n") + 1, *sorted(random.sample(range(text.index("\n") + 2, len(text)), 2))]
+    for a, b in zip([0, *cuts], [*cuts, len(text)]):
+        with open(file, "a", encoding="utf-8") as f:
+            f.write(text[a:b])
+        live.start(spark, runtime, str(file), out, "m", available_now=True, kimi_index=str(index)).awaitTermination(120)
+    lake.rebuild(spark, {runtime: str(file)}, again, "m", kimi_index=str(index))
+    got = lake.read_events(spark, again)
+    assert plain(lake.read_events(spark, out)) == plain(got) and got.count() >= 5
+    if runtime == "kimi":
+        assert {r.project for r in got.collect()} == {"/k"}
+    if runtime == "omp":
+        assert {(r.session_id, r.project) for r in got.collect()} == {("S", "/p")}
+    if runtime == "droid":
+        assert [(r.tokens_in, r.tokens_out) for r in got.collect() if r.tokens_in] == [(7, 9)]
+
+
+def test_masking_is_bound_once(spark):
+    """Each class's pattern is read three times at most, not once for each use of the text."""
+    plan = spark.range(1).select(M.clip(M.mask(F.col("id").cast("string"))).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3 and plan.count("split(") <= 8
+
+
 def test_tail_lines(tmp_path):
     file = tmp_path / "f"
     file.write_bytes(b"one\r\n\ntw\xffo\nopen")
