@@ -10,8 +10,9 @@ Scale: each task emits the keys of its different lines; the index's leaders (one
 probes in one join whose skewed keys Spark splits; only members of buckets that two lines share are written. Lines are
 known by a 64-bit hash (two different ones of n share one with a probability of n^2 / 2^65).
 
-Defined results: a null text has no lines, an empty one has one empty line; lines under `LEAST` characters without
-the white space around them always stay, those under `FUZZY` characters match equal ones only; rows that share their
+Defined results: a null text has no lines, an empty one has one empty line; lines under `least` characters without
+the spaces around them always stay, those under `fuzzy` characters match equal ones only (both are parameters; with
+least=0 and fuzzy=0 all lines of more characters than edits are compared); rows that share their
 id and text count as one and keep or lose the same lines, rows that share an id (or have none) but not their text are
 apart; a null id comes before others.
 """
@@ -97,7 +98,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc", "hash", "pos", F.xxhash64("line").alias("id"), "line")
 
 
-def keys(lines: DataFrame, edits: int, indexed_only: bool) -> DataFrame:
+def keys(lines: DataFrame, edits: int, fuzzy: int, indexed_only: bool) -> DataFrame:
     """(key, id, indexed) of lines (id, line)."""
 
     def make():
@@ -114,7 +115,7 @@ def keys(lines: DataFrame, edits: int, indexed_only: bool) -> DataFrame:
                 seen.add(node)
                 n = len(line)
                 if n not in plans:
-                    index, probe = plan(n, edits, FUZZY)
+                    index, probe = plan(n, edits, max(fuzzy, edits + 1))
                     plans[n] = (index if indexed_only else index + probe), [1] * len(index) + ([] if indexed_only else [0] * len(probe))
                 cuts, marks = plans[n]
                 digest = xxhash.xxh3_64_intdigest
@@ -146,12 +147,12 @@ def matches(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return map_rows(both, "a long, b long", make)
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, fuzzy: int = FUZZY) -> DataFrame:
     """(id, root) of the different lines that match another one; equal lines share their id."""
-    lines = line_rows(docs, id_col, text_col).select("id", "line").filter(F.length("line") >= FUZZY)
+    lines = line_rows(docs, id_col, text_col).select("id", "line").filter(F.length("line") >= fuzzy)
     # the key's leader is its lowest indexed line; any line of the key is its match or not a match of this key's leader
-    lead = keys(lines, edits, True).groupBy("key").agg(F.min("id").alias("leader"))
-    used = written(keys(lines, edits, False).join(lead, "key").filter("id <> leader").select("key", "id", "leader"), "members").distinct()
+    lead = written(keys(lines, edits, fuzzy, True).groupBy("key").agg(F.min("id").alias("leader")), "leaders")  # so that Spark can split both sides of the join
+    used = written(keys(lines, edits, fuzzy, False).join(lead, "key").filter("id <> leader").select("key", "id", "leader"), "members").distinct()
     pairs = ordered(used.select(F.col("leader").alias("a"), F.col("id").alias("b")))
     need = used.select("id").union(used.select("leader")).distinct()
     texts = written(lines.join(need, "id", "left_semi").dropDuplicates(["id"]), "lines")
@@ -164,11 +165,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return roots if more.isEmpty() else components(first.union(more))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, fuzzy: int = FUZZY, least: int = LEAST) -> DataFrame:
     """(doc, hash, pos, first_doc, first_pos) of every line that goes, with the first line of its class; hash: of the text, as ids may repeat or lack."""
-    roots = line_classes(docs, id_col, text_col, edits)
+    roots = line_classes(docs, id_col, text_col, edits, fuzzy)
     place = F.struct("doc", "pos", "hash")
-    lines = line_rows(docs, id_col, text_col).filter(F.length(F.trim("line")) >= LEAST).select("doc", "hash", "pos", "id")
+    lines = line_rows(docs, id_col, text_col).filter(F.length(F.trim("line")) >= least).select("doc", "hash", "pos", "id")
     by_line = lines.groupBy("id").agg(F.min(place).alias("at"), F.max(place).alias("to"))
     by_line = by_line.join(roots, "id", "left").filter("root is not null or not at <=> to").select("id", F.coalesce("root", "id").alias("root"), "at")
     by_line = written(by_line, "repeated")
@@ -177,18 +178,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lines.join(known, "id").filter(~place.eqNullSafe(F.col("first"))).select("doc", "hash", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, fuzzy: int = FUZZY, least: int = LEAST) -> DataFrame:
     """(id, n_lines, n_duplicates, duplicates) for each row; duplicates: (pos, first_doc, first_pos) by pos."""
-    gone = duplicate_lines(docs, id_col, text_col, edits).distinct().groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("pos", "first_doc", "first_pos"))).alias("duplicates"))
+    gone = duplicate_lines(docs, id_col, text_col, edits, fuzzy, least).distinct().groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("pos", "first_doc", "first_pos"))).alias("duplicates"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("own"), F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).alias("lines"))
     rows = rows.withColumn("lines", F.when(F.col("lines") < 0, 0).otherwise(F.col("lines")).cast("long"))
     out = rows.join(gone, rows["id"].eqNullSafe(gone["doc"]) & (rows["own"] == gone["hash"]), "left")
     return out.select(F.col("id").alias(id_col), F.col("lines").alias("n_lines"), F.coalesce(F.size("duplicates"), F.lit(0)).cast("long").alias("n_duplicates"), F.coalesce("duplicates", F.array().cast(gone.schema["duplicates"].dataType)).alias("duplicates"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, fuzzy: int = FUZZY, least: int = LEAST) -> DataFrame:
     """The rows of docs, all columns, without the lines that go; a text that loses all its lines becomes empty."""
-    gone = duplicate_lines(docs, id_col, text_col, edits).groupBy("doc", "hash").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"doc": "__doc", "hash": "__hash"})
+    gone = duplicate_lines(docs, id_col, text_col, edits, fuzzy, least).groupBy("doc", "hash").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"doc": "__doc", "hash": "__hash"})
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("__gone", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), "\n")
     out = docs.join(gone, docs[id_col].eqNullSafe(gone["__doc"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__hash"]), "left")

@@ -6,7 +6,8 @@ most (the documented bound), dealt to `SHARDS` learners whose weights are averag
 with the weights, whose size is fixed (2**BITS floats, 1 MB), so they are broadcast to the tasks; no shuffle.
 
 Defined results: a null or empty text has no feature and scores by the bias alone; words are what white space
-separates; repeated rows score alike; labels that are null are not learned from; without labels all scores are 0.5.
+separates; repeated rows score alike; labels that are null are not learned from, of
+several labels or texts of an id the lowest ones are; without labels all scores are 0.5.
 """
 
 from __future__ import annotations
@@ -76,9 +77,9 @@ class Ftrl:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
     """The averaged weights (with the bias last). labels: id and 0/1 of the rows that may be learned from."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     # at most `rows` ids: a bounded side
-    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t"), F.min("label").alias("label"))
     sample = sample.repartition(SHARDS, F.pmod(F.xxhash64("id"), F.lit(SHARDS)))
 
     def run(batches):

@@ -34,7 +34,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = quality_classifier.train(docs, labels.filter(~held_out(5, 0)))
     scored = quality_classifier.score(docs, weights)
-    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
