@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_automaton, byte_bpe, chained_passages, edit_lines, html_wrapper, latent_decontamination, mpeg_audio, order_minhash, quality_classifier, secret_scan
+from . import backoff_automaton, byte_bpe, chained_passages, edit_lines, html_wrapper, latent_decontamination, mpeg_audio, order_minhash, piece_bpe, prefix_trie, quality_classifier, secret_scan
 from .common import table
 
 
@@ -60,5 +60,46 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_lines, op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op6_latent_decontamination, op7_backoff_automaton, op8_secret_scan, op9_chained_passages, op10_mpeg_audio)}
-ORACLE_SQL: dict[str, str] = {}
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), c - c % 100, F.crc32(c.cast("string")) % 6, most=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_edit_lines, op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op6_latent_decontamination, op7_backoff_automaton, op8_secret_scan, op9_chained_passages, op10_mpeg_audio, op12_piece_bpe, op13_prefix_trie)}
+
+# crc32 of a decimal number, bit by bit; then prefixes as lists of turns, each exploded to all that it begins with
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+         ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS head, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.head AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+prefixes AS (
+  SELECT conv_id, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING) AS key FROM rebuilt
+  UNION ALL SELECT conv_id, [] FROM convs),
+ended AS (SELECT *, len(key) = MAX(len(key)) OVER (PARTITION BY conv_id) AS ends FROM prefixes),
+nodes AS (
+  SELECT key, len(key) AS depth, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs,
+         COALESCE(sha256(STRING_AGG(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends_sha256
+  FROM ended GROUP BY key),
+kids AS (SELECT key[1:depth - 1] AS key, COUNT(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+grown AS (SELECT n.*, COALESCE(k.n, 0) AS n_children, (n.n_convs - 1) * COALESCE(length(n.key[-1].t), 0) AS saved FROM nodes n LEFT JOIN kids k ON k.key = n.key),
+sums AS (
+  SELECT key[1:d] AS key, COUNT(*) FILTER (n_children = 0) AS n_leaves, SUM(saved) AS saved
+  FROM (SELECT *, UNNEST(range(0, depth + 1)) AS d FROM grown) GROUP BY ALL)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, g.ends_sha256
+FROM grown g JOIN sums s ON s.key = g.key LEFT JOIN nodes p ON g.depth > 0 AND p.key = g.key[1:g.depth - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": TRIE_SQL}
