@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_automaton, byte_bpe, chained_passages, edit_lines, html_wrapper, latent_decontamination, mpeg_audio, order_minhash, piece_bpe, prefix_trie, quality_classifier, secret_scan
+from . import backoff_automaton, byte_bpe, chained_passages, collocations, edit_lines, html_wrapper, latent_decontamination, mpeg_audio, order_minhash, piece_bpe, prefix_trie, quality_classifier, secret_scan
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -69,7 +73,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"), c - c % 100, F.crc32(c.cast("string")) % 6, most=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_lines, op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op6_latent_decontamination, op7_backoff_automaton, op8_secret_scan, op9_chained_passages, op10_mpeg_audio, op12_piece_bpe, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_edit_lines, op2_byte_bpe, op3_html_wrapper, op4_quality_classifier, op5_order_minhash, op6_latent_decontamination, op7_backoff_automaton, op8_secret_scan, op9_chained_passages, op10_mpeg_audio, op11_collocations, op12_piece_bpe, op13_prefix_trie)}
 
 # crc32 of a decimal number, bit by bit; then prefixes as lists of turns, each exploded to all that it begins with
 TRIE_SQL = """
@@ -102,4 +106,34 @@ SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children,
 FROM grown g JOIN sums s ON s.key = g.key LEFT JOIN nodes p ON g.depth > 0 AND p.key = g.key[1:g.depth - 1]
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": TRIE_SQL}
+# every run of one to three words of a piece, counted by text
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang, UNNEST(string_split_regex(
+    translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (
+  SELECT lang, piece, UNNEST(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT lang, ROW_NUMBER() OVER () AS piece, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces)),
+nexts AS (SELECT lang, w, LEAD(w) OVER following AS w2, LEAD(w, 2) OVER following AS w3 FROM worded WINDOW following AS (PARTITION BY piece ORDER BY i)),
+runs AS (
+  SELECT lang, 1 AS m, w AS phrase FROM nexts
+  UNION ALL SELECT lang, 2, w || ' ' || w2 FROM nexts WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM nexts WHERE w3 IS NOT NULL),
+counts AS (SELECT lang, m, phrase, COUNT(*) AS f FROM runs GROUP BY ALL),
+words AS (SELECT lang, SUM(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE m > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, UNNEST(range(1, m)) AS k FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:c.m], ' ')),
+best AS (SELECT * FROM cuts QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, MAX(a) AS f
+  FROM (SELECT *, UNNEST([1, 2]) AS i FROM candidates WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 50 * b.a),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, w.n, r.score FROM ranked r JOIN words w ON w.lang = r.lang WHERE r.rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_collocations": PHRASE_SQL, "op13_prefix_trie": TRIE_SQL}
