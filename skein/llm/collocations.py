@@ -8,9 +8,10 @@ one look at the words of the shifted bits is the AND with all of them at once. P
 batch of first words at a time, and only over pairs of words that are frequent in the whole corpus, which every frequent
 phrase consists of.
 
-Scale: whether a word or a pair is frequent is asked with 64-bit codes: a shard hands on its different codes, sorted and
-packed, with popcounts; the codes of a slice of the code space meet in a group (as many slices as bound its size) and one bit
-for each goes back. A code in two uses can only let a rare phrase pass this test. What passes is counted exactly, as
+Scale: whether a word or a pair is frequent is asked with codes, hashes cut to 4 bits more than the corpus has bytes: a shard
+hands on its different codes, sorted and packed, with popcounts; the codes of a slice of the code space meet in a group (as
+many slices as bound its size) and one bit for each goes back. A code in two uses can only let a rare phrase pass this test,
+which costs a row. What passes is counted exactly, as
 strings, by an aggregation over the shards' popcounts, so no count depends on hashes. Rows grow with the different phrases
 of a shard; a frequent phrase has one row in each shard, added up before and after the shuffle. Scores, containment and ranks
 are joins and aggregations over phrases that are frequent; each task keeps the best of a language before ranks are shuffled.
@@ -38,7 +39,7 @@ from .backoff_automaton import FACTOR, pack, unpack
 from .common import Batches, text_of, written
 from .order_minhash import mixed
 
-SHARD = 12_000_000  # bytes of text
+SHARD = 28_000_000  # bytes of text
 SLICE = 16_000_000  # bytes of text for each slice of the code space
 BATCH = 1 << 18  # places that are extended at once
 GAP = b"."  # between pieces
@@ -70,13 +71,13 @@ class Bitmaps(NamedTuple):
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """(owner, place) of every bit."""
-        owners, places = [self.owner[:0]], [self.block[:0]]
+        owners, places = [self.owner[:0]], [np.zeros(0, np.int32)]
         for at in range(0, len(self.mask), 1 << 16):
             part = slice(at, at + (1 << 16))
             bits = np.unpackbits(self.mask[part].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, bit = np.nonzero(bits)
             owners.append(self.owner[part][row])
-            places.append((self.block[part][row] << 6) + bit)
+            places.append(((self.block[part][row] << 6) + bit).astype(np.int32))
         return np.concatenate(owners), np.concatenate(places)
 
 
@@ -104,13 +105,13 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, size: int) -> DataFram
             nonlocal number
             key = (TaskContext.get().partitionId() << 32) + number
             number += 1
-            x = np.array(x, np.int64)
-            order = np.argsort(x, kind="stable")
+            x = np.array(x, np.int32)
+            order = np.argsort(x, kind="stable").astype(np.int32)
             order = order[np.searchsorted(x[order], 1) :]
             maps = Bitmaps.of(x[order], order)
             lang = np.array([k for k, _ in every], np.int64)
             tokens = np.bincount(lang, maps.popcounts(len(every) + 1)[1:], len(langs)).astype(np.int64)
-            packed = [press(b" ".join([w for _, w in every])), pack(lang), pack(np.diff(maps.owner, prepend=0)), pack(np.diff(maps.block, prepend=0).astype(np.int64)), pack(maps.mask)]
+            packed = [press(b" ".join([w for _, w in every])), pack(lang), pack(np.diff(maps.owner, prepend=0)), pack(np.diff(maps.block.astype(np.int64), prepend=0)), pack(maps.mask)]
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([bytes_], pa.int64()), pa.array([list(langs)], pa.list_(pa.string())), pa.array([tokens.tolist()], pa.list_(pa.int64())), *[pa.array([z], pa.binary()) for z in packed]], ["shard", "size", "langs", "tokens", "words", "of", "owner", "block", "mask"])
 
         x, every, langs, held = [], [], {}, 0
@@ -141,26 +142,29 @@ class Shard:
         self.names = pa.array([b"", *names], pa.binary()).cast(pa.string())
         prefix = [lang.encode() + b" " for lang in langs]
         self.code = np.array([0, *(xxhash.xxh3_64_intdigest(prefix[k] + w) for k, w in zip(self.lang[1:].tolist(), names, strict=True))], np.uint64)
-        self.maps = Bitmaps(np.cumsum(unpack(owner).view(np.int64)), np.cumsum(unpack(block).view(np.int64)), unpack(mask))
+        self.maps = Bitmaps(np.cumsum(unpack(owner).view(np.int64), dtype=np.int32), np.cumsum(unpack(block).view(np.int64), dtype=np.int32), unpack(mask))
         owner, place = self.maps.places()
-        self.word = np.zeros(int(place.max(initial=-1)) + 2, np.int64)  # 0 behind the last place
+        self.word = np.zeros(int(place.max(initial=-1)) + 2, np.int32)  # 0 behind the last place
         self.word[place] = owner
+        del owner, place
         self.counts = self.maps.popcounts(len(self.code))
         # of pairs: each bitmap of a word shifted, against those of all words; by their numbers, the second word's place
         owner, place = self.maps.shifted().places()
         there = self.word[place] > 0
         owner, place = owner[there], place[there]
-        pair = owner * len(self.code) + self.word[place]
+        pair = owner.astype(np.int64) * len(self.code) + self.word[place]
+        del owner, there
         order = np.lexsort((place, pair))
         pair, self.place = pair[order], place[order]
+        del order, place
         first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
         self.pair_counts = np.diff(np.r_[first, len(pair)])
         self.one, self.two = np.divmod(pair[first], len(self.code)) if len(first) else (pair, pair)
 
-    def coded(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def coded(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of words and of pairs: the different codes in ascending order, their counts, and the number among them of each."""
         for code, count in ((self.code[1:], self.counts[1:]), (mixed(self.code[self.one] * FACTOR + self.code[self.two]), self.pair_counts)):
-            codes, number = np.unique(code, return_inverse=True)
+            codes, number = np.unique(code >> np.uint64(64 - bits), return_inverse=True)
             yield codes, np.bincount(number, count, len(codes)).astype(np.int64), number
 
     def phrases(self, words: np.ndarray, pairs: np.ndarray, most: int) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
@@ -188,7 +192,7 @@ class Shard:
         owner, place = owner[there], place[there]
         order = np.lexsort((place, self.word[place], owner))
         owner, place = owner[order], place[order]
-        key = owner * len(self.code) + self.word[place]
+        key = owner.astype(np.int64) * len(self.code) + self.word[place]
         different, number = np.unique(key, return_inverse=True)
         if len(different):
             before, word = np.divmod(different, len(self.code))
@@ -196,16 +200,16 @@ class Shard:
             yield from self.extended(n + 1, Bitmaps.of(number, place), lang[before], longer, follows, most)
 
 
-def frequent(held: DataFrame, slices: int, least: int) -> DataFrame:
+def frequent(held: DataFrame, slices: int, bits: int, least: int) -> DataFrame:
     """(shard, gram, slice, flags): for each shard's different codes of words (gram 0) and pairs (1), in their order, whether they
     occur `least` times in all."""
 
     def ask(batches: Batches) -> Batches:
-        bounds = np.array([-((-k << 64) // slices) for k in range(1, slices)], np.uint64)
+        bounds = np.array([-((-k << bits) // slices) for k in range(1, slices)], np.uint64)
         for batch in batches:
             for row in batch.to_pylist():
                 number = row.pop("shard")
-                for gram, (codes, counts, _) in enumerate(Shard(**row).coded()):
+                for gram, (codes, counts, _) in enumerate(Shard(**row).coded(bits)):
                     cuts = np.r_[0, np.searchsorted(codes, bounds), len(codes)].tolist()
                     found = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
                     yield pa.RecordBatch.from_arrays(
@@ -231,15 +235,16 @@ def frequent(held: DataFrame, slices: int, least: int) -> DataFrame:
 def counted(held: DataFrame, least: int, most: int) -> DataFrame:
     """(lang, words, phrase, f): all words and phrases of up to `most` words that occur `least` times, with their occurrences."""
     size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    flags = frequent(held, int(size) // SLICE + 1, least)
+    bits = min(64, int(size + 2).bit_length() + 4)
+    flags = frequent(held, int(size) // SLICE + 1, bits, least)
 
     def mine(texts: pa.Table, answers: pa.Table) -> pa.Table:
         shard = Shard(**texts.select(["langs", "words", "of", "owner", "block", "mask"]).to_pylist()[0])
         order = sorted(zip(*(answers.column(c).to_pylist() for c in ("gram", "slice", "size", "flags")), strict=True))
         often = []
-        for gram, (_, _, number) in enumerate(shard.coded()):
-            bits = [np.unpackbits(np.frombuffer(z, np.uint8), count=n) for g, _, n, z in order if g == gram]
-            often.append(np.concatenate(bits).astype(bool)[number] if bits else np.zeros(0, bool))
+        for gram, (_, _, number) in enumerate(shard.coded(bits)):
+            answered = [np.unpackbits(np.frombuffer(z, np.uint8), count=n) for g, _, n, z in order if g == gram]
+            often.append(np.concatenate(answered).astype(bool)[number] if answered else np.zeros(0, bool))
         out = list(shard.phrases(*often, most))
         return pa.table({"lang": pa.chunked_array([x for _, x, _, _ in out], pa.string()), "words": pa.array(np.repeat([n for n, *_ in out], [len(c) for *_, c in out]), pa.int32()), "phrase": pa.chunked_array([x for _, _, x, _ in out], pa.string()), "f": pa.array(np.concatenate([c for *_, c in out]), pa.int64())})
 
