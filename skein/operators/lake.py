@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import masking as M
 from ..schema import RUNTIMES, STORED_EVENT, STORED_LABEL, LakeError, check_runtime
 from ..sources.adapters import ADAPTERS, droid_settings
-from ..sources.discovery import kimi_projects, sidecars
-from ..streaming.tail import TailSource
+from ..sources.discovery import kimi_sessions, sidecars
+from ..streaming import tail
+from . import tallies
 
 CORRUPT = "_corrupt"
 
 
-def canonical(raw: DataFrame, runtime: str, machine: str, aliased: bool = True) -> DataFrame:
+def canonical(raw: DataFrame, runtime: str, machine: str, aliased: bool = True, keep: dict[str, Column] | None = None) -> DataFrame:
     """Raw events as canonical ones: text masked, then clipped (so the cut shortens no secret below its pattern), string
-    values of extra masked, an empty type read as meta, the source's stem hash added, and the date partition."""
+    values of extra masked, an empty type read as meta, the source's stem hash added, and the date partition; keep: further
+    columns of the raw events."""
     check_runtime(runtime)
     extra = M.mask_extra(F.col("extra"))
     if aliased:
@@ -36,6 +40,7 @@ def canonical(raw: DataFrame, runtime: str, machine: str, aliased: bool = True)
         "tokens_out",
         extra.alias("extra"),
         M.date_partition(F.coalesce("ts", F.lit(""))).alias("date"),
+        *[c.alias(name) for name, c in (keep or {}).items()],
     )
 
 
@@ -66,37 +71,54 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/events", copy.deepcopy(STORED_EVENT))
 
 
+def stored_events(spark: SparkSession, path: str) -> DataFrame:
+    """What the stream has stored, as it is on disk: times as texts, with the partitions runtime, date and batch."""
+    import copy
+
+    schema = copy.deepcopy(STORED_EVENT)
+    for name in ("runtime", "date", "batch"):
+        schema = schema if name in schema.names else schema.add(name, "string")
+    return spark.read.schema(schema).json(f"{path}/events")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     import copy
 
     return _read(spark, f"{path}/labels", copy.deepcopy(STORED_LABEL))
 
 
-def parsed(lines: DataFrame, runtime: str, kimi_index: str | None = None) -> DataFrame:
-    """The raw events of a runtime's lines; kimi_index: its session index, which has the projects."""
-    if runtime == "kimi" and kimi_index and _exists(lines.sparkSession, kimi_index):
-        return ADAPTERS[runtime](lines, kimi_projects(lines.sparkSession, kimi_index))
-    return ADAPTERS[runtime](lines)
+def parsed(spark: SparkSession, source: str, runtime: str, kimi_index: str | None = None, split: int = tail.SPLIT) -> DataFrame:
+    """The raw events of a runtime's files (a glob); kimi_index: its session index, which has the projects. Files are read in
+    partitions of `split` bytes; if some are longer, registers are carried in ranges of as many."""
+    lines = spark.read.format("tail").option("path", source).option("split", str(split)).load()
+    longest = max((os.path.getsize(f) for f in tail.matching({"path": source})), default=0)
+    sessions = kimi_sessions(spark, kimi_index) if runtime == "kimi" else None
+    return ADAPTERS[runtime](lines, sessions, split if longest > split else 0)
 
 
-def ingest(spark: SparkSession, sources: dict[str, str], path: str, machine: str, kimi_index: str | None = None) -> None:
-    """All complete lines of the sources (a glob by runtime) into the lake, and the settings beside droid's transcripts."""
-    spark.dataSource.register(TailSource)
+def ingest(spark: SparkSession, sources: dict[str, str], path: str, machine: str, kimi_index: str | None = None, split: int = tail.SPLIT) -> dict[str, dict[str, int]]:
+    """All complete lines of the sources (a glob by runtime) into the lake, and the settings beside droid's transcripts. Returns
+    each runtime's tally: events, masked places, sessions."""
+    spark.dataSource.register(tail.TailSource)
+    out = {}
     for runtime in RUNTIMES:
         if runtime in sources:
-            lines = spark.read.format("tail").option("path", sources[runtime]).load()
-            append(canonical(parsed(lines, runtime, kimi_index), runtime, machine), path)
+            raw = parsed(spark, sources[runtime], runtime, kimi_index, split)
             if runtime == "droid":
-                append(canonical(droid_settings(sidecars(spark, sources[runtime])), runtime, machine), path)
+                raw = raw.unionByName(droid_settings(sidecars(spark, sources[runtime])))
+            tally = tallies.Tally(runtime)
+            append(tally.watch(canonical(raw, runtime, machine)), path)
+            out[runtime] = tally.counts()
+    return out
 
 
-def rebuild(spark: SparkSession, sources: dict[str, str], target: str, machine: str, kimi_index: str | None = None) -> None:
-    """A replay into an empty root, by the transforms of the stream."""
+def rebuild(spark: SparkSession, sources: dict[str, str], target: str, machine: str, kimi_index: str | None = None, split: int = tail.SPLIT) -> dict[str, dict[str, int]]:
+    """A replay into an empty root, by the transforms of the stream; returns the tallies."""
     if unknown := set(sources) - set(RUNTIMES):
         raise LakeError(f"unknown runtimes {sorted(unknown)}")
     if _exists(spark, f"{target}/events"):
         raise LakeError(f"{target} is not empty")
-    ingest(spark, sources, target, machine, kimi_index)
+    return ingest(spark, sources, target, machine, kimi_index, split)
 
 
 def compact(spark: SparkSession, path: str) -> None:

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import SparkSession
 
 from ..sources import discovery
-from . import lake
+from . import lake, tallies
 
 
 def paths(path: str) -> dict[str, str]:
@@ -28,7 +28,7 @@ def stream_status(path: str) -> dict[str, dict]:
         try:
             with open(f"{offsets}/{batches[-1]}", encoding="utf-8") as f:
                 consumed = json.loads(f.read().strip().split("\n")[-1])
-            out[runtime] = {"state": "healthy", "batch": batches[-1], "files": len(consumed), "bytes": sum(consumed.values())}
+            out[runtime] = {"state": "healthy", "batch": batches[-1], "files": len(consumed), "bytes": sum(x.get("at", x.get("size", 0)) for x in consumed.values())}
         except (ValueError, AttributeError, TypeError) as e:
             out[runtime] = {"state": "invalid", "why": str(e)}
     return out
@@ -36,7 +36,8 @@ def stream_status(path: str) -> dict[str, dict]:
 
 def status(spark: SparkSession, path: str) -> dict:
     report = [r.asDict() for r in lake.partition_report(spark, path).orderBy("runtime").collect()] if os.path.isdir(f"{path}/events") else []
-    return {"paths": paths(path), "partitions": report, "stream": stream_status(path)}
+    counted = [r.asDict() for r in tallies.tallies(spark, path).orderBy("runtime").collect()]
+    return {"paths": paths(path), "partitions": report, "stream": stream_status(path), "tallies": counted}
 
 
 def doctor(spark: SparkSession, path: str, home: str) -> list[tuple[str, str, str]]:

@@ -1,12 +1,39 @@
-"""Vendor adapters: each takes lines (file, seq, line) and returns raw events (see records)."""
+"""Vendor adapters: each reads lines (file, seq, line) one by one into what they say and what they set (see records.said), and
+names how that is carried on: by windows in a batch (records.carry), by state in a stream (streaming.state)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import records as R
-from .records import event, extra, filled, is_object, is_true, items, number, one, text
+from .records import CARRIED, event, extra, filled, is_object, is_true, items, number, one, text
+
+
+@dataclass(frozen=True)
+class Adapter:
+    """read: lines to records.said; timed: lines before the first time set nothing; held: events wait for a release; calls: results
+    take the name of their call. Called with lines, it returns their raw events; with `split`, files are carried in ranges of as
+    many bytes."""
+
+    read: Callable[[DataFrame], DataFrame]
+    timed: bool = False
+    held: bool = False
+    calls: bool = False
+
+    def __call__(self, lines: DataFrame, sessions: DataFrame | None = None, split: int = 0) -> DataFrame:
+        return with_projects(R.carry(self.read(lines), self.timed, self.held, self.calls, split), sessions)
+
+
+def with_projects(raw: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """sessions: (session_id, project), see discovery.kimi_projects."""
+    if sessions is None:
+        return raw
+    names = raw.columns
+    return raw.drop("project").join(sessions.select("session_id", "project"), "session_id", "left").select(*names)
 
 
 def _name(file: Column) -> Column:
@@ -24,12 +51,11 @@ def _texts(blocks: Column, image: bool = False) -> Column:
     return F.array_join(F.filter(out, lambda x: x.isNotNull()), "\n")
 
 
-def claude(lines: DataFrame) -> DataFrame:
+def read_claude(lines: DataFrame) -> DataFrame:
     df = R.objects(lines)
     v = F.col("v")
     folder = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
     home = F.when(folder.startswith("-"), F.translate(folder, "-", "/"))
-    df = df.withColumn("session_id", F.coalesce(R.carried(filled(v, "$.sessionId")), _stem(F.col("file")))).withColumn("project", F.coalesce(R.carried(filled(v, "$.cwd")), home)).withColumn("ts", R.carried(filled(v, "$.timestamp")))
     side = F.when(is_true(v, "$.isSidechain"), True)
     meta = is_true(v, "$.isMeta")
     said = F.when(meta, "meta").otherwise("user")
@@ -77,20 +103,17 @@ def claude(lines: DataFrame) -> DataFrame:
         .when(t == "system", one(event("meta", F.coalesce(filled(v, "$.content"), filled(v, "$.stopReason")), more=extra(("kind", F.lit("system")), ("subtype", filled(v, "$.subtype"))))))
         .when((t == "summary") & filled(v, "$.summary").isNotNull(), one(event("meta", filled(v, "$.summary"), more=extra(("kind", F.lit("summary"))))))
     )
-    return R.exploded(df.filter("ts is not null").withColumn("events", events))
+    return R.said(df, events, ts=filled(v, "$.timestamp"), session_id=filled(v, "$.sessionId"), project=filled(v, "$.cwd"), base=(_stem(F.col("file")), home))
 
 
-def codex(lines: DataFrame) -> DataFrame:
+def read_codex(lines: DataFrame) -> DataFrame:
     df = R.objects(lines)
     v, p = F.col("v"), "$.payload"
-    df = df.withColumn("ts", R.carried(filled(v, "$.timestamp"))).filter("ts is not null").filter(is_object(v, p))
     t, sub = text(v, "$.type"), filled(v, f"{p}.type")
     opens, turn = t == "session_meta", t == "turn_context"
     stem = _stem(F.col("file"))
     uuid = F.regexp_extract(stem, r"(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1)
-    df = df.withColumn("session_id", F.coalesce(R.carried(F.when(opens, filled(v, f"{p}.id"))), F.when(uuid != "", uuid), stem))
-    df = df.withColumn("project", R.carried(F.when(opens | turn, filled(v, f"{p}.cwd")))).withColumn("model", R.carried(F.when(turn, filled(v, f"{p}.model"))))
-    model = F.col("model")
+    model = F.lit(CARRIED)
     said = lambda blocks: F.array_join(F.filter(F.transform(blocks, lambda b: text(b, "$.text")), lambda x: ~R.blank(x)), "\n")
     zero = lambda k: F.coalesce(number(v, f"{p}.info.last_token_usage.{k}"), F.lit(0).cast("long"))
     total, cached, out, thought = (zero(k) for k in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"))
@@ -113,7 +136,9 @@ def codex(lines: DataFrame) -> DataFrame:
     )
     opened = event("meta", "", more=extra(("kind", F.lit("session_meta")), ("originator", filled(v, f"{p}.originator")), ("cli_version", filled(v, f"{p}.cli_version")), ("source", filled(v, f"{p}.source"))))
     events = F.when(opens, one(opened)).when(t == "event_msg", message).when(t == "response_item", item).when(t == "compacted", one(event("meta", filled(v, f"{p}.message"), more=extra(("kind", F.lit("compacted"))))))
-    return R.exploded(df.withColumn("events", events))
+    there = is_object(v, p)
+    set_ = lambda condition, path: F.when(there & condition, filled(v, path))
+    return R.said(df, F.when(there, events), ts=filled(v, "$.timestamp"), session_id=set_(opens, f"{p}.id"), project=set_(opens | turn, f"{p}.cwd"), model=set_(turn, f"{p}.model"), base=(F.coalesce(F.when(uuid != "", uuid), stem), None))
 
 
 def _js(v: Column, path: str) -> Column:
@@ -153,18 +178,16 @@ def _dialogue(v: Column, call: str, result: str | None, other: str, tagged: bool
     return F.when(~is_object(v, "$.message"), one(event("meta", "", more=extra(("kind", F.lit("message")))))).when(blocks.isNotNull(), many).otherwise(single)
 
 
-def omp(lines: DataFrame) -> DataFrame:
+def read_omp(lines: DataFrame) -> DataFrame:
     df = R.objects(lines)
     v = F.col("v")
     t = F.coalesce(text(v, "$.type"), F.lit(""))
     stamp_bad = R.kind(v, "$.timestamp").rlike("^(BIGINT|DECIMAL|DOUBLE|INT|TINYINT|SMALLINT)") & R.epoch(v, "$.timestamp").isNull()
     df = df.filter(~F.coalesce(stamp_bad, F.lit(False)))
     stamp = F.coalesce(text(v, "$.timestamp"), R.epoch(v, "$.timestamp"), text(v, "$.updatedAt"))
-    df = df.withColumn("last_ts", R.carried(stamp)).withColumn("ts", F.col("last_ts"))
     stem = _stem(F.col("file"))
     named = F.when(stem.contains("_"), F.regexp_extract(stem, r"^[^_]*_(.*)$", 1)).otherwise(stem)
-    df = df.withColumn("session_id", F.coalesce(R.carried(F.when(t == "session", filled(v, "$.id"))), named)).withColumn("project", R.carried(F.when(t == "session", filled(v, "$.cwd")))).withColumn("model", R.carried(F.when(t == "model_change", text(v, "$.model"))))
-    model = F.col("model")
+    model = F.lit(CARRIED)
     role = text(v, "$.message.role")
     result = event("tool_result", _text_of(v, "$.message.content"), tool_name=text(v, "$.message.toolName"), more=extra(("call_id", R.present(v, "$.message.toolCallId")), ("is_error", F.when(is_true(v, "$.message.isError"), True))))
     talk = _dialogue(v, "toolCall", None, "omp_block", True)
@@ -183,19 +206,18 @@ def omp(lines: DataFrame) -> DataFrame:
         .when(t.isin("custom_message", "custom"), one(event("meta", _text_of(v, "$.content"), more=extra(k, ("custom_type", R.present(v, "$.customType"))))))
         .otherwise(one(event("meta", "", more=extra(("kind", F.lit("unknown")), ("omp_type", _js(v, "$.type"))))))
     )
-    return R.exploded(R.released(df.withColumn("events", events), t == "session"))
+    opens = t == "session"
+    return R.said(df, events, ts=stamp, session_id=F.when(opens, filled(v, "$.id")), project=F.when(opens, filled(v, "$.cwd")), model=F.when(t == "model_change", text(v, "$.model")), release=opens, base=(named, None))
 
 
-def droid(lines: DataFrame) -> DataFrame:
+def read_droid(lines: DataFrame) -> DataFrame:
     """Transcripts (files not named *.settings.json)."""
     df = R.objects(lines.filter(~F.col("file").endswith(".settings.json")))
     v = F.col("v")
     t = F.coalesce(text(v, "$.type"), F.lit(""))
     stamp_bad = R.kind(v, "$.timestamp").rlike("^(BIGINT|DECIMAL|DOUBLE|INT|TINYINT|SMALLINT)") & R.epoch(v, "$.timestamp").isNull()
     df = df.filter(~F.coalesce(stamp_bad, F.lit(False)))
-    df = df.withColumn("last_ts", R.carried(F.coalesce(text(v, "$.timestamp"), R.epoch(v, "$.timestamp")))).withColumn("ts", F.col("last_ts"))
-    begins = t == "session_start"
-    df = df.withColumn("session_id", F.coalesce(R.carried(F.when(begins, filled(v, "$.id"))), _stem(F.col("file")))).withColumn("project", R.carried(F.when(begins, filled(v, "$.cwd"))))
+    stamp, begins = F.coalesce(text(v, "$.timestamp"), R.epoch(v, "$.timestamp")), t == "session_start"
     k = ("kind", t)
     events = (
         F.when(begins, one(event("meta", F.coalesce(filled(v, "$.sessionTitle"), text(v, "$.title")), more=extra(k, ("version", R.present(v, "$.version"))))))
@@ -204,7 +226,7 @@ def droid(lines: DataFrame) -> DataFrame:
         .when(t == "compaction_state", one(event("meta", text(v, "$.summaryText"), more=extra(k))))
         .otherwise(one(event("meta", "", more=extra(("kind", F.lit("unknown")), ("droid_type", _js(v, "$.type"))))))
     )
-    return R.exploded(R.released(df.withColumn("events", events), F.col("last_ts").isNotNull()))
+    return R.said(df, events, ts=stamp, session_id=F.when(begins, filled(v, "$.id")), project=F.when(begins, filled(v, "$.cwd")), release=stamp.isNotNull(), base=(_stem(F.col("file")), None))
 
 
 def droid_settings(files: DataFrame) -> DataFrame:
@@ -213,25 +235,19 @@ def droid_settings(files: DataFrame) -> DataFrame:
     v = F.col("v")
     df = df.withColumn("ts", text(v, "$.providerLockTimestamp")).filter("ts is not null").withColumn("session_id", F.regexp_replace(_name(F.col("file")), r"\.settings\.json$", "")).withColumn("project", F.lit(None).cast("string"))
     use = lambda k: F.when(is_object(v, "$.tokenUsage"), number(v, f"$.tokenUsage.{k}"))
-    return R.exploded(df.withColumn("events", one(event("meta", "", tokens_in=use("inputTokens"), tokens_out=use("outputTokens"), more=extra(("kind", F.lit("settings")), ("provider", F.coalesce(R.present(v, "$.apiProviderLock"), R.present(v, "$.providerLock"))))))))
+    return R.exploded(df.withColumns({"model": F.lit(None).cast("string"), "called": F.lit(None).cast("string")}).withColumn("events", one(event("meta", "", tokens_in=use("inputTokens"), tokens_out=use("outputTokens"), more=extra(("kind", F.lit("settings")), ("provider", F.coalesce(R.present(v, "$.apiProviderLock"), R.present(v, "$.providerLock"))))))))
 
 
-def kimi(lines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """sessions: (session_id, project), see discovery.kimi_projects."""
+def read_kimi(lines: DataFrame) -> DataFrame:
     df = R.objects(lines)
     v = F.col("v")
-    df = df.withColumn("ts", R.carried(F.coalesce(R.epoch(v, "$.time"), R.epoch(v, "$.created_at")))).filter("ts is not null")
     t = F.coalesce(text(v, "$.type"), F.lit(""))
-    df = df.withColumn("model", R.carried(F.when(t == "usage.record", filled(v, "$.model"))))
-    df = df.withColumn("session_id", F.regexp_extract("file", r"(session_[^/]+)/agents/main/[^/]+$", 1)).withColumn("session_id", F.when(F.col("session_id") != "", F.col("session_id")).otherwise(_stem(F.col("file"))))
-    model = F.col("model")
+    folder = F.regexp_extract("file", r"(session_[^/]+)/agents/main/[^/]+$", 1)
+    model = F.lit(CARRIED)
     e = text(v, "$.event.type")
     loop = t == "context.append_loop_event"
     calls, results = loop & (e == "tool.call"), loop & (e == "tool.result")
     call_id = F.when(calls, F.coalesce(filled(v, "$.event.toolCallId"), filled(v, "$.event.uuid"))).when(results, F.coalesce(filled(v, "$.event.toolCallId"), filled(v, "$.event.parentUuid")))
-    df = df.withColumn("call_id", call_id)
-    named = F.last(F.when(calls, filled(v, "$.event.name")), ignorenulls=True).over(Window.partitionBy("file", "call_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("called", F.when(F.col("call_id").isNotNull(), named))
     raw = F.get_json_object("line", "$.event.args")
     args = F.when(R.kind(v, "$.event.args") == "STRING", F.to_json(R.part(v, "$.event.args"))).when(R.kind(v, "$.event.args") == "VOID", "null").otherwise(raw)
     bad = R.kind(v, "$.event.result.isError")
@@ -241,8 +257,8 @@ def kimi(lines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     looped = (
         F.when((e == "content.part") & (part == "text") & spoken.isNotNull(), one(event("assistant", spoken, model=model)))
         .when((e == "content.part") & (part == "think") & thought.isNotNull(), one(event("thinking", thought, model=model)))
-        .when(e == "tool.call", one(event("tool_call", F.coalesce(args, filled(v, "$.event.description")), tool_name=filled(v, "$.event.name"), model=model, more=extra(("tool_use_id", F.col("call_id"))))))
-        .when(e == "tool.result", one(event("tool_result", F.coalesce(text(v, "$.event.result.output"), text(v, "$.event.result")), tool_name=F.col("called"), more=extra(("tool_use_id", F.col("call_id")), ("is_error", F.when(truthy, True))))))
+        .when(e == "tool.call", one(event("tool_call", F.coalesce(args, filled(v, "$.event.description")), tool_name=filled(v, "$.event.name"), model=model, more=extra(("tool_use_id", call_id)))))
+        .when(e == "tool.result", one(event("tool_result", F.coalesce(text(v, "$.event.result.output"), text(v, "$.event.result")), tool_name=F.lit(CARRIED), more=extra(("tool_use_id", call_id), ("is_error", F.when(truthy, True))))))
     )
     role, origin = filled(v, "$.message.role"), filled(v, "$.message.origin.kind")
     body = R.strip(F.coalesce(text(v, "$.message.content"), _texts(items(v, "$.message.content")), F.lit("")))
@@ -259,28 +275,24 @@ def kimi(lines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
         .when((t == "context.apply_compaction") & filled(v, "$.summary").isNotNull(), one(event("meta", filled(v, "$.summary"), more=extra(("kind", F.lit("compaction"))))))
         .when(t == "turn.cancel", one(event("meta", "", more=extra(("kind", F.lit("turn.cancel"))))))
     )
-    df = df.withColumn("events", events)
-    if sessions is None:
-        df = df.withColumn("project", F.lit(None).cast("string"))
-    else:
-        df = df.join(sessions.select("session_id", "project"), "session_id", "left")
-    return R.exploded(df)
+    stamp = F.coalesce(R.epoch(v, "$.time"), R.epoch(v, "$.created_at"))
+    return R.said(df, events, ts=stamp, model=F.when(t == "usage.record", filled(v, "$.model")), call_id=call_id, call_name=F.when(calls, filled(v, "$.event.name")), base=(F.when(folder != "", folder).otherwise(_stem(F.col("file"))), None))
 
 
 PICKED = ("event", "decision", "tool", "code", "ms", "timedOut", "infra")
 
 
-def hooks_legacy(lines: DataFrame) -> DataFrame:
-    df = R.objects(lines)
+def read_hooks(lines: DataFrame) -> DataFrame:
+    """Lines are on their own: each has its time, session and project, or has none."""
     v = F.col("v")
-    stamp = F.coalesce(filled(v, "$.ts"), R.epoch(v, "$.ts"))
-
-    def chosen(*names: str) -> Column:
-        return F.coalesce(*[F.when(R.kind(v, f"$.{n}") != "VOID", F.coalesce(text(v, f"$.{n}"), F.to_json(R.part(v, f"$.{n}")))) for n in names])
-
-    df = df.withColumn("ts", stamp).filter("ts is not null").withColumn("session_id", chosen("session_id", "sessionId", "session")).withColumn("project", chosen("project", "cwd"))
-    made = event("hook_decision", text(v, "$.reason"), tool_name=text(v, "$.id"), more=extra(*[(k, R.present(v, f"$.{k}")) for k in PICKED]))
-    return R.exploded(df.withColumn("events", one(made)))
+    names = ("session_id", "sessionId", "session", "project", "cwd")
+    parts = F.struct(*[R.present(v, f"$.{k}").alias(k) for k in PICKED], *[F.when(R.kind(v, f"$.{k}") != "VOID", F.coalesce(text(v, f"$.{k}"), F.to_json(R.part(v, f"$.{k}")))).alias(f"as_{k}") for k in names])
+    df = R.objects(lines).withColumns({"parts": parts, "stamp": F.coalesce(filled(v, "$.ts"), R.epoch(v, "$.ts"))})
+    chosen = lambda *picked: F.coalesce(*[F.col(f"parts.as_{k}") for k in picked])
+    made = event("hook_decision", text(v, "$.reason"), tool_name=text(v, "$.id"), more=extra(*[(k, F.col(f"parts.{k}")) for k in PICKED]))
+    return R.said(df.filter("stamp is not null"), one(made), ts=F.col("stamp"), base=(chosen(*names[:3]), chosen(*names[3:])))
 
 
+claude, codex, omp = Adapter(read_claude), Adapter(read_codex, timed=True), Adapter(read_omp, held=True)
+droid, kimi, hooks_legacy = Adapter(read_droid, held=True), Adapter(read_kimi, timed=True, calls=True), Adapter(read_hooks)
 ADAPTERS = {"claude": claude, "codex": codex, "omp": omp, "droid": droid, "kimi": kimi, "hooks": hooks_legacy}

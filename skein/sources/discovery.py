@@ -37,15 +37,24 @@ def inventory(home: str) -> dict[str, dict]:
     return out
 
 
+def sidecar_path(source: str) -> str:
+    """The paths of the settings that belong to a source's transcripts, as a path option."""
+    return ",".join(p.removesuffix(SIDECAR[0]) + SIDECAR[1] for p in source.split(",") if p.endswith(SIDECAR[0]))
+
+
 def sidecars(spark: SparkSession, source: str) -> DataFrame:
     """(file, content) of the settings beside the transcripts of a source (globs, or files, separated by commas)."""
-    names = [p.removesuffix(SIDECAR[0]) + SIDECAR[1] for p in source.split(",") if p.endswith(SIDECAR[0])]
-    names = [p for p in names if glob.glob(p)]
+    names = [p for p in sidecar_path(source).split(",") if p and glob.glob(p)]
     if not names:
         return spark.createDataFrame([], "file string, content string")
     return spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")).distinct()
 
 
+def kimi_sessions(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The projects of a session index that may not be there."""
+    return kimi_projects(spark, path) if path and glob.glob(path) else None
+
+
 def kimi_projects(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, project) of a session index (a text file of JSON lines); the last line of a session wins."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line"))

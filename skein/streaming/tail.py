@@ -1,9 +1,17 @@
-"""A data source for growing text files: complete lines with their byte offsets, as a batch or as a stream.
+"""Data sources for files that others write: `tail` for growing text files, `snapshots` for small ones that are replaced.
 
-Options: `path` (a glob, or several separated by commas) and `max_bytes` a file and micro-batch. The stream's offset is
-the consumed byte of every file, so a restart goes on where the checkpoint is; an unterminated last line waits; a file
-that got shorter is refused. Spark's own file source does not see appends to a file it knows. The paths must be on a
-file system that driver and executors share.
+tail: complete lines with their byte offsets, as a batch or as a stream. Options: `path` (a glob, or several separated by
+commas), `split` (bytes of a batch's partitions), and for a stream `max_bytes` a file and `max_lines` over all files in a
+micro-batch. The stream's offset has the consumed bytes of every file and what the file was like then: its size, its time,
+and digests of the first and the last bytes that were consumed. A file that shrank, changed at the same size, or whose
+consumed bytes are others now is refused: what was stored no longer follows from it. An unterminated last line waits.
+Long files are several partitions of a batch: a line belongs to the range in which it begins.
+
+snapshots: (file, content), the whole of every file that is new or changed; content is null for one that is gone. Options: `path`,
+and `max_files` in a micro-batch. The offset has the size and time of every file, so the latest content wins.
+
+Both take `known`, the offset that a restarted stream goes on from (see offsets), as Spark asks a source for its newest
+offset without saying where it stands. The paths must be on a file system that driver and executors share.
 
     spark.dataSource.register(TailSource)
     spark.readStream.format("tail").option("path", "/logs/*.jsonl").load()     # file, seq (byte offset), line
@@ -12,15 +20,20 @@ file system that driver and executors share.
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, seq long, line string"
 STEP = 1 << 16
+SPLIT = 64 << 20  # bytes of a partition of a batch
+EDGE = 4096  # bytes at each end of what was consumed that are remembered by their digest
+MAX_FILES = 1000
 
 
 @dataclass
@@ -48,24 +61,92 @@ def last_newline(file: str, begin: int, end: int) -> int:
     return begin
 
 
+def after_lines(file: str, begin: int, end: int, lines: int) -> tuple[int, int]:
+    """The place after so many lines from begin on, or after the last one before end; and how many they are."""
+    found, place = 0, begin
+    with open(file, "rb") as f:
+        f.seek(begin)
+        at = begin
+        while at < end and found < lines:
+            chunk = f.read(min(STEP, end - at))
+            if not chunk:
+                break
+            here = chunk.count(b"\n")
+            if found + here <= lines:
+                found += here
+                last = chunk.rfind(b"\n")
+                place = at + last + 1 if last >= 0 else place
+            else:
+                cut = -1
+                for _ in range(lines - found):
+                    cut = chunk.index(b"\n", cut + 1)
+                return at + cut + 1, lines
+            at += len(chunk)
+    return place, found
+
+
 def lines_of(span: Span) -> Iterator[tuple]:
-    """Lines with their offsets; a carriage return before the newline goes, bad bytes are replaced."""
+    """The lines that begin in the span, with their offsets; a carriage return before the newline goes, bad bytes are replaced."""
     with open(span.file, "rb") as f:
-        f.seek(span.begin)
         at = span.begin
-        while at < span.end and (raw := f.readline(span.end - at)):
-            yield span.file, at, raw.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
+        if at:
+            f.seek(at - 1)
+            at += len(f.readline()) - 1  # the rest of a line that begins before
+        while at < span.end and (raw := f.readline()):
+            yield span.file, at, raw.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
             at += len(raw)
 
 
+def digest(file: str, begin: int, end: int) -> str:
+    with open(file, "rb") as f:
+        f.seek(begin)
+        return hashlib.sha256(f.read(end - begin)).hexdigest()[:32]
+
+
+def consumed(file: str, at: int, seen: os.stat_result) -> dict:
+    """The offset of a file of which the first `at` bytes were consumed."""
+    return {"at": at, "size": seen.st_size, "time": seen.st_mtime_ns, "head": digest(file, 0, min(at, EDGE)), "tail": digest(file, max(0, at - EDGE), at)}
+
+
+def verify(file: str, was: dict, seen: os.stat_result) -> None:
+    """Raises unless the file still begins with what was consumed of it."""
+    if seen.st_size < max(was["at"], was["size"]):
+        raise ValueError(f"{file} shrank from {was['size']} to {seen.st_size} bytes; rebuild the lake from what is there")
+    if seen.st_size == was["size"] and seen.st_mtime_ns != was["time"] and was["at"] >= seen.st_size:
+        raise ValueError(f"{file} was rewritten without an append; rebuild the lake from what is there")
+    if seen.st_mtime_ns != was["time"] or seen.st_size != was["size"]:
+        at = was["at"]
+        if (digest(file, 0, min(at, EDGE)), digest(file, max(0, at - EDGE), at)) != (was["head"], was["tail"]):
+            raise ValueError(f"{file} was rewritten: the bytes before {at} are others now; rebuild the lake from what is there")
+
+
+def offsets(spark: SparkSession, checkpoint: str) -> list[dict]:
+    """The last logged offset of each source of a query's checkpoint, read through Spark's file systems; none for a new query."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    batches = [int(n) for s in fs.listStatus(folder) if (n := s.getPath().getName()).isdigit()]
+    if not batches:
+        return []
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(folder, str(max(batches))))
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [json.loads(x) if x != "-" else {} for x in text.strip().split("\n")[2:]]
+
+
 class _Batch(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[Span]:
-        ends = json.loads(self.options.get("ends", "{}"))
-        files = list(ends) or matching(self.options)
-        return [Span(f, 0, ends.get(f, last_newline(f, 0, os.path.getsize(f)))) for f in files]
+        step, out = int(self.options.get("split", SPLIT)), []
+        for f in matching(self.options):
+            end = last_newline(f, 0, os.path.getsize(f))
+            out += [Span(f, a, min(a + step, end)) for a in range(0, end, step)]
+        return out
 
     def read(self, partition: Span) -> Iterator[tuple]:
         return lines_of(partition)
@@ -74,42 +155,51 @@ class _Batch(DataSourceReader):
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.options = options
-        self.most = int(options.get("max_bytes", 0))
-        self.known: dict[str, int] = {}
+        self.most, self.lines = int(options.get("max_bytes", 0)), int(options.get("max_lines", 0))
+        self.known: dict[str, dict] = json.loads(options.get("known", "{}"))
+        self.turn = ""  # the file that used up the lines: the next one comes first
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        """Aligned to newlines; no further than max_bytes beyond the last planned end of each file."""
-        for file in matching(self.options):
-            size, begin = os.path.getsize(file), self.known.get(file, 0)
-            if size < begin:
-                raise ValueError(f"{file} shrank from {begin} to {size} bytes")
-            end = min(size, begin + self.most) if self.most else size
-            end = last_newline(file, begin, end)
+        """Aligned to newlines; no further than the limits beyond the last planned end of each file."""
+        left, files = self.lines, matching(self.options)
+        for file in [f for f in files if f > self.turn] + [f for f in files if f <= self.turn]:
+            seen, was = os.stat(file), self.known.get(file)
+            if was:
+                verify(file, was, seen)
+                if (seen.st_size, seen.st_mtime_ns) == (was["size"], was["time"]) and was["at"] == seen.st_size:
+                    continue
+            size, begin = seen.st_size, was["at"] if was else 0
+            end = last_newline(file, begin, min(size, begin + self.most) if self.most else size)
             if end == begin and self.most and size > begin:  # a line longer than the limit
-                end = last_newline(file, begin, size)
-            self.known[file] = end
+                end = after_lines(file, begin, size, 1)[0]
+            if self.lines:
+                if not left:
+                    continue
+                end, count = after_lines(file, begin, end, left)
+                left -= count
+                self.turn = file if not left else self.turn
+            if end > begin or not was:
+                self.known[file] = consumed(file, end, seen)
         return dict(self.known)
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         out = []
         for file, stop in sorted(end.items()):
-            begin = start.get(file, 0)
-            self.known[file] = max(stop, self.known.get(file, 0))
-            if stop < begin or os.path.getsize(file) < stop:
+            begin = start.get(file, {"at": 0})["at"]
+            if self.known.get(file, {"at": 0})["at"] <= stop["at"]:
+                self.known[file] = stop
+            if stop["at"] < begin or os.path.getsize(file) < stop["at"]:
                 raise ValueError(f"{file} was rewritten: {begin} bytes consumed, {os.path.getsize(file)} there")
-            if stop > begin:
-                out.append(Span(file, begin, stop))
+            if stop["at"] > begin:
+                out.append(Span(file, begin, stop["at"]))
         return out or [Span("", 0, 0)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         return lines_of(partition) if partition.file else iter(())
 
-    def commit(self, end: dict) -> None:
-        self.known.update({k: max(v, self.known.get(k, 0)) for k, v in end.items()})
-
 
 class TailSource(DataSource):
     @classmethod
@@ -124,3 +214,47 @@ class TailSource(DataSource):
 
     def streamReader(self, schema) -> _Stream:
         return _Stream(dict(self.options))
+
+
+class _Snapshots(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.options, self.most = options, int(options.get("max_files", MAX_FILES))
+        self.known: dict[str, dict] = json.loads(options.get("known", "{}"))
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        there = {}
+        for f in matching(self.options):
+            seen = os.stat(f)
+            there[f] = {"size": seen.st_size, "time": seen.st_mtime_ns}
+        there |= {f: {"gone": True} for f in self.known if f not in there}
+        changed = [f for f in sorted(there) if there[f] != self.known.get(f)]
+        self.known |= {f: there[f] for f in changed[: self.most]}
+        return dict(self.known)
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        self.known = end | {f: x for f, x in self.known.items() if f not in end}
+        files = [f for f, x in sorted(end.items()) if start.get(f) != x and not (f not in start and x.get("gone"))]
+        return [Span(f, 0, 0) for f in files] or [Span("", 0, 0)]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        if partition.file:
+            try:
+                with open(partition.file, "rb") as f:
+                    yield partition.file, f.read().decode("utf-8", "replace")
+            except FileNotFoundError:
+                yield partition.file, None
+
+
+class SnapshotSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "snapshots"
+
+    def schema(self) -> str:
+        return "file string, content string"
+
+    def streamReader(self, schema) -> _Snapshots:
+        return _Snapshots(dict(self.options))

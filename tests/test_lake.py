@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import os
 import random
 import sqlite3
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.functions import masking as M
-from skein.operators import export, labels, lake, reads, status
+from skein.operators import export, labels, lake, reads, status, tallies
 from skein.plans import views
 from skein.schema import LakeError
 from skein.sources import discovery, segments
@@ -120,40 +121,125 @@ def test_batch_round_trip(spark, tmp_path):
     assert sorted(r.uuid for r in spark.read.json(f"{out}/export").collect()) == full
 
 
-def test_stream_equals_rebuild(spark, tmp_path):
+@pytest.fixture()
+def few(spark):
+    """Few partitions of state: starting a query costs more than these rows."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def follow(spark, runtime, source, out, **more):
+    return live.start(spark, runtime, str(source), out, "m", available_now=True, **more).awaitTermination(120)
+
+
+def test_stream_equals_rebuild(spark, few, tmp_path):
     src, out, again = tmp_path / "src", str(tmp_path / "live"), str(tmp_path / "again")
     src.mkdir()
-    records = list(codex_lines(6))
-    text = "".join(json.dumps(r) + "\n" for r in records)
+    text = "".join(json.dumps(r) + "\n" for r in codex_lines(6))
     random.seed(2)
     cuts = sorted(random.sample(range(len(text)), 3))
     for a, b in zip([0, *cuts], [*cuts, len(text)]):
         with open(src / "rollout-a.jsonl", "a", encoding="utf-8") as f:
             f.write(text[a:b])
-        live.start(spark, "codex", f"{src}/*.jsonl", out, "m", available_now=True).awaitTermination(120)
+        follow(spark, "codex", f"{src}/*.jsonl", out, export=True)
     write(src / "rollout-b.jsonl", codex_lines(2, "i2"))
-    live.start(spark, "codex", f"{src}/*.jsonl", out, "m", available_now=True).awaitTermination(120)
-    live.start(spark, "codex", f"{src}/*.jsonl", out, "m", available_now=True).awaitTermination(120)  # nothing new
-    lake.rebuild(spark, {"codex": f"{src}/*.jsonl"}, again, "m")
+    follow(spark, "codex", f"{src}/*.jsonl", out, export=True)
+    follow(spark, "codex", f"{src}/*.jsonl", out, export=True)  # nothing new
+    counts = lake.rebuild(spark, {"codex": f"{src}/*.jsonl"}, again, "m")
+    assert counts["codex"]["events"] == 18 and counts["codex"]["masked"] == 8
     assert plain(lake.read_events(spark, out)) == plain(lake.read_events(spark, again)) and len(plain(lake.read_events(spark, out))) == 18
+    assert [(r.runtime, r.events, r.masked) for r in tallies.tallies(spark, out).collect()] == [("codex", 18, 8)]
+    exported = spark.read.json(f"{out}/export")
+    assert exported.count() == 18 and exported.select("uuid").distinct().count() == 18
     (src / "rollout-a.jsonl").write_text("short\n")
-    query = live.start(spark, "codex", f"{src}/*.jsonl", out, "m", available_now=True)
     with pytest.raises(Exception, match="rewritten|shrank"):
-        query.awaitTermination(120)
-
-
-def omp_lines():
+        follow(spark, "codex", f"{src}/*.jsonl", out)
+
+
+def test_batches_read_what_was_appended(spark, few, tmp_path):
+    """Lines of a batch are the new ones, its bytes those between its offsets, and max_lines ends it."""
+    file, out = tmp_path / "rollout-a.jsonl", str(tmp_path / "lake")
+    records = list(codex_lines(600))
+    write(file, records[:100])
+    reader = dict(runtime="codex", source=str(file), path=out, machine="m")
+    query = live.start(spark, **reader).queries[0]
+    try:
+        query.processAllAvailable()
+        sizes = [file.stat().st_size]
+        for a, b in ((100, 103), (103, 160)):
+            write(file, records[a:b], "a")
+            sizes.append(file.stat().st_size)
+            query.processAllAvailable()
+        sources = [json.loads(p.json)["sources"][0] for p in query.recentProgress if p.numInputRows]
+        seen = [(x["numInputRows"], x["startOffset"] or {}, x["endOffset"]) for x in sources]
+    finally:
+        query.stop()
+    at = lambda offset: offset.get(str(file), {"at": 0})["at"]
+    assert [(n, at(a), at(b)) for n, a, b in seen] == [(100, 0, sizes[0]), (3, sizes[0], sizes[1]), (57, sizes[1], sizes[2])]
+    write(file, records[160:], "a")
+    write(tmp_path / "rollout-b.jsonl", codex_lines(300, "i2"))
+    query = live.start(spark, **reader | {"source": f"{tmp_path}/rollout-*.jsonl"}, max_lines=512).queries[0]
+    try:
+        query.processAllAvailable()
+        counts = [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    finally:
+        query.stop()
+    assert sum(counts) == len(records) - 160 + 602 and max(counts) == 512 and len(counts) == 4
+    lake.rebuild(spark, {"codex": f"{tmp_path}/rollout-*.jsonl"}, str(tmp_path / "again"), "m")
+    assert plain(lake.read_events(spark, out)) == plain(lake.read_events(spark, str(tmp_path / "again")))
+
+
+def test_rewritten_sources_are_refused(spark, few, tmp_path):
+    file = tmp_path / "rollout-a.jsonl"
+    write(file, codex_lines(4))
+    text, out = file.read_text(), str(tmp_path / "lake")
+    follow(spark, "codex", file, out)
+    was = tail.offsets(spark, f"{out}/checkpoints/codex")[0][str(file)]
+    assert was["at"] == len(text.encode())
+    changes = {"same size": text.replace("question 1", "question X"), "grown": text.replace("question 1", "question X") + "{}\n", "shorter": text[:-40]}
+    for name, new in changes.items():
+        file.write_text(new)
+        os.utime(file, ns=(was["time"] + 10**9, was["time"] + 10**9))
+        with pytest.raises(ValueError, match="rewritten|shrank"):
+            tail.verify(str(file), was, os.stat(file))
+        with pytest.raises(Exception, match="rewritten|shrank"):
+            follow(spark, "codex", file, out)
+    file.write_text(text + json.dumps(list(codex_lines(1))[2]) + "\n")
+    follow(spark, "codex", file, out)
+    assert lake.read_events(spark, out).count() == 10
+
+
+@pytest.mark.parametrize("runtime", ["claude", "codex", "omp", "droid", "kimi"])
+def test_ranges_of_long_files_carry_registers(spark, few, tmp_path, runtime):
+    """A file read in many ranges gives the rows of one read whole."""
+    rows = {"claude": claude_lines, "codex": lambda: codex_lines(40), "omp": lambda: omp_lines(90), "droid": lambda: droid_lines(90), "kimi": kimi_calls}[runtime]
+    spark.dataSource.register(tail.TailSource)
+    for variant in range(4):
+        records = list(rows())
+        if variant:
+            random.seed(variant)
+            random.shuffle(records)  # registers late or never set, releases late
+        write(tmp_path / f"a_{variant}.jsonl", records)
+    path = f"{tmp_path}/*.jsonl"
+    got = [sorted(map(str, lake.parsed(spark, path, runtime, split=step).collect())) for step in (1 << 20, 200)]
+    assert got[0] == got[1] and len(got[0]) >= 14
+    assert spark.read.format("tail").option("path", path).option("split", "200").load().rdd.getNumPartitions() > 8
+
+
+def omp_lines(n=4):
     yield {"type": "message", "timestamp": "2024-01-02T00:00:01Z", "message": {"role": "user", "content": "before the session"}}
     yield {"type": "session", "id": "S", "cwd": "/p", "timestamp": "2024-01-02T00:00:02Z"}
-    for i in range(4):
-        yield {"type": "message", "timestamp": f"2024-01-02T00:01:0{i}Z", "message": {"role": "user", "content": f"later {i}"}}
+    yield {"type": "model_change", "model": "m1"}
+    for i in range(n):
+        yield {"type": "message", "timestamp": f"2024-01-02T00:01:0{i % 10}Z", "message": {"role": "assistant" if i % 3 else "user", "content": f"later {i}", "usage": {"input": i, "output": 2}}}
 
 
-def droid_lines():
+def droid_lines(n=4):
     yield {"type": "message", "message": {"role": "user", "content": "no time yet"}}
     yield {"type": "session_start", "id": "D", "cwd": "/q", "title": "t"}
-    for i in range(4):
-        yield {"type": "message", "timestamp": f"2024-01-02T00:01:0{i}Z", "message": {"role": "user", "content": f"said {i}"}}
+    for i in range(n):
+        yield {"type": "message", "timestamp": f"2024-01-02T00:01:0{i % 10}Z", "message": {"role": "user", "content": f"said {i}"}}
 
 
 def kimi_lines():
@@ -161,15 +247,29 @@ def kimi_lines():
         yield {"type": "context.append_message", "time": 1704153600000 + i, "message": {"role": "user", "origin": {"kind": "user"}, "content": f"hello {i}"}}
 
 
+def kimi_calls():
+    """Calls and their results, some of them of one id, and models that change."""
+    for i in range(40):
+        event = {"type": "tool.call", "toolCallId": f"c{i % 7}", "name": f"tool{i % 3}", "args": {"n": i}} if i % 2 else {"type": "tool.result", "toolCallId": f"c{(i + 2) % 7}", "result": {"output": f"out {i}"}}
+        yield {"type": "context.append_loop_event", "event": event} | ({"time": 1704153600000 + i} if i % 5 else {})
+        if i % 9 == 0:
+            yield {"type": "usage.record", "model": f"k{i}", "usageScope": "turn", "usage": {"inputOther": i + 1, "output": 1}}
+
+
+def hook_lines():
+    return ({"ts": f"2024-01-02T00:00:{i:02d}Z", "session": "h", "id": "x", "decision": "block"} for i in range(12))
+
+
 def claude_lines():
     for i in range(5):
         yield {"type": "user", "sessionId": "C" if i else None, "cwd": "/c" if i % 2 else None, "timestamp": f"2024-01-02T00:00:0{i}Z", "message": {"role": "user", "content": f"line {i}"}}
 
 
-@pytest.mark.parametrize("runtime", ["claude", "omp", "droid", "kimi", "hooks"])
-def test_stream_equals_rebuild_for_runtimes(spark, tmp_path, runtime):
+@pytest.mark.parametrize("runtime", ["claude", "omp", "droid", "kimi", "calls", "hooks"])
+def test_stream_equals_rebuild_for_runtimes(spark, few, tmp_path, runtime):
     """Random cuts, within lines too: events that wait for a session get it, and are written once."""
-    rows = {"claude": claude_lines, "omp": omp_lines, "droid": droid_lines, "kimi": kimi_lines, "hooks": lambda: ({"ts": f"2024-01-02T00:00:0{i}Z", "session": "h", "id": "x", "decision": "block"} for i in range(5))}[runtime]()
+    rows = {"claude": claude_lines, "omp": omp_lines, "droid": droid_lines, "kimi": kimi_lines, "calls": kimi_calls, "hooks": hook_lines}[runtime]()
+    calls, runtime = runtime == "calls", runtime.replace("calls", "kimi")
     folder = tmp_path / "src" / ("session_k/agents/main" if runtime == "kimi" else "-p")
     folder.mkdir(parents=True)
     file, index = folder / ("wire.jsonl" if runtime == "kimi" else "a.jsonl"), tmp_path / "session_index.jsonl"
@@ -189,12 +289,53 @@ def test_stream_equals_rebuild_for_runtimes(spark, tmp_path, runtime):
     assert plain(lake.read_events(spark, out)) == plain(got) and got.count() >= 5
     if runtime == "kimi":
         assert {r.project for r in got.collect()} == {"/k"}
+    if calls:
+        named = {(r.text, r.tool_name) for r in got.collect() if r.event_type == "tool_result" and r.tool_name}
+        assert len(named) > 10 and {r.model for r in got.collect()} > {"k9", "k27"}
     if runtime == "omp":
+        assert {r.model for r in got.collect()} == {"m1", None}
         assert {(r.session_id, r.project) for r in got.collect()} == {("S", "/p")}
     if runtime == "droid":
         assert [(r.tokens_in, r.tokens_out) for r in got.collect() if r.tokens_in] == [(7, 9)]
 
 
+def test_droid_settings_are_snapshots(spark, few, tmp_path):
+    """Settings that change alone, move to another day, lose their lock, have no transcript, or go: as in a rebuild each time."""
+    src, out = tmp_path / "src", str(tmp_path / "lake")
+    src.mkdir()
+    write(src / "a.jsonl", droid_lines())
+
+    def settings(name, day, tokens):
+        lock = {"providerLockTimestamp": f"2024-01-0{day}T09:00:00Z"} if day else {}
+        (src / f"{name}.settings.json").write_text(json.dumps({**lock, "tokenUsage": {"inputTokens": tokens, "outputTokens": 1}}))
+
+    steps = [lambda: settings("a", 2, 7), lambda: settings("a", 2, 99), lambda: settings("a", 3, 99), lambda: settings("alone", 2, 5), lambda: settings("a", 0, 1), lambda: settings("a", 4, 11), lambda: (src / "alone.settings.json").unlink(), lambda: write(src / "a.jsonl", list(droid_lines())[:1], "a")]
+    want = [{7}, {99}, {99}, {5, 99}, {5}, {5, 11}, {11}, {11}]
+    for i, (step, tokens) in enumerate(zip(steps, want, strict=True)):
+        step()
+        follow(spark, "droid", f"{src}/*.jsonl", out)
+        lake.rebuild(spark, {"droid": f"{src}/*.jsonl"}, str(tmp_path / f"again{i}"), "m")
+        got = plain(lake.read_events(spark, out))
+        assert got == plain(lake.read_events(spark, str(tmp_path / f"again{i}"))), i
+        assert {r.tokens_in for r in lake.read_events(spark, out).collect()} - {None} == tokens
+
+
+def test_many_sidecars_in_batches(spark, few, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "lake")
+    src.mkdir()
+    for i in range(9):
+        (src / f"s{i}.settings.json").write_text(json.dumps({"providerLockTimestamp": f"2024-01-0{1 + i % 3}T09:00:00Z", "tokenUsage": {"inputTokens": i}}))
+    reader = tail.SnapshotSource({"path": f"{src}/*.json", "max_files": "4"}).streamReader(None)
+    offsets = [reader.initialOffset()]
+    for _ in range(4):
+        offsets.append(json.loads(json.dumps(reader.latestOffset())))
+    parts = [[p.file for p in reader.partitions(a, b) if p.file] for a, b in zip(offsets, offsets[1:])]
+    assert [len(p) for p in parts] == [4, 4, 1, 0] and len({f for p in parts for f in p}) == 9
+    write(src / "a.jsonl", droid_lines())
+    follow(spark, "droid", f"{src}/*.jsonl", out)
+    assert sorted(r.tokens_in for r in lake.read_events(spark, out).collect() if r.tokens_in is not None) == list(range(9))
+
+
 def test_masking_is_bound_once(spark):
     """Each class's pattern is read three times at most, not once for each use of the text."""
     plan = spark.range(1).select(M.clip(M.mask(F.col("id").cast("string"))).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
@@ -206,6 +347,9 @@ def test_tail_lines(tmp_path):
     file.write_bytes(b"one\r\n\ntw\xffo\nopen")
     span = tail.Span(str(file), 0, tail.last_newline(str(file), 0, 16))
     assert [(at, x) for _, at, x in tail.lines_of(span)] == [(0, "one"), (5, ""), (6, "tw�o")]
+    for step in range(1, 12):  # every line in the range where it begins, once
+        assert [x[1:] for a in range(0, 11, step) for x in tail.lines_of(tail.Span(str(file), a, min(a + step, 11)))] == [(0, "one"), (5, ""), (6, "tw�o")]
+    assert [tail.after_lines(str(file), 0, 15, n) for n in (1, 2, 3, 4)] == [(5, 1), (6, 2), (11, 3), (11, 3)]
 
 
 def test_labels(spark, tmp_path):
