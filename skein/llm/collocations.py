@@ -39,7 +39,7 @@ from .backoff_automaton import FACTOR, pack, unpack
 from .common import Batches, text_of, written
 from .order_minhash import mixed
 
-SHARD = 28_000_000  # bytes of text
+SHARD = 18_000_000  # bytes of text
 SLICE = 16_000_000  # bytes of text for each slice of the code space
 BATCH = 1 << 18  # places that are extended at once
 GAP = b"."  # between pieces
@@ -142,14 +142,16 @@ class Shard:
         self.names = pa.array([b"", *names], pa.binary()).cast(pa.string())
         prefix = [lang.encode() + b" " for lang in langs]
         self.code = np.array([0, *(xxhash.xxh3_64_intdigest(prefix[k] + w) for k, w in zip(self.lang[1:].tolist(), names, strict=True))], np.uint64)
-        self.maps = Bitmaps(np.cumsum(unpack(owner).view(np.int64), dtype=np.int32), np.cumsum(unpack(block).view(np.int64), dtype=np.int32), unpack(mask))
-        owner, place = self.maps.places()
+        maps = Bitmaps(np.cumsum(unpack(owner).view(np.int64), dtype=np.int32), np.cumsum(unpack(block).view(np.int64), dtype=np.int32), unpack(mask))
+        owner, place = maps.places()
         self.word = np.zeros(int(place.max(initial=-1)) + 2, np.int32)  # 0 behind the last place
         self.word[place] = owner
         del owner, place
-        self.counts = self.maps.popcounts(len(self.code))
+        self.counts = maps.popcounts(len(self.code))
         # of pairs: each bitmap of a word shifted, against those of all words; by their numbers, the second word's place
-        owner, place = self.maps.shifted().places()
+        maps = maps.shifted()
+        owner, place = maps.places()
+        del maps
         there = self.word[place] > 0
         owner, place = owner[there], place[there]
         pair = owner.astype(np.int64) * len(self.code) + self.word[place]
@@ -172,7 +174,7 @@ class Shard:
         kept = np.flatnonzero(words) + 1
         yield 1, self.langs.take(self.lang[kept]), self.names.take(kept), self.counts[kept]
         follows = np.zeros(len(self.word) + 1, bool)  # places whose word makes a frequent pair with the one before
-        number = np.repeat(np.arange(len(pairs)), self.pair_counts)
+        number = np.repeat(np.arange(len(pairs), dtype=np.int32), self.pair_counts)
         good = pairs[number] if len(pairs) else np.zeros(0, bool)
         follows[self.place[good]] = True
         at = np.flatnonzero(good)
