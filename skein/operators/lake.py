@@ -1,4 +1,4 @@
-"""The lake on disk: reading, batch ingest, compaction, rebuild and cleanup."""
+"""The lake on disk: reading, batch ingest, rebuild and cleanup."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from ..schema import RUNTIMES, STORED_EVENT, STORED_LABEL, LakeError, check_runt
 from ..sources.adapters import ADAPTERS, droid_settings
 from ..sources.discovery import kimi_sessions, sidecars
 from ..streaming import tail
-from . import tallies
+from . import files, tallies
 
 CORRUPT = "_corrupt"
 
@@ -49,14 +49,9 @@ def append(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("runtime", "date").json(f"{path}/events")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     """Pinned columns; a torn line goes, a row whose time cannot be read stays without one."""
-    if not _exists(spark, path):
+    if not files.exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("ts", F.lit(None).cast("timestamp")).withColumn("filename", F.lit(None).cast("string"))
     df = spark.read.schema(schema.add(CORRUPT, "string") if CORRUPT not in schema.names else schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     ts: Column = F.try_to_timestamp("ts")
@@ -116,37 +111,24 @@ def rebuild(spark: SparkSession, sources: dict[str, str], target: str, machine:
     """A replay into an empty root, by the transforms of the stream; returns the tallies."""
     if unknown := set(sources) - set(RUNTIMES):
         raise LakeError(f"unknown runtimes {sorted(unknown)}")
-    if _exists(spark, f"{target}/events"):
-        raise LakeError(f"{target} is not empty")
-    return ingest(spark, sources, target, machine, kimi_index, split)
-
-
-def compact(spark: SparkSession, path: str) -> None:
-    """The Parquet mirror, with the pinned types, partitioned like the lake; additive, replaced as a whole."""
-    events = read_events(spark, path).drop("filename")
-    if "date" not in events.columns:
-        events = events.withColumn("date", F.lit("unknown"))
-    # about one file for each partition in each task's share of it: a busy day is many tasks' work
-    events.repartition("runtime", "date", F.pmod(F.xxhash64("session_id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("runtime", "date").parquet(f"{path}/parquet")
-
-
-def read_mirror(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/parquet")
+    with files.locked(spark, target, "rebuild"):
+        if files.exists(spark, f"{target}/events"):
+            raise LakeError(f"{target} is not empty")
+        return ingest(spark, sources, target, machine, kimi_index, split)
 
 
 def clean(spark: SparkSession, path: str, what: str = "all", apply: bool = False) -> list[str]:
     """The derived folders that exist (parquet, export); removed only with apply."""
-    names = {"parquet": ["parquet"], "export": ["export"], "all": ["parquet", "export"]}.get(what)
+    names = {"parquet": ["parquet", "trigrams"], "export": ["export", "export.log"], "all": ["parquet", "trigrams", "export", "export.log"]}.get(what)
     if names is None:
         raise LakeError(f"clean takes parquet, export or all, not {what!r}")
-    found = [f"{path}/{n}" for n in names if _exists(spark, f"{path}/{n}")]
+    found = [f"{path}/{n}" for n in names if files.exists(spark, f"{path}/{n}")]
     for folder in found if apply else []:
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        files.delete(spark, folder)
     return found
 
 
 def partition_report(spark: SparkSession, path: str) -> DataFrame:
     """Files and bytes by runtime."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/events").select("path", "length")
-    return files.filter(F.col("path").rlike(r"\.(nd)?json$")).groupBy(F.regexp_extract("path", r"/runtime=([^/]+)/", 1).alias("runtime")).agg(F.count("*").alias("parts"), F.sum("length").alias("bytes"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/events").select("path", "length")
+    return found.filter(F.col("path").rlike(r"\.(nd)?json$")).groupBy(F.regexp_extract("path", r"/runtime=([^/]+)/", 1).alias("runtime")).agg(F.count("*").alias("parts"), F.sum("length").alias("bytes"))

@@ -6,11 +6,11 @@ row, replaced when the batch is repeated; reports add them up.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 MARK = r"\[masked:(assignment|token|entropy):\d+:[0-9a-f]{8}\]"
 SCHEMA = "runtime string, batch string, events long, masked long, sessions long"
 
@@ -35,18 +35,11 @@ class Tally:
     def save(self, spark: SparkSession, path: str, batch: str) -> dict[str, int]:
         """To the lake's tallies, under the batch's name; after the watched write."""
         row = {"runtime": self.runtime, "batch": batch} | self.counts()
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tallies/{self.runtime}-{batch}.json")
-        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
-        try:
-            out.write(bytearray((json.dumps(row) + "\n").encode()))
-        finally:
-            out.close()
+        files.write_json(spark, f"{path}/tallies/{self.runtime}-{batch}.json", row)
         return row
 
 
 def tallies(spark: SparkSession, path: str) -> DataFrame:
     """By runtime: batches, events and masked places of all runs."""
-    from .lake import _exists
-
-    rows = spark.read.schema(SCHEMA).json(f"{path}/tallies") if _exists(spark, f"{path}/tallies") else spark.createDataFrame([], SCHEMA)
+    rows = spark.read.schema(SCHEMA).json(f"{path}/tallies") if files.exists(spark, f"{path}/tallies") else spark.createDataFrame([], SCHEMA)
     return rows.groupBy("runtime").agg(F.count("*").alias("batches"), F.sum("events").alias("events"), F.sum("masked").alias("masked"))

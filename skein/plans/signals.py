@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import LakeError, check_limit
 from . import views
 
 
@@ -74,3 +75,25 @@ def freshness_probe(index_sessions: DataFrame, now_s: int) -> DataFrame:
     unit = lambda x, u: F.concat(x.cast("string"), F.lit(u))
     age = F.when(minutes.isNull(), "n/a").when(minutes < 60, unit(minutes, "m")).when(hours < 24, unit(hours, "h")).otherwise(unit(rounded(hours / 24), "d"))
     return found.withColumn("age", age)
+
+
+REPORTS = ("frustration", "overlap", "daily", "freshness")
+
+
+def report(events: DataFrame, terms: DataFrame, index_sessions: DataFrame, name: str = "freshness", limit: int = 20) -> DataFrame:
+    """One of the reports, with a bounded number of rows; frustration and daily have bounds of their own, 25 and 30."""
+    check_limit(limit, 500)
+    if name not in REPORTS:
+        raise LakeError(f"the report must be one of {', '.join(REPORTS)}, not {name!r}")
+    found = {"frustration": lambda: frustration(events, terms, index_sessions), "overlap": lambda: hook_overlap(events, terms), "daily": lambda: hook_daily(events, terms), "freshness": lambda: freshness(events, index_sessions)}
+    return found[name]().limit(limit)
+
+
+def register_signals(events: DataFrame, terms: DataFrame, index_sessions: DataFrame) -> None:
+    """Temporary views for SQL users, beside those of views.register_views: the index's tables and the four reports."""
+    index_sessions.createOrReplaceTempView("index_sessions")
+    terms.createOrReplaceTempView("index_terms")
+    frustration(events, terms, index_sessions).createOrReplaceTempView("frustration")
+    hook_overlap(events, terms).createOrReplaceTempView("hook_overlap")
+    hook_daily(events, terms).createOrReplaceTempView("hook_daily")
+    freshness(events, index_sessions).createOrReplaceTempView("freshness")

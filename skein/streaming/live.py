@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import masking as M
-from ..operators import tallies
-from ..operators.export import merge_export
+from ..operators import export as X
+from ..operators import files, tallies
 from ..operators.lake import canonical, stored_events
 from ..sources.adapters import ADAPTERS, droid_settings, with_projects
 from ..sources.discovery import kimi_sessions, sidecar_path
@@ -26,6 +26,9 @@ from . import state
 from .tail import SnapshotSource, TailSource, offsets
 
 
+FOLD = 64  # batches of a live export's log that are folded into its shards at once
+
+
 class Following:
     """The queries that follow a runtime, as one."""
 
@@ -87,7 +90,10 @@ def start(spark: SparkSession, runtime: str, source: str, path: str, machine: st
         _write(tally.watch(events), path)
         tally.save(session, path, f"{number:09d}")
         if export:
-            merge_export(stored_events(session, path).filter((F.col("runtime") == runtime) & (F.col("batch") == f"{number:09d}")), f"{path}/export")
+            stored = stored_events(session, path).filter((F.col("runtime") == runtime) & (F.col("batch") == f"{number:09d}"))
+            X.append_export(stored, f"{path}/export", f"{runtime}-{number:09d}")
+            if number % FOLD == FOLD - 1:
+                X.fold_export(session, f"{path}/export")
 
     def settings(files: DataFrame, number: int) -> None:
         session = files.sparkSession
@@ -123,12 +129,11 @@ def start(spark: SparkSession, runtime: str, source: str, path: str, machine: st
 def publish_segments(spark: SparkSession, segments: str, path: str, machine: str) -> int:
     """The valid hook segments of a folder that the commits table lacks: their events first, then their commits, so a
     repeat after a failure in between replaces the same partitions. Returns how many were published."""
-    from ..operators.lake import _exists
     from ..sources import segments as G
 
     commits = f"{path}/segment_commits"
     schema = "segment_id string, source_sha256 string, event_count long"
-    known = spark.read.schema(schema).parquet(commits) if _exists(spark, commits) else spark.createDataFrame([], schema)
+    known = spark.read.schema(schema).parquet(commits) if files.exists(spark, commits) else spark.createDataFrame([], schema)
     new = G.unpublished(G.validated(G.read_segments(spark, segments)), known).dropDuplicates(["segment_id"])
     done = new.select("segment_id", "source_sha256", "event_count")
     count = done.count()

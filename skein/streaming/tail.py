@@ -32,6 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "file string, seq long, line string"
 STEP = 1 << 16
 SPLIT = 64 << 20  # bytes of a partition of a batch
+STREAMED = 8 << 20  # of a micro-batch's
 EDGE = 4096  # bytes at each end of what was consumed that are remembered by their digest
 MAX_FILES = 1000
 
@@ -43,6 +44,25 @@ class Span(InputPartition):
     end: int
 
 
+@dataclass
+class Spans(InputPartition):
+    """Spans of several files, read by one task."""
+
+    spans: list[Span]
+
+
+def packed(spans: list[Span], step: int) -> list[Spans]:
+    """Neighbouring spans together, up to `step` bytes: many small files are few tasks."""
+    out, size = [], 0
+    for span in spans:
+        if not out or size + span.end - span.begin > step:
+            out.append(Spans([]))
+            size = 0
+        out[-1].spans.append(span)
+        size += span.end - span.begin + STEP  # opening a file costs as much as some bytes
+    return out or [Spans([])]
+
+
 def matching(options: dict) -> list[str]:
     return sorted({f for p in options["path"].split(",") for f in glob.glob(p, recursive=True) if os.path.isfile(f)})
 
@@ -141,15 +161,16 @@ class _Batch(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[Span]:
+    def partitions(self) -> list[Spans]:
         step, out = int(self.options.get("split", SPLIT)), []
         for f in matching(self.options):
             end = last_newline(f, 0, os.path.getsize(f))
             out += [Span(f, a, min(a + step, end)) for a in range(0, end, step)]
-        return out
+        return packed(out, step)
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        return lines_of(partition)
+    def read(self, partition: Spans) -> Iterator[tuple]:
+        for span in partition.spans:
+            yield from lines_of(span)
 
 
 class _Stream(DataSourceStreamReader):
@@ -185,7 +206,7 @@ class _Stream(DataSourceStreamReader):
                 self.known[file] = consumed(file, end, seen)
         return dict(self.known)
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Spans]:
         out = []
         for file, stop in sorted(end.items()):
             begin = start.get(file, {"at": 0})["at"]
@@ -195,10 +216,11 @@ class _Stream(DataSourceStreamReader):
                 raise ValueError(f"{file} was rewritten: {begin} bytes consumed, {os.path.getsize(file)} there")
             if stop["at"] > begin:
                 out.append(Span(file, begin, stop["at"]))
-        return out or [Span("", 0, 0)]
+        return packed(out, STREAMED)
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        return lines_of(partition) if partition.file else iter(())
+    def read(self, partition: Spans) -> Iterator[tuple]:
+        for span in partition.spans:
+            yield from lines_of(span)
 
 
 class TailSource(DataSource):

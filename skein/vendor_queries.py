@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import masking as M
-from .operators import lake
+from .operators import compaction, export, lake
+from .operators import labels as L
+from .plans import signals, views
 from .session import shared_dir
 from .sources import adapters as A
 from .sources import segments as G
+from .streaming import live
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -131,14 +134,161 @@ QUERIES["hook_segments"] = hook_segments
 ORACLE["hook_segments"] = "WITH " + X.EVENTS_SQL + " SELECT session_id, strftime(ts,'%Y-%m-%dT%H:%M:%S.%g')||'Z' AS ts, text, tool_name, json_extract_string(extra,'$.decision') AS decision, row_number() OVER (PARTITION BY strftime(ts,'%Y%m%d') ORDER BY CAST(string_split(text,' ')[2] AS BIGINT)) - 1 AS sequence FROM lake_events WHERE runtime='hooks' AND CAST(strftime(ts,'%Y%m%d') AS INT) % 3 <> 0"
 
 
+def new_lake(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}"
+
+
+def stored(events: DataFrame) -> DataFrame:
+    """As the lake keeps events: times as texts, and the date they are stored under."""
+    rows = events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return rows.withColumn("date", M.date_partition(F.col("ts")))
+
+
+def mirrored(spark: SparkSession, path: str) -> DataFrame:
+    rows = compaction.read_mirror(spark, path)
+    return rows.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "runtime", "session_id", "event_type", "text", "tokens_in", F.col("date").cast("string").alias("date"))
+
+
 def compact_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """The lake written as NDJSON, compacted, and read from the mirror."""
-    path = f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}"
-    stored = X.lake_events(spark, sf).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    lake.append(stored.withColumn("date", M.date_partition(F.col("ts"))), path)
-    lake.compact(spark, path)
-    return lake.read_mirror(spark, path).select(F.col("ts").cast("timestamp_ntz").alias("ts"), "runtime", "session_id", "event_type", "text", "tokens_in", F.col("date").cast("string").alias("date"))
+    path = new_lake(spark)
+    lake.append(stored(X.lake_events(spark, sf)), path)
+    compaction.compact(spark, path)
+    return mirrored(spark, path)
 
 
 QUERIES["compact_roundtrip"] = compact_roundtrip
 ORACLE["compact_roundtrip"] = "WITH " + X.EVENTS_SQL + " SELECT ts, runtime, session_id, event_type, text, tokens_in, strftime(ts,'%Y-%m-%d') AS date FROM lake_events"
+
+
+def compact_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runtimes, compacted; then the others and some more of the first, compacted again: only what changed is rewritten."""
+    path, events = new_lake(spark), stored(X.lake_events(spark, sf))
+    first = F.col("runtime").isin("codex", "hooks") & (F.col("date") < "2024-01-15")
+    lake.append(events.filter(first), path)
+    compaction.compact(spark, path)
+    lake.append(events.filter(~first), path)
+    compaction.compact(spark, path)
+    return mirrored(spark, path)
+
+
+QUERIES["compact_changed"] = compact_changed
+ORACLE["compact_changed"] = ORACLE["compact_roundtrip"]
+
+
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """A literal search that reads the mirror's files with all its trigrams."""
+    path = new_lake(spark)
+    lake.append(stored(X.lake_events(spark, sf)), path)
+    compaction.compact(spark, path, index=True)
+    return compaction.search(spark, path, "CLICK 12", limit=500).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+QUERIES["search_indexed"] = search_indexed
+ORACLE["search_indexed"] = "WITH " + X.EVENTS_SQL + " SELECT ts, runtime, session_id, event_type, substr(text,1,240) AS text FROM lake_events WHERE contains(lower(text), 'click 12') ORDER BY ts DESC NULLS LAST, session_id, event_type, text LIMIT 500"
+
+
+def partition_report(spark: SparkSession, sf: str) -> DataFrame:
+    """By runtime: dates with stored events, and whether each of their files holds bytes."""
+    path = new_lake(spark)
+    lake.append(stored(X.lake_events(spark, sf)), path)
+    dates = compaction.sources(spark, path).groupBy("runtime").agg(F.count("*").alias("dates"))
+    files = lake.partition_report(spark, path)
+    return files.join(dates, "runtime").select("runtime", "dates", (F.col("parts") >= F.col("dates")).alias("each_has_files"), (F.col("bytes") > 0).alias("filled"))
+
+
+QUERIES["partition_report"] = partition_report
+ORACLE["partition_report"] = "WITH " + X.EVENTS_SQL + " SELECT runtime, count(DISTINCT CAST(ts AS DATE)) AS dates, true AS each_has_files, true AS filled FROM lake_events GROUP BY runtime"
+
+
+def export_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A live export: batches that overlap are appended to its log, one of them twice, half of them folded."""
+    path, events = f"{new_lake(spark)}/export", X.lake_events(spark, sf).filter("event_type <> 'hook_decision'")
+    events = events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    part = F.pmod(F.xxhash64("session_id"), F.lit(3))
+    export.append_export(events.filter(part == 0), path, "0")
+    export.append_export(events.filter(part <= 1), path, "1")
+    export.append_export(events.filter(part <= 1), path, "1")
+    export.fold_export(spark, path)
+    export.append_export(events.filter(part >= 1), path, "2")
+    return export.read_export(spark, path).drop("shard", "lake_schema")
+
+
+QUERIES["export_log"] = export_log
+TS_SQL = "strftime(ts,'%Y-%m-%d %H:%M:%S.%f')"
+ORACLE["export_log"] = "WITH " + X.EVENTS_SQL + f""" SELECT DISTINCT substr(sha256(concat_ws(chr(10), runtime, session_id, {TS_SQL}, event_type, text, coalesce(tool_name,''), coalesce(model,''), extra) || chr(10)),1,32) AS uuid,
+  {TS_SQL} AS ts, runtime, session_id, project, event_type, text, tool_name, model, tokens_in, tokens_out, extra, sha256(runtime||chr(10)||session_id) AS session_hash FROM lake_events WHERE runtime<>'hooks'"""
+
+
+def labels_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels as lines of JSON, read back; the latest of each session and aspect."""
+    path = new_lake(spark)
+    X.lake_labels(spark, sf).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.json(f"{path}/labels")
+    return L.latest(lake.read_labels(spark, path), limit=500).select(F.col("ts").cast("timestamp_ntz").alias("ts"), "session_id", "runtime", "aspect", "value", "note", "source")
+
+
+QUERIES["labels_stored"] = labels_stored
+ORACLE["labels_stored"] = "WITH " + X.LABELS_SQL + " SELECT ts, session_id, runtime, aspect, value, note, source FROM (SELECT *, row_number() OVER (PARTITION BY session_id, aspect ORDER BY ts DESC, source DESC, value DESC) AS rn FROM lake_labels) WHERE rn=1 ORDER BY ts DESC, session_id, aspect LIMIT 500"
+
+
+def transcripts(spark: SparkSession, sf: str) -> str:
+    """Codex transcripts of all conversations, 8 files of many sessions each: a line that opens a session, one that sets its
+    model, then its turns. Returns their glob."""
+    path, t = f"{new_lake(spark)}/sources", talks(spark, sf)
+    opened = t.groupBy("conv_id", "sid").agg(F.min("at").alias("at"))
+    meta = opened.select("conv_id", F.lit(-2).alias("turn"), F.to_json(obj(timestamp=F.col("at"), type="session_meta", payload=obj(id=F.col("sid"), cwd=F.concat(F.lit("/w/"), "sid")))).alias("line"))
+    model = opened.select("conv_id", F.lit(-1).alias("turn"), F.to_json(obj(timestamp=F.col("at"), type="turn_context", payload=obj(model=F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"))))).alias("line"))
+    said = codex_lines(t.withColumn("conv", F.col("conv_id"))).select(F.regexp_extract("file", r"conv-(\d+)", 1).cast("long").alias("conv_id"), F.col("seq").alias("turn"), "line")
+    rows = said.unionByName(meta).unionByName(model).withColumn("part", F.col("conv_id") % 8)
+    rows.repartition("part").sortWithinPartitions("part", "conv_id", "turn").select("part", "line").write.partitionBy("part").text(path)
+    return f"{path.removeprefix('file://').removeprefix('file:')}/part=*/*.txt"
+
+
+SESSION_EVENTS = f"""SELECT 'conv-'||conv_id AS session_id, '/w/conv-'||conv_id AS project, {AT}, {KIND}, CASE WHEN role='system' THEN '' ELSE text END AS text,
+  CASE WHEN role='assistant' THEN 'm'||(conv_id % 3) END AS model {FILLED}
+  UNION ALL SELECT 'conv-'||conv_id, '/w/conv-'||conv_id, strftime(TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR + min(turn) * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S.000Z'), 'meta', '', NULL FROM conversations GROUP BY conv_id"""
+
+
+def as_said(spark: SparkSession, path: str) -> DataFrame:
+    rows = lake.read_events(spark, path)
+    return rows.select("session_id", "project", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), "event_type", "text", "model")
+
+
+def rebuild_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """A rebuild that reads every file in many ranges and carries sessions, projects and models across them."""
+    path = new_lake(spark)
+    lake.rebuild(spark, {"codex": transcripts(spark, sf)}, path, "m1", split=1 << 15)
+    return as_said(spark, path)
+
+
+QUERIES["rebuild_ranges"] = rebuild_ranges
+ORACLE["rebuild_ranges"] = SESSION_EVENTS
+
+
+def stream_stateful(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream whose state carries sessions, projects and models from batch to batch, each of so many bytes a file."""
+    path, source = new_lake(spark), transcripts(spark, sf)
+    bytes_ = spark.read.format("binaryFile").load(source).agg(F.max("length")).first()[0]
+    live.start(spark, "codex", source, path, "m1", max_bytes=bytes_ // 2 + 1, available_now=True).awaitTermination(600)
+    return as_said(spark, path)
+
+
+QUERIES["stream_stateful"] = stream_stateful
+ORACLE["stream_stateful"] = SESSION_EVENTS
+
+
+def signals_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """SQL over the signal views and the lake's views."""
+    events = X.lake_events(spark, sf)
+    views.register_views(events)
+    signals.register_signals(events, X.index_terms(spark, sf), X.index_sessions(spark, sf))
+    return spark.sql("SELECT d.day, d.hook_blocks, d.term_hits, count(t.tool_name) AS tools FROM hook_daily d LEFT JOIN tools_daily t ON t.day = d.day GROUP BY d.day, d.hook_blocks, d.term_hits")
+
+
+QUERIES["signals_sql"] = signals_sql
+DAILY = """daily AS (SELECT day, coalesce(hook_blocks,0) AS hook_blocks, coalesce(blocked_sessions,0) AS blocked_sessions, coalesce(frustrated_sessions,0) AS frustrated_sessions, CAST(coalesce(term_hits,0) AS BIGINT) AS term_hits
+  FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS hook_blocks, count(DISTINCT session_id) AS blocked_sessions FROM hook_decisions WHERE decision='block' GROUP BY 1)
+  FULL JOIN (SELECT CAST(make_timestamp(last_seen*1000000) AS DATE) AS day, count(DISTINCT sid) AS frustrated_sessions, sum(n) AS term_hits FROM terms WHERE last_seen IS NOT NULL GROUP BY 1) USING (day) ORDER BY day DESC LIMIT 30)"""
+ORACLE["signals_sql"] = f"WITH {X.EVENTS_SQL},{X.HOOKS_SQL},{X.INDEX_SQL},{DAILY}, tools AS (SELECT DISTINCT CAST(ts AS DATE) AS day, runtime, tool_name FROM lake_events WHERE event_type='tool_call' AND tool_name IS NOT NULL) SELECT d.day, d.hook_blocks, d.term_hits, count(t.tool_name) AS tools FROM daily d LEFT JOIN tools t ON t.day=d.day GROUP BY ALL"
+QUERIES["signals_report"] = lambda spark, sf: signals.report(X.lake_events(spark, sf), X.index_terms(spark, sf), X.index_sessions(spark, sf), "daily", 7)
+ORACLE["signals_report"] = f"WITH {X.EVENTS_SQL},{X.HOOKS_SQL},{X.INDEX_SQL},{DAILY} SELECT * FROM daily ORDER BY day DESC LIMIT 7"

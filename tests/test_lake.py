@@ -11,10 +11,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThan, StringStartsWith
 
 from skein.functions import masking as M
-from skein.operators import export, labels, lake, reads, status, tallies
-from skein.plans import views
+from skein.operators import compaction, export, files, labels, lake, reads, status, tallies
+from skein.plans import signals, views
 from skein.schema import LakeError
 from skein.sources import discovery, segments
 from skein.sources.sqlite import SqliteSource
@@ -110,8 +111,8 @@ def test_batch_round_trip(spark, tmp_path):
         f.write('{"ts":"soon","session_id":"i1","event_type":"meta","text":"odd time"}\n{"ts":"2024')
     rows = lake.read_events(spark, out).collect()
     assert len(rows) == 10 and [r.ts for r in rows if r.text == "odd time"] == [None]
-    lake.compact(spark, out)
-    assert plain(lake.read_mirror(spark, out)) == plain(lake.read_events(spark, out))
+    compaction.compact(spark, out)
+    assert plain(compaction.read_mirror(spark, out)) == plain(lake.read_events(spark, out))
     assert lake.partition_report(spark, out).first().parts >= 3
     assert lake.clean(spark, out, "parquet") == [f"{out}/parquet"] and lake.clean(spark, out, "all", True) and lake.clean(spark, out) == []
     export.write_export(events, f"{out}/export")
@@ -150,7 +151,7 @@ def test_stream_equals_rebuild(spark, few, tmp_path):
     assert counts["codex"]["events"] == 18 and counts["codex"]["masked"] == 8
     assert plain(lake.read_events(spark, out)) == plain(lake.read_events(spark, again)) and len(plain(lake.read_events(spark, out))) == 18
     assert [(r.runtime, r.events, r.masked) for r in tallies.tallies(spark, out).collect()] == [("codex", 18, 8)]
-    exported = spark.read.json(f"{out}/export")
+    exported = export.read_export(spark, f"{out}/export")
     assert exported.count() == 18 and exported.select("uuid").distinct().count() == 18
     (src / "rollout-a.jsonl").write_text("short\n")
     with pytest.raises(Exception, match="rewritten|shrank"):
@@ -395,12 +396,100 @@ def test_project_pattern_backslash(spark):
 
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "index.db")
+    rows = [("a", None, 1.5, 2), ("b", "/x", None, None)] + [(f"s{i}", f"/p/{i % 7}", i / 2, i) for i in range(100)]
     with sqlite3.connect(path) as db:
         db.execute("create table sessions(sessionId text, cwd text, mtime real, n integer)")
-        db.executemany("insert into sessions values (?,?,?,?)", [("a", None, 1.5, 2), ("b", "/x", None, None)])
+        db.executemany("insert into sessions values (?,?,?,?)", rows)
+        db.execute("create table keyed(k text primary key, n integer) without rowid")
+        db.execute("insert into keyed values ('x', 1), ('y', 2)")
+        db.execute("create table empty(k text)")
     spark.dataSource.register(SqliteSource)
-    df = spark.read.format("sqlite").option("path", path).option("table", "sessions").load()
-    assert sorted(map(tuple, df.collect()), key=str) == sorted([("a", None, 1.5, 2), ("b", "/x", None, None)], key=str)
+    read = lambda table, push="false": spark.read.format("sqlite").option("path", path).option("table", table).option("pushdown", push).load()
+    assert sorted(map(tuple, read("sessions").collect()), key=str) == sorted(rows, key=str)
+    assert read("sessions").rdd.getNumPartitions() == 8 and read("keyed").count() == 2 and read("empty").count() == 0
+    asked = ["n > 90", "n >= 90 and cwd = '/p/6'", "cwd is null", "n is not null and mtime <= 3", "sessionId in ('a', 's7')", "sessionId like 's1%'", "mtime = 1.5", "n < 2 or n = 50"]
+    plainly = [sorted(map(tuple, read("sessions").filter(x).collect()), key=str) for x in asked]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert [sorted(map(tuple, read("sessions", "true").filter(x).collect()), key=str) for x in asked] == plainly and all(plainly)
+        plan = [read("sessions", push).filter("n > 90")._jdf.queryExecution().executedPlan().toString() for push in ("false", "true")]
+        assert "Filter" in plan[0] and "n#" in plan[0].split("Filter")[1].split("\n")[0] and "> 90" not in plan[1].split("BatchScan")[0]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    source = SqliteSource({"path": path, "table": "sessions", "pushdown": "true"})
+    reader = source.reader(source.schema())
+    left = list(reader.pushFilters([GreaterThan(("n",), 90), StringStartsWith(("cwd",), "/p")]))
+    assert [type(f) for f in left] == [StringStartsWith]
+    assert sorted(r[3] for p in reader.partitions() for r in reader.read(p)) == list(range(91, 100))
+
+
+def test_one_batch_verb_at_a_time(spark, tmp_path):
+    out = str(tmp_path / "lake")
+    with files.locked(spark, out, "compact"):
+        for verb in (lambda: files.locked(spark, out, "export").__enter__(), lambda: compaction.compact(spark, out), lambda: lake.rebuild(spark, {}, out, "m")):
+            with pytest.raises(LakeError, match="locked by compact"):
+                verb()
+    with files.locked(spark, out, "rebuild", hours=-1), files.locked(spark, out, "compact"):  # the first one has expired
+        assert files.read_json(spark, f"{out}/.lock")["verb"] == "compact"
+    assert not files.exists(spark, f"{out}/.lock")
+
+
+def test_compaction_rewrites_what_changed(spark, tmp_path):
+    src, out = tmp_path / "rollout-a.jsonl", str(tmp_path / "lake")
+    write(src, codex_lines(6))
+    lake.ingest(spark, {"codex": str(src)}, out, "m")
+    assert compaction.compact(spark, out, index=True) == {"written": 3, "removed": 0, "left": 0}
+    there = lambda: {str(p): p.stat().st_mtime_ns for folder in ("parquet", "trigrams") for p in (tmp_path / "lake" / folder).rglob("*.parquet")}
+    before = there()
+    assert compaction.compact(spark, out, index=True) == {"written": 0, "removed": 0, "left": 3} and there() == before
+    lake.append(lake.stored_events(spark, out).drop("batch").filter("date = '2024-01-03'").withColumn("text", F.lit("added needle here")).limit(1), out)
+    assert compaction.compact(spark, out, index=True) == {"written": 1, "removed": 0, "left": 2}
+    same = {p for p, t in there().items() if before.get(p) == t}
+    assert all("2024-01-03" not in p for p in same) and len(same) == len([p for p in before if "2024-01-03" not in p])
+    assert plain(compaction.read_mirror(spark, out)) == plain(lake.read_events(spark, out))
+    # a search reads the files that have all trigrams, and finds what a scan finds
+    events = lake.read_events(spark, out)
+    for literal in ("NEEDLE", "answer 4", "question", "no such text", "er", "%", "[masked:assignment"):
+        assert compaction.search(spark, out, literal).collect() == reads.search(events, literal).collect()
+    assert len(compaction.candidates(spark, out, "needle")) == 1 < len(compaction.candidates(spark, out, "question")) and compaction.candidates(spark, out, "no such text") == [] and compaction.candidates(spark, out, "er") is None
+    files.delete(spark, f"{out}/events/runtime=codex/date=2024-01-02")
+    assert compaction.compact(spark, out, index=True) == {"written": 0, "removed": 1, "left": 2}
+    assert plain(compaction.read_mirror(spark, out)) == plain(lake.read_events(spark, out))
+    busy = compaction.compact  # a busy day is several files
+    lake.append(lake.stored_events(spark, out).drop("batch").filter("date = '2024-01-03'").crossJoin(spark.range(60).toDF("i")).withColumn("session_id", F.concat("session_id", "i")).drop("i"), out)
+    busy(spark, out, target=1000)
+    assert len(list((tmp_path / "lake/parquet/runtime=codex/date=2024-01-03").glob("*.parquet"))) > 2
+
+
+def test_live_export_writes_its_batch(spark, tmp_path):
+    src, out = tmp_path / "rollout-a.jsonl", str(tmp_path / "lake")
+    write(src, codex_lines(30))
+    lake.ingest(spark, {"codex": str(src)}, out, "m")
+    events = lake.stored_events(spark, out)
+    full = {r.uuid for r in export.export_rows(events).collect()}
+    export.write_export(events, f"{out}/export")
+    size = lambda folder: sum(p.stat().st_size for p in (tmp_path / "lake" / folder).rglob("*.*") if p.is_file())
+    whole = size("export")
+    export.append_export(events.limit(2), f"{out}/export", "codex-1")
+    export.append_export(events.limit(2), f"{out}/export", "codex-1")  # repeated
+    assert size("export") == whole and 0 < size("export.log") < whole
+    export.append_export(events.limit(1).withColumn("text", F.lit("new")), f"{out}/export", "codex-2")
+    got = export.read_export(spark, f"{out}/export")
+    assert got.count() == len(full) + 1
+    assert export.fold_export(spark, f"{out}/export") == 2 and export.fold_export(spark, f"{out}/export") == 0
+    assert sorted(map(str, spark.read.schema(export.ROW).json(f"{out}/export").collect())) == sorted(map(str, export.read_export(spark, f"{out}/export").collect())) and export.read_export(spark, f"{out}/export").count() == len(full) + 1
+
+
+def test_signal_views_and_reports(spark):
+    events = spark.createDataFrame([], "ts timestamp, runtime string, session_id string, project string, event_type string, text string, tool_name string, model string, extra string, tokens_in long, tokens_out long")
+    terms = spark.createDataFrame([("s", "w", "strong", 2, 1704067200)], "sessionId string, word string, severity string, count long, last_seen long")
+    index = spark.createDataFrame([("s", "/c", 1704067200, None)], "sessionId string, cwd string, mtime long, last_activity long")
+    for bad in (dict(name="weekly"), dict(limit=0), dict(limit=501)):
+        with pytest.raises(LakeError):
+            signals.report(events, terms, index, **bad)
+    assert [signals.report(events, terms, index, name).count() for name in signals.REPORTS] == [1, 1, 1, 1]
+    signals.register_signals(events, terms, index)
+    assert spark.sql("SELECT f.frustration_score, d.term_hits, w.source FROM frustration f, hook_daily d, freshness w, index_sessions i WHERE i.sessionId = f.session_id").first() == (6, 2, "index")
 
 
 def test_publish_segments(spark, tmp_path):
