@@ -11,10 +11,10 @@ phrase consists of.
 Scale: whether a word or a pair is frequent is asked with codes, hashes cut to 4 bits more than the corpus has bytes: a shard
 hands on its different codes, sorted and packed, with popcounts; the codes of a slice of the code space meet in a group (as
 many slices as bound its size) and one bit for each goes back. A code in two uses can only let a rare phrase pass this test,
-which costs a row. What passes is counted exactly, as
-strings, by an aggregation over the shards' popcounts, so no count depends on hashes. Rows grow with the different phrases
-of a shard; a frequent phrase has one row in each shard, added up before and after the shuffle. Scores, containment and ranks
-are joins and aggregations over phrases that are frequent; each task keeps the best of a language before ranks are shuffled.
+which costs its bytes. What passes is
+counted exactly, as strings, over the shards' popcounts, so no count depends on hashes: a shard's phrases go to the slices of
+the code space, packed in their order, where one prefix follows another, and a slice adds them up. Scores, containment and
+ranks are joins and aggregations over phrases that are frequent; each task keeps the best of a language before ranks are shuffled.
 
 Defined results: a null text is empty, a null language is `und`; languages are compared as they are written; repeated
 rows count as often as they are there; an empty table gives no rows; equal scores and counts are ranked by phrase in the order
@@ -39,7 +39,7 @@ from .backoff_automaton import FACTOR, pack, unpack
 from .common import Batches, text_of, written
 from .order_minhash import mixed
 
-SHARD = 18_000_000  # bytes of text
+SHARD = 14_000_000  # bytes of text
 SLICE = 16_000_000  # bytes of text for each slice of the code space
 BATCH = 1 << 18  # places that are extended at once
 GAP = b"."  # between pieces
@@ -169,10 +169,10 @@ class Shard:
             codes, number = np.unique(code >> np.uint64(64 - bits), return_inverse=True)
             yield codes, np.bincount(number, count, len(codes)).astype(np.int64), number
 
-    def phrases(self, words: np.ndarray, pairs: np.ndarray, most: int) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
-        """(words, languages, phrases, popcounts) of the phrases of up to `most` words that consist of frequent words and pairs."""
+    def phrases(self, words: np.ndarray, pairs: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+        """(words, languages, codes, phrases, popcounts) of the phrases of up to `most` words that consist of frequent words and pairs."""
         kept = np.flatnonzero(words) + 1
-        yield 1, self.langs.take(self.lang[kept]), self.names.take(kept), self.counts[kept]
+        yield 1, self.lang[kept], self.code[kept], self.names.take(kept), self.counts[kept]
         follows = np.zeros(len(self.word) + 1, bool)  # places whose word makes a frequent pair with the one before
         number = np.repeat(np.arange(len(pairs), dtype=np.int32), self.pair_counts)
         good = pairs[number] if len(pairs) else np.zeros(0, bool)
@@ -183,10 +183,11 @@ class Shard:
             now, at = at[:cut], at[cut:]
             different, owner = np.unique(number[now], return_inverse=True)
             text = pc.binary_join_element_wise(self.names.take(self.one[different]), self.names.take(self.two[different]), " ")
-            yield from self.extended(2, Bitmaps.of(owner, self.place[now]), self.lang[self.one[different]], text, follows, most)
+            one, two = self.one[different], self.two[different]
+            yield from self.extended(2, Bitmaps.of(owner, self.place[now]), self.lang[one], mixed(self.code[one] * FACTOR + self.code[two]), text, follows, most)
 
-    def extended(self, n: int, maps: Bitmaps, lang: np.ndarray, text: pa.Array, follows: np.ndarray, most: int) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
-        yield n, self.langs.take(lang), text, maps.popcounts(len(lang))
+    def extended(self, n: int, maps: Bitmaps, lang: np.ndarray, code: np.ndarray, text: pa.Array, follows: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+        yield n, lang, code, text, maps.popcounts(len(lang))
         if n == most:
             return
         owner, place = maps.shifted().places()
@@ -199,7 +200,7 @@ class Shard:
         if len(different):
             before, word = np.divmod(different, len(self.code))
             longer = pc.binary_join_element_wise(text.take(before), self.names.take(word), " ")
-            yield from self.extended(n + 1, Bitmaps.of(number, place), lang[before], longer, follows, most)
+            yield from self.extended(n + 1, Bitmaps.of(number, place), lang[before], mixed(code[before] * FACTOR + self.code[word]), longer, follows, most)
 
 
 def frequent(held: DataFrame, slices: int, bits: int, least: int) -> DataFrame:
@@ -237,8 +238,8 @@ def frequent(held: DataFrame, slices: int, bits: int, least: int) -> DataFrame:
 def counted(held: DataFrame, least: int, most: int) -> DataFrame:
     """(lang, words, phrase, f): all words and phrases of up to `most` words that occur `least` times, with their occurrences."""
     size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bits = min(64, int(size + 2).bit_length() + 4)
-    flags = frequent(held, int(size) // SLICE + 1, bits, least)
+    bits, slices = min(64, int(size + 2).bit_length() + 4), int(size) // SLICE + 1
+    flags = frequent(held, slices, bits, least)
 
     def mine(texts: pa.Table, answers: pa.Table) -> pa.Table:
         shard = Shard(**texts.select(["langs", "words", "of", "owner", "block", "mask"]).to_pylist()[0])
@@ -247,11 +248,37 @@ def counted(held: DataFrame, least: int, most: int) -> DataFrame:
         for gram, (_, _, number) in enumerate(shard.coded(bits)):
             answered = [np.unpackbits(np.frombuffer(z, np.uint8), count=n) for g, _, n, z in order if g == gram]
             often.append(np.concatenate(answered).astype(bool)[number] if answered else np.zeros(0, bool))
-        out = list(shard.phrases(*often, most))
-        return pa.table({"lang": pa.chunked_array([x for _, x, _, _ in out], pa.string()), "words": pa.array(np.repeat([n for n, *_ in out], [len(c) for *_, c in out]), pa.int32()), "phrase": pa.chunked_array([x for _, _, x, _ in out], pa.string()), "f": pa.array(np.concatenate([c for *_, c in out]), pa.int64())})
+        parts = list(shard.phrases(*often, most))
+        names = shard.langs
+        del shard, often, order
+        n = np.repeat([x[0] for x in parts], [len(x[1]) for x in parts])
+        lang, code, f = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 4))
+        text = pa.concat_arrays([x[3] for x in parts])
+        del parts
+        place = ((code >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(place[order])) + 1, len(order)] if len(order) else np.zeros(1, np.int64)
+        press, rows = zstandard.ZstdCompressor(level=3).compress, []
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            own = order[a:b]
+            said = text.take(own)
+            rows.append((int(place[own[0]]), names.to_pylist(), pack(lang[own]), pack(n[own]), pack(pc.binary_length(said).to_numpy()), press("".join(said.to_pylist()).encode()), pack(f[own])))
+        return pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate((("slice", pa.int32()), ("langs", pa.list_(pa.string())), ("lang", pa.binary()), ("words", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("f", pa.binary())))})
 
-    found = held.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(mine, "lang string, words int, phrase string, f long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    def add(rows: pa.Table) -> pa.Table:
+        """Of the phrases of a slice, which has all of theirs, those that are frequent."""
+        every = []
+        for row in rows.to_pylist():
+            ends = np.r_[0, np.cumsum(unpack(row["sizes"]))].astype(np.int32)
+            phrase = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(zstandard.decompress(row["text"])))
+            every.append(pa.table({"lang": pa.array(row["langs"], pa.string()).take(unpack(row["lang"]).view(np.int64)), "words": unpack(row["words"]).astype(np.int32), "phrase": phrase, "f": unpack(row["f"]).view(np.int64)}))
+        total = pa.concat_tables(every).group_by(["lang", "words", "phrase"]).aggregate([("f", "sum")])
+        total = total.filter(pc.greater_equal(total["f_sum"], least))
+        return pa.table({"lang": total["lang"], "words": total["words"], "phrase": total["phrase"], "f": total["f_sum"]})
+
+    found = held.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(mine, "slice int, langs array<string>, lang binary, words binary, sizes binary, text binary, f binary")
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(tasks, "slice").groupBy("slice").applyInArrow(add, "lang string, words int, phrase string, f long")
 
 
 def scored(phrases: DataFrame) -> DataFrame:
