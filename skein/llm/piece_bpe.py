@@ -2,8 +2,8 @@
 
 A text is normalised first, by the longest prefix at each place that the model's compiled character map knows (a double
 array of UTF-8 bytes); white space is marked, and every character of the result remembers the source byte where it came
-from. The normalised text is cut where no piece of the vocabulary can reach across; each distinct part is merged once in
-a task, by score, and remembered. The pieces' lengths, added up, lead over the remembered places back to spans of source
+from. The normalised text is cut where no piece of the vocabulary can reach across; each distinct part is merged once,
+by score, and remembered. The pieces' lengths, added up, lead over the remembered places back to spans of source
 bytes: spans follow each other and cover what the text was read from. A character without a piece is spelt in byte
 pieces, the last of which has its span. Decoding joins the ids' pieces and reads the bytes as UTF-8.
 
@@ -22,6 +22,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -33,7 +34,7 @@ from .common import map_rows, text_of
 
 MARK = "▁"  # stands for a space in pieces
 STRETCH = 1 << 18  # characters that are encoded at once
-CACHE = 400_000  # distinct parts that a task remembers
+CACHE = 250_000  # distinct parts of late that a Python worker remembers, and as many before
 LONG = 40  # characters of a part that are merged with a heap
 
 # Kinds of pieces and field numbers of the model file.
@@ -154,7 +155,8 @@ class Model:
         self.by_text = {str(i): x for i, x in enumerate(self.raw)}
         self.marked = {i for name, i in self.ids.items() if name.startswith(MARK)}
         self.parts = self.cutter()
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}  # parts of late, and those before
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def cutter(self) -> re.Pattern:
         """Matches the parts of a normalised text that no merge reaches beyond."""
@@ -257,21 +259,21 @@ class Model:
     def encode(self, text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """Of each stretch: the ids as decimal text, and the source bytes where their spans begin and end."""
         normal, places = self.normalise(text)
-        known, part, at = self.known, self.part, 0
+        part, at = self.part, 0
         while at < len(normal):
             stop = at + STRETCH
             cut = re.compile(f"(?<!{MARK}){MARK}").search(normal, stop) if stop < len(normal) and self.parts.pattern != ".+" else None
             stop = cut.start() if cut else len(normal)
-            found = []
+            found, known, older = [], self.known, self.older
             for p in self.parts.findall(normal[at:stop]):
                 got = known.get(p)
                 if got is None:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    got = part(p)
+                    got = older.get(p) or part(p)
                     if len(p) <= LONG:
                         known[p] = got
                 found.append(got)
+            if len(known) >= CACHE:
+                self.known, self.older = {}, known
             sizes = np.frombuffer(b"".join([s for _, s in found]), np.uint16)
             ends = at + np.cumsum(sizes, dtype=np.int64)
             yield ",".join([i for i, _ in found]), places[ends - sizes], places[ends]
@@ -315,7 +317,9 @@ class Model:
         return "".join(out)
 
 
+@lru_cache(maxsize=1)
 def load(path: str) -> Model:
+    """A worker's later tasks use the model of its first one, and what that remembers."""
     with open(path, "rb") as f:
         return Model(f.read())
 
