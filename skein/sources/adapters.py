@@ -16,16 +16,18 @@ from .records import CARRIED, event, extra, filled, is_object, is_true, items, n
 @dataclass(frozen=True)
 class Adapter:
     """read: lines to records.said; timed: lines before the first time set nothing; held: events wait for a release; calls: results
-    take the name of their call. Called with lines, it returns their raw events; with `split`, files are carried in ranges of as
-    many bytes."""
+    take the name of their call; alone: lines take nothing from others. Called with lines, it returns their raw events; with
+    `split`, files are carried in ranges of as many bytes."""
 
     read: Callable[[DataFrame], DataFrame]
     timed: bool = False
     held: bool = False
     calls: bool = False
+    alone: bool = False
 
     def __call__(self, lines: DataFrame, sessions: DataFrame | None = None, split: int = 0) -> DataFrame:
-        return with_projects(R.carry(self.read(lines), self.timed, self.held, self.calls, split), sessions)
+        said = self.read(lines)
+        return R.alone(said) if self.alone else with_projects(R.carry(said, self.timed, self.held, self.calls, split), sessions)
 
 
 def with_projects(raw: DataFrame, sessions: DataFrame | None) -> DataFrame:
@@ -282,17 +284,23 @@ def read_kimi(lines: DataFrame) -> DataFrame:
 PICKED = ("event", "decision", "tool", "code", "ms", "timedOut", "infra")
 
 
+HOOK_KEYS = ("ts", "id", "reason", "session_id", "sessionId", "session", "project", "cwd", *PICKED)
+
+
 def read_hooks(lines: DataFrame) -> DataFrame:
-    """Lines are on their own: each has its time, session and project, or has none."""
-    v = F.col("v")
-    names = ("session_id", "sessionId", "session", "project", "cwd")
-    parts = F.struct(*[R.present(v, f"$.{k}").alias(k) for k in PICKED], *[F.when(R.kind(v, f"$.{k}") != "VOID", F.coalesce(text(v, f"$.{k}"), F.to_json(R.part(v, f"$.{k}")))).alias(f"as_{k}") for k in names])
-    df = R.objects(lines).withColumns({"parts": parts, "stamp": F.coalesce(filled(v, "$.ts"), R.epoch(v, "$.ts"))})
-    chosen = lambda *picked: F.coalesce(*[F.col(f"parts.as_{k}") for k in picked])
-    made = event("hook_decision", text(v, "$.reason"), tool_name=text(v, "$.id"), more=extra(*[(k, F.col(f"parts.{k}")) for k in PICKED]))
-    return R.said(df.filter("stamp is not null"), one(made), ts=F.col("stamp"), base=(chosen(*names[:3]), chosen(*names[3:])))
+    """Lines are on their own: each has its time, session and project, or has none. A line is read once, into its known keys."""
+    keys = F.from_json("line", ", ".join(f"`{k}` variant" for k in HOOK_KEYS))
+    df = lines.withColumn("j", keys).filter(F.col("line").rlike(r"^\s*\{") & F.col("j").isNotNull() & F.try_parse_json("line").isNotNull())
+    value = lambda k: F.col(f"j.{k}")
+    there = lambda k: F.when(F.schema_of_variant(value(k)) != "VOID", value(k))
+    is_text = lambda k: F.schema_of_variant(value(k)) == "STRING"
+    as_text = lambda k: F.when(is_text(k), F.try_variant_get(value(k), "$", "string"))
+    shown = lambda k: F.when(is_text(k), F.try_variant_get(value(k), "$", "string")).otherwise(F.to_json(there(k)))
+    df = df.withColumns({"stamp": F.coalesce(filled(value("ts"), "$"), R.epoch(value("ts"), "$"))}).filter("stamp is not null")
+    made = event("hook_decision", as_text("reason"), tool_name=as_text("id"), more=extra(*[(k, there(k)) for k in PICKED]))
+    return R.said(df, one(made), ts=F.col("stamp"), base=(F.coalesce(*map(shown, ("session_id", "sessionId", "session"))), F.coalesce(*map(shown, ("project", "cwd")))))
 
 
 claude, codex, omp = Adapter(read_claude), Adapter(read_codex, timed=True), Adapter(read_omp, held=True)
-droid, kimi, hooks_legacy = Adapter(read_droid, held=True), Adapter(read_kimi, timed=True, calls=True), Adapter(read_hooks)
+droid, kimi, hooks_legacy = Adapter(read_droid, held=True), Adapter(read_kimi, timed=True, calls=True), Adapter(read_hooks, alone=True)
 ADAPTERS = {"claude": claude, "codex": codex, "omp": omp, "droid": droid, "kimi": kimi, "hooks": hooks_legacy}

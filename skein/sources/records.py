@@ -132,6 +132,12 @@ def exploded(df: DataFrame) -> DataFrame:
     return rows.select("file", "seq", "pos", "ts", "session_id", "project", "e.event_type", "e.text", put("tool_name", "called"), put("model", "carried_model"), "e.tokens_in", "e.tokens_out", "e.extra")
 
 
+def alone(lines: DataFrame) -> DataFrame:
+    """The raw events of lines that take nothing from others."""
+    none = F.lit(None).cast("string")
+    return exploded(lines.filter("sets.ts is not null").select("file", "seq", "sets.ts", "base.session_id", "base.project", none.alias("model"), none.alias("called"), "events"))
+
+
 def carry(lines: DataFrame, timed: bool, held: bool, calls: bool, split: int = 0) -> DataFrame:
     """The raw events of what lines say (see said), by windows over each file, or over ranges of `split` bytes of it.
 

@@ -78,5 +78,7 @@ class Carry(StatefulProcessor):
 
 
 def carried(lines: DataFrame, adapter: Adapter) -> DataFrame:
-    """The raw events of a stream of lines (file, seq, line), released ones only."""
+    """The raw events of a stream of lines (file, seq, line), released ones only; without state where lines are on their own."""
+    if adapter.alone:
+        return adapter(lines)
     return adapter.read(lines).groupBy("file").transformWithState(Carry(adapter.timed, adapter.held), RAW, "Append", "None")
