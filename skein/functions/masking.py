@@ -57,19 +57,26 @@ def replaced(text: Column, kind: str, pattern: str) -> Column:
     return bound(text, lambda t: F.when(t.rlike(java(pattern)), joined(t)).otherwise(t))
 
 
+def suspect(text: Column) -> Column:
+    """Whether any class has a hit: one look at a text, which most texts end with."""
+    return text.rlike("|".join(f"(?:{java(pattern)})" for _, pattern in CLASSES))
+
+
 def mask(text: Column) -> Column:
+    out = text
     for kind, pattern in CLASSES:
-        text = replaced(text, kind, pattern)
-    return text
+        out = replaced(out, kind, pattern)
+    return F.when(suspect(text), out).otherwise(text)
 
 
 def mask_counts(text: Column) -> dict[str, Column]:
     """How many hits of each class mask() replaces."""
-    out = {}
+    out, masked = {}, text
     for kind, pattern in CLASSES:
-        hits = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
-        out[kind] = F.size(F.filter(hits, dense) if kind == "entropy" else hits).cast("long")
-        text = replaced(text, kind, pattern)
+        hits = F.regexp_extract_all(masked, F.lit(java(pattern)), F.lit(0))
+        found = F.size(F.filter(hits, dense) if kind == "entropy" else hits).cast("long")
+        out[kind] = F.when(suspect(text), found).when(text.isNotNull(), F.lit(0).cast("long"))
+        masked = replaced(masked, kind, pattern)
     return out
 
 
@@ -80,7 +87,8 @@ def clip(text: Column, cap: int = CAP) -> Column:
         high = F.conv(F.hex(F.substring(raw, 2 * cap - 1, 1)), 16, 10).cast("int").between(0xD8, 0xDB)
         return F.decode(F.substring(raw, F.lit(1), F.when((F.octet_length(raw) > 2 * cap) & high, 2 * cap - 2).otherwise(2 * cap)), "UTF-16BE")
 
-    return bound(text, lambda t: F.when(F.length(t) <= cap // 2, t).otherwise(bound(F.encode(t, "UTF-16BE"), cut)))
+    # so many code points are so many units at least: what follows them is not encoded
+    return bound(text, lambda t: F.when(F.length(t) <= cap // 2, t).otherwise(bound(F.encode(F.substring(t, 1, cap), "UTF-16BE"), cut)))
 
 
 def mask_value(text: str) -> str:

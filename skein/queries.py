@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,17 +50,14 @@ add("tokens_daily", over_events(views.tokens_daily), sql("SELECT CAST(ts AS DATE
 add("hook_decisions", over_events(views.hook_decisions), sql("SELECT * FROM hook_decisions", E, H))
 add("blocks_by_hook", over_events(views.blocks_by_hook), sql("SELECT hook_id, count(*) AS blocks, count(DISTINCT session_id) AS sessions, min(ts) AS first_block_ts, max(ts) AS last_block_ts, arg_max(reason, ts) AS last_reason FROM hook_decisions WHERE decision='block' GROUP BY hook_id", E, H))
 INTERRUPTED = """
-turns AS (
-  SELECT runtime, session_id, ts, event_type, text,
-    row_number() OVER (PARTITION BY runtime, session_id ORDER BY ts DESC, event_type DESC, text DESC) AS rn_session,
-    row_number() OVER (PARTITION BY runtime, session_id, event_type ORDER BY ts DESC, text DESC) AS rn_kind
-  FROM lake_events WHERE session_id IS NOT NULL AND event_type IN ('user','assistant','tool_call')),
+ends AS (
+  SELECT runtime, session_id, arg_max(event_type, (ts, event_type, text)) AS stopped_with,
+    arg_max(text, (ts, event_type, text)) FILTER (event_type = 'user') AS asked
+  FROM lake_events WHERE session_id IS NOT NULL AND event_type IN ('user', 'assistant', 'tool_call') GROUP BY ALL),
 interrupted AS (
-  SELECT s.runtime, s.session_id, s.project, CASE t.event_type WHEN 'user' THEN 'unanswered' ELSE 'cut_off_mid_tool' END AS stopped_as, s.first_ts, s.last_ts,
-    s.user_msgs, s.assistant_msgs, s.tool_calls, substr(r.text,1,240) AS last_user_text
-  FROM (SELECT * FROM turns WHERE rn_session=1 AND event_type<>'assistant') t
-  JOIN lake_sessions s ON s.runtime=t.runtime AND s.session_id=t.session_id
-  LEFT JOIN (SELECT * FROM turns WHERE event_type='user' AND rn_kind=1) r ON r.runtime=t.runtime AND r.session_id=t.session_id)"""
+  SELECT runtime, session_id, project, if(stopped_with = 'user', 'unanswered', 'cut_off_mid_tool') AS stopped_as,
+    first_ts, last_ts, user_msgs, assistant_msgs, tool_calls, asked[1:240] AS last_user_text
+  FROM ends JOIN lake_sessions USING (runtime, session_id) WHERE stopped_with <> 'assistant')"""
 add("interrupted_sessions", over_events(views.interrupted_sessions), sql("SELECT * FROM interrupted", E, S, INTERRUPTED))
 
 # Reads
@@ -91,21 +88,23 @@ add("labels_list", lambda spark, sf: plain(L.latest(X.lake_labels(spark, sf), as
 add("label_aspects", lambda spark, sf: L.aspects(X.lake_labels(spark, sf)), sql("SELECT aspect, count(DISTINCT value) AS \"values\", count(*) AS labels, count(DISTINCT session_id) AS sessions FROM latest GROUP BY aspect", LB, LATEST))
 
 # Signals
-FRUSTRATION = """
-SELECT f.sid AS session_id, CAST(sum(f.n * CASE f.severity WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END) AS BIGINT) AS frustration_score, CAST(sum(f.n) AS BIGINT) AS term_hits, count(DISTINCT f.word) AS distinct_terms,
-  coalesce(s.runtime, CASE WHEN starts_with(f.sid,'rollout-') THEN 'codex' END) AS runtime, coalesce(s.project, o.cwd) AS project, s.first_ts, s.last_ts, s.user_msgs
-FROM terms f LEFT JOIN index_sessions o ON o.sid=f.sid
-LEFT JOIN (SELECT f.sid AS fsid, s.* FROM (SELECT DISTINCT sid FROM terms) f JOIN lake_sessions s ON s.session_id=f.sid
-  UNION SELECT f.sid, s.* FROM (SELECT DISTINCT sid FROM terms) f JOIN lake_sessions s ON s.session_alias=sha256(f.sid)) s ON s.fsid=f.sid
-GROUP BY f.sid, s.runtime, s.project, o.cwd, s.first_ts, s.last_ts, s.user_msgs"""
+FRUSTRATION = """,
+tallies AS (SELECT sid, sum(n * list_extract([3, 2, 1], CASE WHEN severity = 'strong' THEN 1 WHEN severity = 'moderate' THEN 2 ELSE 3 END)) AS weighted, sum(n) AS hits, count(DISTINCT word) AS words FROM terms GROUP BY sid),
+same AS (SELECT sid, l.* FROM tallies JOIN lake_sessions l ON l.session_id = sid UNION SELECT sid, l.* FROM tallies JOIN lake_sessions l ON l.session_alias = sha256(sid)),
+joined AS (
+  SELECT t.sid AS session_id, CAST(weighted AS BIGINT) AS score, CAST(hits AS BIGINT) AS hits, words, ifnull(m.runtime, if(t.sid LIKE 'rollout-%', 'codex', NULL)) AS runtime,
+    m.runtime AS known, m.project AS own, i.cwd, m.first_ts, m.last_ts, m.user_msgs
+  FROM tallies t LEFT JOIN same m ON m.sid = t.sid LEFT JOIN index_sessions i ON i.sid = t.sid)
+SELECT session_id, CAST(sum(score) AS BIGINT) AS frustration_score, CAST(sum(hits) AS BIGINT) AS term_hits, max(words) AS distinct_terms, runtime, ifnull(own, cwd) AS project, first_ts, last_ts, user_msgs
+FROM joined GROUP BY session_id, runtime, known, own, cwd, first_ts, last_ts, user_msgs"""
 
 
 def signal(f, *tables):
     return lambda spark, sf: plain(f(X.lake_events(spark, sf), *[t(spark, sf) for t in tables]))
 
 
-add("frustration", signal(signals.frustration, X.index_terms, X.index_sessions), sql(FRUSTRATION + " ORDER BY frustration_score DESC, session_id, runtime LIMIT 25", E, S, I))
-add("frustration_all", signal(lambda e, t, s: signals.frustration(e, t, s, None), X.index_terms, X.index_sessions), sql(FRUSTRATION, E, S, I))
+add("frustration", signal(signals.frustration, X.index_terms, X.index_sessions), "WITH " + ",".join((E, S, I)) + FRUSTRATION + " ORDER BY frustration_score DESC, session_id, runtime LIMIT 25")
+add("frustration_all", signal(lambda e, t, s: signals.frustration(e, t, s, None), X.index_terms, X.index_sessions), "WITH " + ",".join((E, S, I)) + FRUSTRATION)
 add("hook_overlap", signal(signals.hook_overlap, X.index_terms), sql("SELECT (SELECT count(*) FROM b) AS hook_blocked_sessions, (SELECT count(*) FROM f) AS frustrated_sessions, (SELECT count(*) FROM b JOIN f USING (session_id)) AS overlap_sessions", E, H, I, "b AS (SELECT DISTINCT session_id FROM hook_decisions WHERE decision='block' AND session_id IS NOT NULL)", "f AS (SELECT DISTINCT sid AS session_id FROM terms)"))
 add("hook_daily", signal(signals.hook_daily, X.index_terms), sql("SELECT day, coalesce(hook_blocks,0) AS hook_blocks, coalesce(blocked_sessions,0) AS blocked_sessions, coalesce(frustrated_sessions,0) AS frustrated_sessions, CAST(coalesce(term_hits,0) AS BIGINT) AS term_hits FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS hook_blocks, count(DISTINCT session_id) AS blocked_sessions FROM hook_decisions WHERE decision='block' GROUP BY 1) FULL JOIN (SELECT CAST(make_timestamp(last_seen*1000000) AS DATE) AS day, count(DISTINCT sid) AS frustrated_sessions, sum(n) AS term_hits FROM terms WHERE last_seen IS NOT NULL GROUP BY 1) USING (day) ORDER BY day DESC LIMIT 30", E, H, I))
 add("freshness", signal(signals.freshness, X.index_sessions), sql("SELECT 'index' AS source, make_timestamp(max(mtime)*1000000) AS newest_activity, count(*) AS items FROM index_sessions UNION ALL SELECT 'lake:'||runtime, max(ts), count(DISTINCT session_id) FROM lake_events GROUP BY runtime", E, I))
@@ -155,10 +154,19 @@ def _mask_sql(kind: str, pattern: str, source: str, target: str) -> str:
 MASKED = [SECRET_SQL, _mask_sql(*M.CLASSES[0], "secrets", "m1"), _mask_sql(*M.CLASSES[1], "m1", "m2"), _mask_sql(*M.CLASSES[2], "m2", "m3")]
 add("mask_text", lambda spark, sf: secrets(spark, sf).select("doc_id", M.mask(F.col("text")).alias("text")), sql("SELECT doc_id, text FROM m3", *MASKED))
 add("mask_counts", lambda spark, sf: secrets(spark, sf).select(*[F.sum(c).alias(f"n_{k}") for k, c in M.mask_counts(F.col("text")).items()]), sql("SELECT CAST(sum(n_assignment) AS BIGINT) AS n_assignment, CAST(sum(n_token) AS BIGINT) AS n_token, CAST(sum(n_entropy) AS BIGINT) AS n_entropy FROM m3", *MASKED))
+
+
+def long_texts() -> Column:
+    """Each document's text repeated beyond the cap, or its first letter with a character of two units at the cap."""
+    text, letter = F.col("text"), F.substring("text", 1, 1)
+    repeated = F.repeat(F.concat(text, F.lit(" ")), (F.floor(F.lit(M.CAP) / (F.length(text) + 1)) + 1).cast("int"))
+    return F.when(F.col("doc_id") % 3 == 0, repeated).when(F.col("doc_id") % 3 == 1, F.concat(F.repeat(letter, F.lit(M.CAP - 1)), F.lit("😀"), text)).otherwise(F.concat(F.repeat(letter, F.lit(M.CAP - 2)), F.lit("😀"), text))
+
+
 add(
     "clip_text",
-    lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", M.clip(F.concat(F.repeat(F.lit("ab"), (F.col("doc_id") % 3).cast("int")), F.repeat(F.lit("x"), F.lit(M.CAP - 3)), F.lit("😀😀"), F.col("text"))).alias("c")).select("doc_id", F.length("c").cast("long").alias("n"), F.sha2("c", 256).alias("digest")),
-    "SELECT doc_id, length(c) AS n, sha256(c) AS digest FROM (SELECT doc_id, CASE doc_id%3 WHEN 0 THEN repeat('x',65533)||'😀' ELSE repeat('ab',CAST(doc_id%3 AS INT))||repeat('x',65533) END AS s, doc_id%3 AS r FROM documents), LATERAL (SELECT CASE r WHEN 0 THEN s WHEN 1 THEN repeat('ab',1)||repeat('x',65533) ELSE substr(s,1,65536) END AS c)",
+    lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 0").select("doc_id", long_texts().alias("t")).select("doc_id", M.clip(F.col("t")).alias("c")).select("doc_id", F.length("c").cast("long").alias("n"), F.sha2("c", 256).alias("digest")),
+    "SELECT doc_id, length(c) AS n, sha256(c) AS digest FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(repeat(text || ' ', 65536 // (length(text) + 1) + 1), 1, 65536) WHEN 1 THEN repeat(substr(text,1,1), 65535) ELSE repeat(substr(text,1,1), 65534) || '😀' END AS c FROM documents WHERE length(text) > 0)",
 )
 add(
     "date_partition",
