@@ -292,3 +292,68 @@ DAILY = """daily AS (SELECT day, coalesce(hook_blocks,0) AS hook_blocks, coalesc
 ORACLE["signals_sql"] = f"WITH {X.EVENTS_SQL},{X.HOOKS_SQL},{X.INDEX_SQL},{DAILY}, tools AS (SELECT DISTINCT CAST(ts AS DATE) AS day, runtime, tool_name FROM lake_events WHERE event_type='tool_call' AND tool_name IS NOT NULL) SELECT d.day, d.hook_blocks, d.term_hits, count(t.tool_name) AS tools FROM daily d LEFT JOIN tools t ON t.day=d.day GROUP BY ALL"
 QUERIES["signals_report"] = lambda spark, sf: signals.report(X.lake_events(spark, sf), X.index_terms(spark, sf), X.index_sessions(spark, sf), "daily", 7)
 ORACLE["signals_report"] = f"WITH {X.EVENTS_SQL},{X.HOOKS_SQL},{X.INDEX_SQL},{DAILY} SELECT * FROM daily ORDER BY day DESC LIMIT 7"
+
+
+# Blocks, calls and registers: what the plain messages above do not hold. Turns are numbered from 0 in each conversation.
+def claude_block_lines(df: DataFrame) -> DataFrame:
+    """Thinking, a text and a tool call with usage; a tool's result and a text; the session on the first line, times on even ones."""
+    t, number = F.col(TEXT), F.col("turn").cast("int")
+    called = obj(type="tool_use", id=F.concat("sid", F.lit("-"), number.cast("string")), name=F.concat(F.lit("T"), (number % 3).cast("string")), input=obj(n=number))
+    blocks = lambda *parts: F.transform(F.array(*map(F.to_json, parts)), F.parse_json)
+    answer = obj(role="assistant", model="m", content=blocks(obj(type="thinking", thinking=F.concat(F.lit("why "), t)), obj(type="text", text=t), called), usage=obj(input_tokens=number, cache_read_input_tokens=1, output_tokens=F.length(t)))
+    asked = obj(role="user", content=blocks(obj(type="tool_result", tool_use_id="x", content=t), obj(type="text", text=F.concat(F.lit("next "), t))))
+    head = {"timestamp": F.when(number % 2 == 0, F.col("at")), "sessionId": F.when(number == 0, F.concat(F.lit("of-"), "sid"))}
+    line = F.when(F.col(ROLE) == "assistant", F.to_json(obj(type="assistant", message=answer, **head))).when(F.col(ROLE) == "user", F.to_json(obj(type="user", message=asked, **head))).otherwise(F.to_json(obj(type="system", content=t, **head)))
+    return lines(df, F.concat(F.lit("/c/-p/"), "sid", F.lit(".jsonl")), line)
+
+
+QUERIES["adapter_claude_blocks"] = lambda spark, sf: A.claude(claude_block_lines(talks(spark, sf))).select(*COLUMNS, "tool_name", "model")
+EVEN = "strftime(TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR + (turn - turn % 2) * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S.000Z') AS ts"
+ORACLE["adapter_claude_blocks"] = f"""
+WITH t AS (SELECT 'of-conv-'||conv_id AS session_id, {EVEN}, role, text, turn, regexp_replace(text, '\\s+$', '', 'g') AS cut FROM conversations),
+e AS (
+  SELECT session_id, ts, 'thinking' AS event_type, 'why '||text AS text, turn + 1 AS tokens_in, length(text) AS tokens_out, NULL AS tool_name, 'm' AS model FROM t WHERE role='assistant'
+  UNION ALL SELECT session_id, ts, 'assistant', text, NULL, NULL, NULL, 'm' FROM t WHERE role='assistant' AND trim(text, ' '||chr(9)||chr(10)||chr(13)) <> ''
+  UNION ALL SELECT session_id, ts, 'tool_call', '{{"n":'||turn||'}}', NULL, NULL, 'T'||(turn % 3), 'm' FROM t WHERE role='assistant'
+  UNION ALL SELECT session_id, ts, 'tool_result', text, NULL, NULL, NULL, NULL FROM t WHERE role='user'
+  UNION ALL SELECT session_id, ts, 'user', 'next '||cut, NULL, NULL, NULL, NULL FROM t WHERE role='user'
+  UNION ALL SELECT session_id, ts, 'meta', text, NULL, NULL, NULL, NULL FROM t WHERE role='system')
+SELECT session_id, ts, event_type, text, CAST(tokens_in AS BIGINT) AS tokens_in, CAST(tokens_out AS BIGINT) AS tokens_out, tool_name, model FROM e"""
+
+
+def kimi_call_lines(df: DataFrame) -> DataFrame:
+    """Calls on even turns and results on odd ones, two of each to an id; every fifth conversation asks for a call that is not there."""
+    n = F.col("turn").cast("int")
+    call = F.concat(F.lit("c"), F.floor(n / 4).cast("string"))
+    made = obj(type="tool.call", toolCallId=call, name=F.concat(F.lit("tool"), (n % 3).cast("string")), args=obj(n=n))
+    got = obj(type="tool.result", toolCallId=F.when(F.col("conv_id") % 5 == 0, "none").otherwise(call), result=obj(output=F.col(TEXT)))
+    event = lambda e: F.to_json(obj(type="context.append_loop_event", time=F.col("ms"), event=e))
+    return lines(df, F.concat(F.lit("/k/wd_a/session_"), F.col("conv_id").cast("string"), F.lit("/agents/main/wire.jsonl")), F.when(n % 2 == 0, event(made)).otherwise(event(got)))
+
+
+QUERIES["adapter_kimi_calls"] = lambda spark, sf: A.kimi(kimi_call_lines(talks(spark, sf))).select("session_id", "ts", "event_type", "text", "tool_name")
+ORACLE["adapter_kimi_calls"] = f"""
+SELECT 'session_'||conv_id AS session_id, {AT}, CASE WHEN turn % 2 = 0 THEN 'tool_call' ELSE 'tool_result' END AS event_type, CASE WHEN turn % 2 = 0 THEN '{{"n":'||turn||'}}' ELSE text END AS text,
+  CASE WHEN turn % 2 = 0 THEN 'tool'||(turn % 3) WHEN conv_id % 5 <> 0 THEN 'tool'||((turn - 1) % 3) END AS tool_name FROM conversations"""
+
+
+def omp_held_lines(df: DataFrame) -> DataFrame:
+    """Two messages before the line that opens the session, the first without a time; then a change of model."""
+    own = obj(role=F.col(ROLE), content=F.col(TEXT), usage=obj(input=F.col("turn"), output=2))
+    n = F.col("turn").cast("long")
+    said = df.select("conv_id", (n * 10).alias("turn"), F.to_json(obj(type="message", timestamp=F.when(n > 0, F.col("at")), message=own)).alias("line"))
+    opened = df.filter("turn = 0")
+    session = opened.select("conv_id", F.lit(15).cast("long").alias("turn"), F.to_json(obj(type="session", id=F.concat(F.lit("S"), "sid"), cwd="/w", timestamp=F.col("at"))).alias("line"))
+    model = opened.select("conv_id", F.lit(16).cast("long").alias("turn"), F.to_json(obj(type="model_change", model="m1")).alias("line"))
+    rows = said.unionByName(session).unionByName(model)
+    return lines(rows, F.concat(F.lit("/o/d/2024_conv-"), F.col("conv_id").cast("string"), F.lit(".jsonl")), F.col("line"))
+
+
+QUERIES["adapter_omp_held"] = lambda spark, sf: A.omp(omp_held_lines(talks(spark, sf))).select(*COLUMNS, "project", "model")
+ORACLE["adapter_omp_held"] = f"""
+WITH t AS (SELECT conv_id, turn, role, text, {AT} FROM conversations),
+e AS (
+  SELECT conv_id, ts, {KIND}, text, CASE WHEN role='assistant' THEN turn END AS tokens_in, CASE WHEN role='assistant' THEN 2 END AS tokens_out, CASE WHEN role='assistant' AND turn > 1 THEN 'm1' END AS model FROM t
+  UNION ALL SELECT conv_id, ts, 'meta', '', NULL, NULL, NULL FROM t WHERE turn = 0
+  UNION ALL SELECT conv_id, ts, 'meta', '', NULL, NULL, 'm1' FROM t WHERE turn = 0)
+SELECT 'Sconv-'||conv_id AS session_id, ts, event_type, text, CAST(tokens_in AS BIGINT) AS tokens_in, CAST(tokens_out AS BIGINT) AS tokens_out, '/w' AS project, model FROM e"""
