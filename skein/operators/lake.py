@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..functions import masking as M
 from ..schema import RUNTIMES, STORED_EVENT, STORED_LABEL, LakeError, check_runtime
 from ..sources.adapters import ADAPTERS, droid_settings
 from ..sources.discovery import kimi_sessions, sidecars
-from ..streaming import tail
+from ..streaming import store, tail
 from . import files, tallies
 
 CORRUPT = "_corrupt"
@@ -86,7 +84,7 @@ def parsed(spark: SparkSession, source: str, runtime: str, kimi_index: str | Non
     """The raw events of a runtime's files (a glob); kimi_index: its session index, which has the projects. Files are read in
     partitions of `split` bytes; if some are longer, registers are carried in ranges of as many."""
     lines = spark.read.format("tail").option("path", source).option("split", str(split)).load()
-    longest = max((os.path.getsize(f) for f in tail.matching({"path": source})), default=0)
+    longest = max((store.stat(f).size for f in store.matching(source)), default=0)
     sessions = kimi_sessions(spark, kimi_index) if runtime == "kimi" else None
     return ADAPTERS[runtime](lines, sessions, split if longest > split else 0)
 

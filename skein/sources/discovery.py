@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..streaming import store
 from . import records as R
 
 # The vendors' layouts, relative to the home folder.
@@ -44,7 +45,7 @@ def sidecar_path(source: str) -> str:
 
 def sidecars(spark: SparkSession, source: str) -> DataFrame:
     """(file, content) of the settings beside the transcripts of a source (globs, or files, separated by commas)."""
-    names = [p for p in sidecar_path(source).split(",") if p and glob.glob(p)]
+    names = [p for p in sidecar_path(source).split(",") if p and store.matching(p)]
     if not names:
         return spark.createDataFrame([], "file string, content string")
     return spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")).distinct()
@@ -52,7 +53,7 @@ def sidecars(spark: SparkSession, source: str) -> DataFrame:
 
 def kimi_sessions(spark: SparkSession, path: str | None) -> DataFrame | None:
     """The projects of a session index that may not be there."""
-    return kimi_projects(spark, path) if path and glob.glob(path) else None
+    return kimi_projects(spark, path) if path and store.matching(path) else None
 
 
 def kimi_projects(spark: SparkSession, path: str) -> DataFrame:

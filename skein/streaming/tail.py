@@ -19,16 +19,16 @@ offset without saying where it stands. The paths must be on a file system that d
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from . import store
+
 SCHEMA = "file string, seq long, line string"
 STEP = 1 << 16
 SPLIT = 64 << 20  # bytes of a partition of a batch
@@ -63,13 +63,9 @@ def packed(spans: list[Span], step: int) -> list[Spans]:
     return out or [Spans([])]
 
 
-def matching(options: dict) -> list[str]:
-    return sorted({f for p in options["path"].split(",") for f in glob.glob(p, recursive=True) if os.path.isfile(f)})
-
-
 def last_newline(file: str, begin: int, end: int) -> int:
     """The place after the last newline in [begin, end), or begin."""
-    with open(file, "rb") as f:
+    with store.opened(file) as f:
         at = end
         while at > begin:
             start = max(begin, at - STEP)
@@ -84,7 +80,7 @@ def last_newline(file: str, begin: int, end: int) -> int:
 def after_lines(file: str, begin: int, end: int, lines: int) -> tuple[int, int]:
     """The place after so many lines from begin on, or after the last one before end; and how many they are."""
     found, place = 0, begin
-    with open(file, "rb") as f:
+    with store.opened(file) as f:
         f.seek(begin)
         at = begin
         while at < end and found < lines:
@@ -107,34 +103,32 @@ def after_lines(file: str, begin: int, end: int, lines: int) -> tuple[int, int]:
 
 def lines_of(span: Span) -> Iterator[tuple]:
     """The lines that begin in the span, with their offsets; a carriage return before the newline goes, bad bytes are replaced."""
-    with open(span.file, "rb") as f:
-        at = span.begin
-        if at:
-            f.seek(at - 1)
-            at += len(f.readline()) - 1  # the rest of a line that begins before
-        while at < span.end and (raw := f.readline()):
-            yield span.file, at, raw.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
-            at += len(raw)
+    with store.opened(span.file) as f:
+        for at, raw in store.lines(f, max(0, span.begin - 1)):  # a line that begins before the span is another one's
+            if at >= span.end:
+                break
+            if at >= span.begin:
+                yield span.file, at, raw.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
 
 
 def digest(file: str, begin: int, end: int) -> str:
-    with open(file, "rb") as f:
+    with store.opened(file) as f:
         f.seek(begin)
         return hashlib.sha256(f.read(end - begin)).hexdigest()[:32]
 
 
-def consumed(file: str, at: int, seen: os.stat_result) -> dict:
+def consumed(file: str, at: int, seen: store.Seen) -> dict:
     """The offset of a file of which the first `at` bytes were consumed."""
-    return {"at": at, "size": seen.st_size, "time": seen.st_mtime_ns, "head": digest(file, 0, min(at, EDGE)), "tail": digest(file, max(0, at - EDGE), at)}
+    return {"at": at, "size": seen.size, "time": seen.time, "head": digest(file, 0, min(at, EDGE)), "tail": digest(file, max(0, at - EDGE), at)}
 
 
-def verify(file: str, was: dict, seen: os.stat_result) -> None:
+def verify(file: str, was: dict, seen: store.Seen) -> None:
     """Raises unless the file still begins with what was consumed of it."""
-    if seen.st_size < max(was["at"], was["size"]):
-        raise ValueError(f"{file} shrank from {was['size']} to {seen.st_size} bytes; rebuild the lake from what is there")
-    if seen.st_size == was["size"] and seen.st_mtime_ns != was["time"] and was["at"] >= seen.st_size:
+    if seen.size < max(was["at"], was["size"]):
+        raise ValueError(f"{file} shrank from {was['size']} to {seen.size} bytes; rebuild the lake from what is there")
+    if seen.size == was["size"] and seen.time != was["time"] and was["at"] >= seen.size:
         raise ValueError(f"{file} was rewritten without an append; rebuild the lake from what is there")
-    if seen.st_mtime_ns != was["time"] or seen.st_size != was["size"]:
+    if seen.time != was["time"] or seen.size != was["size"]:
         at = was["at"]
         if (digest(file, 0, min(at, EDGE)), digest(file, max(0, at - EDGE), at)) != (was["head"], was["tail"]):
             raise ValueError(f"{file} was rewritten: the bytes before {at} are others now; rebuild the lake from what is there")
@@ -163,8 +157,8 @@ class _Batch(DataSourceReader):
 
     def partitions(self) -> list[Spans]:
         step, out = int(self.options.get("split", SPLIT)), []
-        for f in matching(self.options):
-            end = last_newline(f, 0, os.path.getsize(f))
+        for f in store.matching(self.options["path"]):
+            end = last_newline(f, 0, store.stat(f).size)
             out += [Span(f, a, min(a + step, end)) for a in range(0, end, step)]
         return packed(out, step)
 
@@ -185,14 +179,14 @@ class _Stream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """Aligned to newlines; no further than the limits beyond the last planned end of each file."""
-        left, files = self.lines, matching(self.options)
+        left, files = self.lines, store.matching(self.options["path"])
         for file in [f for f in files if f > self.turn] + [f for f in files if f <= self.turn]:
-            seen, was = os.stat(file), self.known.get(file)
+            seen, was = store.stat(file), self.known.get(file)
             if was:
                 verify(file, was, seen)
-                if (seen.st_size, seen.st_mtime_ns) == (was["size"], was["time"]) and was["at"] == seen.st_size:
+                if (seen.size, seen.time) == (was["size"], was["time"]) and was["at"] == seen.size:
                     continue
-            size, begin = seen.st_size, was["at"] if was else 0
+            size, begin = seen.size, was["at"] if was else 0
             end = last_newline(file, begin, min(size, begin + self.most) if self.most else size)
             if end == begin and self.most and size > begin:  # a line longer than the limit
                 end = after_lines(file, begin, size, 1)[0]
@@ -212,8 +206,8 @@ class _Stream(DataSourceStreamReader):
             begin = start.get(file, {"at": 0})["at"]
             if self.known.get(file, {"at": 0})["at"] <= stop["at"]:
                 self.known[file] = stop
-            if stop["at"] < begin or os.path.getsize(file) < stop["at"]:
-                raise ValueError(f"{file} was rewritten: {begin} bytes consumed, {os.path.getsize(file)} there")
+            if stop["at"] < begin or store.stat(file).size < stop["at"]:
+                raise ValueError(f"{file} was rewritten: {begin} bytes consumed, {store.stat(file).size} there")
             if stop["at"] > begin:
                 out.append(Span(file, begin, stop["at"]))
         return packed(out, STREAMED)
@@ -248,9 +242,9 @@ class _Snapshots(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         there = {}
-        for f in matching(self.options):
-            seen = os.stat(f)
-            there[f] = {"size": seen.st_size, "time": seen.st_mtime_ns}
+        for f in store.matching(self.options["path"]):
+            seen = store.stat(f)
+            there[f] = {"size": seen.size, "time": seen.time}
         there |= {f: {"gone": True} for f in self.known if f not in there}
         changed = [f for f in sorted(there) if there[f] != self.known.get(f)]
         self.known |= {f: there[f] for f in changed[: self.most]}
@@ -264,7 +258,7 @@ class _Snapshots(DataSourceStreamReader):
     def read(self, partition: Span) -> Iterator[tuple]:
         if partition.file:
             try:
-                with open(partition.file, "rb") as f:
+                with store.opened(partition.file) as f:
                     yield partition.file, f.read().decode("utf-8", "replace")
             except FileNotFoundError:
                 yield partition.file, None

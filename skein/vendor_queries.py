@@ -117,21 +117,23 @@ ORACLE["mask_extra"] = """SELECT doc_id, '{"k":"[masked:assignment:72:'||substr(
 
 
 def hook_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """A segment for each day; those of every third day carry a wrong digest."""
-    e = X.lake_events(spark, sf).filter("runtime = 'hooks'").withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    """Sixteen segments for each day; those of every third day carry a wrong digest."""
+    number = F.split("text", " ")[1].cast("long")
+    e = X.lake_events(spark, sf).filter("runtime = 'hooks'").withColumns({"day": F.date_format("ts", "yyyyMMdd"), "part": number % 16})
     one = obj(ts=F.unix_millis(F.col("ts").cast("timestamp")), id=F.col("tool_name"), decision=F.get_json_object("extra", "$.decision"), reason=F.col("text"), session_id=F.col("session_id"))
-    days = e.groupBy("day").agg(F.array_sort(F.collect_list(F.struct(F.split("text", " ")[1].cast("long").alias("n"), one.alias("event")))).alias("events"))
-    head = F.to_json(obj(kind="segment_open", protocol=G.PROTOCOL, segmentId=F.col("day"), createdAt=F.lit(1704067200000), producerId="p", invocationId="i", source=obj(producer="hooks-rotator")))
+    days = e.groupBy("day", "part").agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), one.alias("event")))).alias("events"))
+    name = F.concat("day", F.lit("-"), F.col("part").cast("string"))
+    head = F.to_json(obj(kind="segment_open", protocol=G.PROTOCOL, segmentId=name, createdAt=F.lit(1704067200000), producerId="p", invocationId="i", source=obj(producer="hooks-rotator")))
     frames = F.transform("events", lambda x, i: F.to_json(obj(kind="event", sequence=i, event=x["event"])))
     payload = F.concat(F.array_join(F.concat(F.array(head), frames), "\n"), F.lit("\n"))
     digest = F.when(F.col("day").cast("int") % 3 == 0, "0").otherwise(F.sha2(payload, 256))
-    foot = F.to_json(obj(kind="segment_close", protocol=G.PROTOCOL, segmentId=F.col("day"), eventCount=F.size("events"), payloadSha256=digest))
-    files = days.select(F.concat(F.lit("/q/segment-"), "day", F.lit(".jsonl")).alias("file"), F.concat(payload, foot, F.lit("\n")).alias("content"))
+    foot = F.to_json(obj(kind="segment_close", protocol=G.PROTOCOL, segmentId=name, eventCount=F.size("events"), payloadSha256=digest))
+    files = days.select(F.concat(F.lit("/q/segment-"), name, F.lit(".jsonl")).alias("file"), F.concat(payload, foot, F.lit("\n")).alias("content"))
     return G.segment_events(G.validated(files)).select("session_id", "ts", "text", "tool_name", F.get_json_object("extra", "$.decision").alias("decision"), F.get_json_object("extra", "$.sequence").cast("long").alias("sequence"))
 
 
 QUERIES["hook_segments"] = hook_segments
-ORACLE["hook_segments"] = "WITH " + X.EVENTS_SQL + " SELECT session_id, strftime(ts,'%Y-%m-%dT%H:%M:%S.%g')||'Z' AS ts, text, tool_name, json_extract_string(extra,'$.decision') AS decision, row_number() OVER (PARTITION BY strftime(ts,'%Y%m%d') ORDER BY CAST(string_split(text,' ')[2] AS BIGINT)) - 1 AS sequence FROM lake_events WHERE runtime='hooks' AND CAST(strftime(ts,'%Y%m%d') AS INT) % 3 <> 0"
+ORACLE["hook_segments"] = "WITH " + X.EVENTS_SQL + " SELECT session_id, strftime(ts,'%Y-%m-%dT%H:%M:%S.%g')||'Z' AS ts, text, tool_name, json_extract_string(extra,'$.decision') AS decision, row_number() OVER (PARTITION BY strftime(ts,'%Y%m%d'), CAST(string_split(text,' ')[2] AS BIGINT) % 16 ORDER BY CAST(string_split(text,' ')[2] AS BIGINT)) - 1 AS sequence FROM lake_events WHERE runtime='hooks' AND CAST(strftime(ts,'%Y%m%d') AS INT) % 3 <> 0"
 
 
 def new_lake(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ from skein.plans import signals, views
 from skein.schema import LakeError
 from skein.sources import discovery, segments
 from skein.sources.sqlite import SqliteSource
-from skein.streaming import live, tail
+from skein.streaming import live, store, tail
 
 ALPHABET = ["A", "K_EY=", "sk-", "é", "😀", " ", "=", "-", "_", "x" * 7, "aB3" * 6, "Zq9+" * 10, "\n", "TOKEN=", "0123456789abcdef"]
 
@@ -203,7 +203,7 @@ def test_rewritten_sources_are_refused(spark, few, tmp_path):
         file.write_text(new)
         os.utime(file, ns=(was["time"] + 10**9, was["time"] + 10**9))
         with pytest.raises(ValueError, match="rewritten|shrank"):
-            tail.verify(str(file), was, os.stat(file))
+            tail.verify(str(file), was, store.stat(str(file)))
         with pytest.raises(Exception, match="rewritten|shrank"):
             follow(spark, "codex", file, out)
     file.write_text(text + json.dumps(list(codex_lines(1))[2]) + "\n")
@@ -353,6 +353,36 @@ def test_tail_lines(tmp_path):
     assert [tail.after_lines(str(file), 0, 15, n) for n in (1, 2, 3, 4)] == [(5, 1), (6, 2), (11, 3), (11, 3)]
 
 
+def test_store_of_uris(spark, tmp_path):
+    """Globs, reads and streams of URIs give what plain paths give."""
+    mock, *_ = store.resolved("mock:/a")
+    for name in ("a/b/x.jsonl", "a/b/c/y.jsonl", "a/z.json"):
+        mock.create_dir(name.rpartition("/")[0], recursive=True)
+        with mock.open_output_stream(name) as f:
+            f.write(b"one\ntwo")
+    found = lambda g: sorted(x.path for x in store.listed(mock, g))
+    assert found("a/*/*.jsonl") == ["a/b/x.jsonl"] and found("a/**/*.json*") == ["a/b/c/y.jsonl", "a/b/x.jsonl", "a/z.json"] and found("a/z.json") == ["a/z.json"] and found("no/*") == []
+    with mock.open_input_file("a/b/x.jsonl") as f:
+        assert list(store.lines(f, 0)) == [(0, b"one\n"), (4, b"two")]
+    src, out, again = tmp_path / "s p", str(tmp_path / "lake"), str(tmp_path / "again")
+    src.mkdir()
+    write(src / "rollout-a.jsonl", codex_lines(3))
+    write(src / "rollout-b.jsonl", codex_lines(2, "i2"))
+    path = f"file://{str(tmp_path)}/s*/rollout-*.jsonl"
+    assert [store.stat(f) for f in store.matching(path)] == [store.stat(f) for f in store.matching(f"{tmp_path}/s*/*.jsonl")]
+    follow(spark, "codex", path, out)
+    lake.rebuild(spark, {"codex": path}, again, "m", split=150)
+    assert plain(lake.read_events(spark, out)) == plain(lake.read_events(spark, again)) and lake.read_events(spark, out).count() == 12
+
+
+def test_long_lines_in_chunks(tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CHUNK", 3)
+    file = tmp_path / "f"
+    file.write_bytes(b"a\n" + b"b" * 20 + b"\n\ncc\nopen")
+    with store.opened(str(file)) as f:
+        assert [(at, len(x)) for at, x in store.lines(f, 0)] == [(0, 2), (2, 21), (23, 1), (24, 3), (27, 4)]
+
+
 def test_labels(spark, tmp_path):
     now = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
     for i, (value, source) in enumerate([(" good ", "manual"), ("bad", "model:x/y")]):
