@@ -117,9 +117,9 @@ ORACLE["mask_extra"] = """SELECT doc_id, '{"k":"[masked:assignment:72:'||substr(
 
 
 def hook_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Sixteen segments for each day; those of every third day carry a wrong digest."""
+    """Four segments for each day; those of every third day carry a wrong digest."""
     number = F.split("text", " ")[1].cast("long")
-    e = X.lake_events(spark, sf).filter("runtime = 'hooks'").withColumns({"day": F.date_format("ts", "yyyyMMdd"), "part": number % 16})
+    e = X.lake_events(spark, sf).filter("runtime = 'hooks'").withColumns({"day": F.date_format("ts", "yyyyMMdd"), "part": number % 4})
     one = obj(ts=F.unix_millis(F.col("ts").cast("timestamp")), id=F.col("tool_name"), decision=F.get_json_object("extra", "$.decision"), reason=F.col("text"), session_id=F.col("session_id"))
     days = e.groupBy("day", "part").agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), one.alias("event")))).alias("events"))
     name = F.concat("day", F.lit("-"), F.col("part").cast("string"))
@@ -133,7 +133,7 @@ def hook_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["hook_segments"] = hook_segments
-ORACLE["hook_segments"] = "WITH " + X.EVENTS_SQL + " SELECT session_id, strftime(ts,'%Y-%m-%dT%H:%M:%S.%g')||'Z' AS ts, text, tool_name, json_extract_string(extra,'$.decision') AS decision, row_number() OVER (PARTITION BY strftime(ts,'%Y%m%d'), CAST(string_split(text,' ')[2] AS BIGINT) % 16 ORDER BY CAST(string_split(text,' ')[2] AS BIGINT)) - 1 AS sequence FROM lake_events WHERE runtime='hooks' AND CAST(strftime(ts,'%Y%m%d') AS INT) % 3 <> 0"
+ORACLE["hook_segments"] = "WITH " + X.EVENTS_SQL + " SELECT session_id, strftime(ts,'%Y-%m-%dT%H:%M:%S.%g')||'Z' AS ts, text, tool_name, json_extract_string(extra,'$.decision') AS decision, row_number() OVER (PARTITION BY strftime(ts,'%Y%m%d'), CAST(string_split(text,' ')[2] AS BIGINT) % 4 ORDER BY CAST(string_split(text,' ')[2] AS BIGINT)) - 1 AS sequence FROM lake_events WHERE runtime='hooks' AND CAST(strftime(ts,'%Y%m%d') AS INT) % 3 <> 0"
 
 
 def new_lake(spark: SparkSession) -> str:
