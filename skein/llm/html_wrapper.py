@@ -10,7 +10,9 @@ the wrapper's article slots.
 Which slots these are: a slot is a template's if its texts are the same ones on many pages, and links if most of it is
 linked; the text that is left has its mass in one part of the wrapper, found by going down from the root while one
 single container holds most of it. Names of elements, classes and roles count as evidence beside that, not against it:
-where slots of furniture by name, or repeated ones, hold most of a host's text, that evidence is dropped.
+where slots of furniture by name, or repeated ones, hold most of a host's text, that evidence is dropped. A class names
+furniture if it is made of such words alone. Inside that part, linked texts that are there once are the
+article's, and a heading that recurs goes with what it heads.
 
 Scale: a task emits one row for each different stream of a host, with its slots' sums. Rows of a host are aligned in
 groups of about `FAN`, the results again, until a host's are few; so a hot host is split and never in one task as a
@@ -20,7 +22,8 @@ below its threshold, and can split the join of a hot host otherwise.
 Defined results: a null page is an empty one (text ''); a null or odd url gives the host ''; elements nested deeper
 than `DEEP` bound blocks but are no tokens, so their text is their ancestor's; a part of a page that its wrapper does
 not match is text where the wrapper's parts around it are; a page of which its wrapper reads nothing is read by the one
-that it makes alone; repeated pages give repeated rows and count once as evidence.
+that it makes alone; repeated pages give repeated rows and count once as evidence; an `a` without href is no link, and a link ends with its
+block at the latest. Two lists of siblings are aligned with a bit for each pair, after their equal ends.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>",
     re.S | re.I,
 )
+HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # HTML's elements by kind.
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary dialog center head hr menu search hgroup".split())
@@ -50,8 +54,9 @@ BOXES = frozenset("html body article main section div td center dd table tbody t
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-# Words that name page furniture in class, id and role attributes.
-FURNITURE = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|adslot|banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|notification|alert|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|complementary|footer|contentinfo|masthead|header|comments?|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|search|skip|hidden)(?:$|[-_\s\d])", re.I)
+# Words that name page furniture in class, id and role attributes, and words that go with them.
+FURNITURE = frozenset("ad ads advert adverts advertisement adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notification alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo masthead header comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe signup login popup modal overlay widget pagination pager search skip hidden".split())
+BESIDE = frozenset("site page main top bottom left right global primary secondary print list item items box bar wrap wrapper container area block inner outer content link links button buttons icon icons media tools posts articles stories slot label form section body text".split()) - {"section", "body", "text"}
 
 DEEP = 48  # levels of elements that are tokens
 FAN = 64  # streams of a host that are aligned in one group
@@ -63,6 +68,15 @@ MOST = 0.6  # of the mass that the container of the text holds
 # group. A slot is [texts, characters, of them in links, of them in furniture by name, lowest hashes, blocks of the page].
 
 
+def furniture(name: str) -> bool:
+    """Whether one of the names in an attribute is made of furniture's words: site-header is, section-header is not."""
+    for x in name.lower().split():
+        parts = [w for w in re.split(r"[^a-z]+", x) if w]
+        if any(w in FURNITURE for w in parts) and all(w in FURNITURE or w in BESIDE or len(w) < 3 for w in parts):
+            return True
+    return False
+
+
 def parse(page: str) -> tuple[list[str], list]:
     """The page's text blocks, and its token stream as a folded tree whose slots name the blocks."""
     root: list = []
@@ -97,7 +111,9 @@ def parse(page: str) -> tuple[list[str], list]:
             continue
         tag = tag.lower()
         if tag == "a":
-            in_link = 0 if m["close"] else 1
+            in_link = int(not m["close"] and HREF.search(m["attrs"] or "") is not None)
+        elif tag in BLOCKS:
+            in_link = 0  # a link ends with its block, or one that is left open would hold the rest of the page
         if m["close"]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if depth:
@@ -110,7 +126,7 @@ def parse(page: str) -> tuple[list[str], list]:
             flush()
             continue
         names = [x.lower() if k.lower() != "itemprop" else x for k, *xs in NAMES.findall(m["attrs"]) if (x := "".join(xs).strip())] if m["attrs"] else []
-        named = tag in BOILER or tag not in HEADINGS and tag != "p" and any(FURNITURE.search(x) for x in names) or "hidden" in m["attrs"].split()
+        named = tag in BOILER or tag not in HEADINGS and tag != "p" and any(map(furniture, names)) or "hidden" in m["attrs"].split()
         if tag in VOID or tag not in BLOCKS and not named:
             continue
         flush()
@@ -191,22 +207,37 @@ def matched(xs: list, ys: list) -> list[tuple]:
     a, b = [name(x) for x in xs], [name(y) for y in ys]
     if a == b:
         return list(zip(xs, ys, strict=True))
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append((xs[i], ys[j]))
+    head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    most = min(len(a), len(b)) - head
+    tail = next((k for k in range(most) if a[-1 - k] != b[-1 - k]), most)
+    n, m = len(a) - head - tail, len(b) - head - tail
+    # one bit for each place of b, from its end: 0 where the subsequence of what follows in a grows there by one
+    where: dict[str, int] = {}
+    for k in range(m):
+        where[b[head + m - 1 - k]] = where.get(b[head + m - 1 - k], 0) | 1 << k
+    full = (1 << m) - 1
+    rows = [full]
+    for i in range(n - 1, -1, -1):
+        same = rows[-1] & where.get(a[head + i], 0)
+        rows.append((rows[-1] + same | rows[-1] - same) & full)
+    rows.reverse()
+
+    def best(i: int, j: int) -> int:
+        return m - j - (rows[i] & (1 << m - j) - 1).bit_count()
+
+    out, i, j = list(zip(xs[:head], ys[:head], strict=True)), 0, 0
+    while i < n or j < m:
+        x, y = head + i, head + j
+        if i < n and j < m and a[x] == b[y]:
+            out.append((xs[x], ys[y]))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append((xs[i], None))
+        elif j == m or i < n and best(i + 1, j) >= best(i, j + 1):
+            out.append((xs[x], None))
             i += 1
         else:
-            out.append((None, ys[j]))
+            out.append((None, ys[y]))
             j += 1
-    return out
+    return out + list(zip(xs[head + n :], ys[head + m :], strict=True))
 
 
 def align(xs: list, ys: list) -> list:
@@ -259,8 +290,20 @@ def decide(nodes: list, pages: list[int]) -> list:
             break
         at = best
 
-    def marked(xs: list, inside: bool) -> list:
-        return [[*x[:3], marked(x[3], inside or x is at), bool(inside and value(x[4], evidence)) if x[4] else None] for x in xs]
+    def own(slot: list) -> bool:
+        """Whether a slot in the container is the article's: linked text is, where most of it is there only once."""
+        texts, chars, _, named, hashes, _ = slot
+        once = count >= FEW and 2 * different(hashes) >= texts and not (evidence[0] and named)
+        return bool(value(slot, evidence) or once and chars)
+
+    def marked(xs: list, inside: bool, group: bool = False) -> list:
+        out = [[*x[:3], marked(x[3], inside or x is at, x[0] == "()"), inside and own(x[4]) if x[4] else None] for x in xs]
+        heads = [re.sub(r"\[.*", "", x[0]) in HEADINGS for x in xs]
+        for k in range(len(xs)) if inside else ():  # a heading that recurs goes with what follows it, in a group in turn
+            headed = [y for y, is_head in zip(out, heads) if not is_head] if group else out[k + 1 : k + 2]
+            if heads[k] and any(map(has_article, headed)):
+                out[k][3] = [[*x[:4], not (evidence[0] and x[4][3])] if x[4] else y for x, y in zip(xs[k][3], out[k][3], strict=True)]
+        return out
 
     return marked(nodes, at is root)
 
@@ -352,8 +395,10 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         return pa.table({"host": rows.column("host")[:1], "stream": pa.array([dump(aligned([tuple(json.loads(x)) for x in rows.column("stream").to_pylist()]))])})
 
     parts = written(map_rows(src, "host string, stream string", make), "streams")
+    rounds = 0
     while (most := parts.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]) > FAN:
-        salt = F.pmod(F.xxhash64("stream", F.rand(1)), F.lit(-(-most // FAN)))
+        rounds += 1  # dealt anew in each round, alike however the rows came
+        salt = F.pmod(F.xxhash64("stream", F.lit(rounds)), F.lit(-(-most // FAN)))
         parts = written(parts.groupBy("host", salt.alias("salt")).applyInArrow(together, "host string, stream string"), "streams")
     hosts = parts.groupBy("host").applyInArrow(together, "host string, stream string")
 

@@ -107,3 +107,66 @@ def test_names_in_an_article_do_not_hide_text():
     assert W.main_text(page, W.decide(W.parse(page)[1], [1])) == "Share prices\nThey rose."
     form = "<body><form><div><p>All of this page is in a form, as some systems have it.</p></div></form></body>"
     assert W.main_text(form, W.decide(W.parse(form)[1], [1])) == "All of this page is in a form, as some systems have it."
+
+
+def story(i, inside):
+    return f"<body><div class=site-header>The Daily</div><ul><li><a href=/1>one</a><li><a href=/2>two</a></ul><div class=story><h1>Story {i}</h1><p>Paragraph of story {i} goes on for a while, about {i * 7919 % 1000} things.</p>{inside}</div><div>Some rights kept</div></body>"
+
+
+def told(i, *more):
+    return "\n".join([f"Story {i}", f"Paragraph of story {i} goes on for a while, about {i * 7919 % 1000} things.", *more])
+
+
+def extracted(spark, pages):
+    return {r.page_id: r.text for r in W.extract(rows(spark, [(i, f"http://daily.example/{i}", p) for i, p in enumerate(pages)])).collect()}
+
+
+def test_links_left_open_and_without_href(spark):
+    pages = [story(i, "").replace("<h1>", "<a name=top><h1>") for i in range(12)]
+    assert extracted(spark, pages) == {i: told(i) for i in range(12)}
+    pages = [story(i, "").replace("<h1>", "<h1><a href=x>") for i in range(12)]
+    assert extracted(spark, pages) == {i: told(i) for i in range(12)}
+
+
+def test_recurring_headings_in_an_article(spark):
+    inside = lambda i: f"<h2>Summary</h2><p>In short, {i} it was.</p><h2>Further notes</h2><p>Of {i}, no more.</p><h3>More from us</h3><ul><li><a href=/a>this</a></ul>"
+    got = extracted(spark, [story(i, inside(i)) for i in range(60)])
+    assert got == {i: told(i, "Summary", f"In short, {i} it was.", "Further notes", f"Of {i}, no more.") for i in range(60)}
+
+
+def test_names_inside_an_article(spark):
+    inside = lambda i: f"<div class=section-header><p>Section of {i}, with words.</p></div><div class=social-science><p>Society and {i}.</p></div><div class='comments-area'><p>reader {i} says no</p></div>"
+    got = extracted(spark, [story(i, inside(i)) for i in range(60)])
+    assert got == {i: told(i, f"Section of {i}, with words.", f"Society and {i}.") for i in range(60)}
+    for name, yes in (("site-header", True), ("section-header", False), ("social-science", False), ("share_buttons", True), ("share-prices", False), ("post comment-list", True), ("c-nav", True), ("main-content", False), ("", False)):
+        assert W.furniture(name) is yes, name
+
+
+def test_linked_lists_of_an_article(spark):
+    inside = lambda i: "<ul>" + "".join(f"<li><a href=/{i}/{k}>Reference {k} of {i}, a book</a>" for k in range(5)) + "</ul>"
+    got = extracted(spark, [story(i, inside(i)) for i in range(30)])
+    assert got == {i: told(i, *(f"Reference {k} of {i}, a book" for k in range(5))) for i in range(30)}
+
+
+def test_alignment_equals_the_plain_one_and_takes_many_siblings():
+    import random
+    import time
+
+    def plain(xs, ys):
+        a, b = xs, ys
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    random.seed(1)
+    node = lambda x: [x, 0, 0, [], None]
+    for _ in range(300):
+        xs, ys = ([random.choice("abcd") for _ in range(random.randint(0, 9))] for _ in range(2))
+        pairs = W.matched(list(map(node, xs)), list(map(node, ys)))
+        assert [x[0] for x, _ in pairs if x] == xs and [y[0] for _, y in pairs if y] == ys
+        assert all(x[0] == y[0] for x, y in pairs if x and y) and sum(1 for x, y in pairs if x and y) == plain(xs, ys)
+    xs, ys = ([node(random.choice("abcdefgh")) for _ in range(20000)] for _ in range(2))
+    began = time.process_time()
+    assert len(W.matched(xs, ys)) < 40000 and time.process_time() - began < 5
