@@ -139,7 +139,7 @@ def test_stream_equals_rebuild(spark, few, tmp_path):
     src.mkdir()
     text = "".join(json.dumps(r) + "\n" for r in codex_lines(6))
     random.seed(2)
-    cuts = sorted(random.sample(range(len(text)), 3))
+    cuts = sorted(random.sample(range(len(text)), 2))
     for a, b in zip([0, *cuts], [*cuts, len(text)]):
         with open(src / "rollout-a.jsonl", "a", encoding="utf-8") as f:
             f.write(text[a:b])
@@ -216,7 +216,7 @@ def test_ranges_of_long_files_carry_registers(spark, few, tmp_path, runtime):
     """A file read in many ranges gives the rows of one read whole."""
     rows = {"claude": claude_lines, "codex": lambda: codex_lines(40), "omp": lambda: omp_lines(90), "droid": lambda: droid_lines(90), "kimi": kimi_calls}[runtime]
     spark.dataSource.register(tail.TailSource)
-    for variant in range(4):
+    for variant in range(3):
         records = list(rows())
         if variant:
             random.seed(variant)
@@ -280,7 +280,7 @@ def test_stream_equals_rebuild_for_runtimes(spark, few, tmp_path, runtime):
     out, again = str(tmp_path / "live"), str(tmp_path / "again")
     text = "".join(json.dumps(r) + "\n" for r in rows)
     random.seed(runtime)
-    cuts = [text.index("\n") + 1, *sorted(random.sample(range(text.index("\n") + 2, len(text)), 2))]
+    cuts = [text.index("\n") + 1, random.randrange(text.index("\n") + 2, len(text))]
     for a, b in zip([0, *cuts], [*cuts, len(text)]):
         with open(file, "a", encoding="utf-8") as f:
             f.write(text[a:b])
