@@ -185,3 +185,15 @@ def test_hooks_legacy(spark):
     got, ts = run(spark, A.hooks_legacy, records, "/h/telemetry.jsonl")
     assert [(r[0], *r[2:7], r[10]) for r in got] == [(0, "s", "/z", "hook_decision", "r", "h", {"event": "e", "decision": "block", "ms": 3, "infra": False}), (3, "5", None, "hook_decision", "", None, {})]
     assert ts == ["2024-01-01T00:00:00.000Z", T]
+
+
+def test_generated_code_compiles(spark):
+    """No adapter's expressions outgrow a compiled method: without the fallback, a failure to compile is an error."""
+    from skein import vendor_queries
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("claude", "codex", "kimi", "hooks_legacy"):
+            vendor_queries.QUERIES[f"adapter_{name}"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
