@@ -43,8 +43,9 @@ def canonical(raw: DataFrame, runtime: str, machine: str, aliased: bool = True,
 
 
 def append(events: DataFrame, path: str) -> None:
-    """To runtime= and date= partitions of NDJSON."""
-    events.write.mode("append").partitionBy("runtime", "date").json(f"{path}/events")
+    """To runtime= and date= partitions of NDJSON, beside the batches of streams: all of a lake's files are as deep, or Spark could
+    not tell its partitions."""
+    events.withColumn("batch", F.lit("appended")).write.mode("append").partitionBy("runtime", "date", "batch").json(f"{path}/events")
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -538,6 +538,22 @@ def test_publish_segments(spark, tmp_path):
         live.publish_segments(spark, str(tmp_path / "q"), out, "m")
 
 
+def test_one_lake_of_all_writers(spark, few, tmp_path):
+    """Batch ingest, a stream and published segments in one lake, read and compacted together."""
+    out = str(tmp_path / "lake")
+    for name, text in (("a", list(codex_lines(2))), ("b", list(codex_lines(3, "i2")))):
+        write(tmp_path / f"rollout-{name}.jsonl", text)
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "segment-s1.jsonl").write_text(segment())
+    lake.ingest(spark, {"codex": f"{tmp_path}/rollout-a.jsonl"}, out, "m")
+    follow(spark, "codex", tmp_path / "rollout-b.jsonl", out)
+    assert live.publish_segments(spark, str(tmp_path / "q"), out, "m") == 1
+    rows = lake.read_events(spark, out)
+    assert rows.count() == 5 + 7 + 2 and {r.session_id for r in rows.collect()} == {"i1", "i2", "s"}
+    compaction.compact(spark, out)
+    assert plain(compaction.read_mirror(spark, out)) == plain(rows)
+
+
 def test_discovery_and_status(spark, tmp_path):
     home, out = tmp_path / "home", str(tmp_path / "lake")
     day = home / ".codex/sessions/2024/01/02"
