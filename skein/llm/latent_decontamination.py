@@ -2,15 +2,15 @@
 
 Benchmark items are cut into passages of `PASSAGE` words at most, weighted by TF-IDF (document frequencies over all
 documents), and reduced by a randomised singular value decomposition, of rank `RANK` or half the number of passages at
-most, whose products with the matrix run as Spark jobs; `SAMPLE` passages of documents are rows of the matrix too, so
-that words which occur together there are near. Stretches of documents, half as long again as the passage, are projected into the
+most, whose products with the matrix run as Spark jobs: first of the benchmark's passages, then, from that space on, of all
+passages of all documents too, so that words which occur together there are near. Stretches of documents, half as long again as the passage, are projected into the
 same latent space; those whose cosine with the passage reaches a share of the passage's own are candidates. The
 candidates are looked for where an inverted index has two of the passage's rarest quarter of words and two more, which
 whatever counts below must hold, so this loses none. A candidate counts if the longest common subsequence of words covers most of the item's passage, or half of it while
 the passage's rarest words, which carry its answer, are there too (a paraphrase).
 
-Scale: one pass over the documents for frequencies, in a fixed number of cells, for all of the benchmark; a scan for the
-sample; and one pass for each block of `BLOCK` items and `LETTERS` characters, whose vocabulary and matrices have a bounded
+Scale: one pass over the documents for frequencies, in a fixed number of cells, for all of the benchmark; and two passes
+(the product, the search) for each block of `BLOCK` items and `LETTERS` characters, whose vocabulary and matrices have a bounded
 size (about 80 MB). Nothing of the documents is shuffled but counts.
 
 Defined results: null texts match nothing, nor do items under `LEAST` words; words are compared without case and
@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 import string
-from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import map_rows, text_of
 
 PASSAGE, LEAST = 64, 8
 RANK, POWER = 96, 1
-SAMPLE = 4096  # texts a passage of which shapes the latent space
+TOGETHER = 1 << 11  # words of rows that are multiplied at once
 BLOCK, LETTERS = 4096, 1_200_000
 COSINE = 0.4  # of the passage's cosine with itself in the latent space
 CELLS, SLICE, CACHE = 1 << 20, 1 << 17, 300_000  # cells that words' frequencies are counted in; of them a group adds up; words that a task remembers
@@ -92,33 +93,60 @@ def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     return out.ravel(), got[0].n if got else 0
 
 
-def sampled(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], n: int) -> list[np.ndarray]:
-    """A passage of each of about SAMPLE of n texts, by their hash, as numbers of the vocabulary: where its words occur
-    together shapes the latent space (the documented bound on what it is fitted on)."""
-    texts = docs.select(text_of(text_col).alias("t")).select("t", F.xxhash64("t").alias("h")).filter(F.pmod("h", F.lit(n // SAMPLE + 1)) == 0)
-    words = F.split("t", " ")
-    some = texts.select("h", F.array_join(F.slice(words, (F.pmod("h", F.greatest(F.size(words) - PASSAGE, F.lit(1))) + 1).cast("int"), PASSAGE), " ").alias("p")).distinct()
-    found = [numbers(r.p, vocabulary) for r in some.orderBy("h", "p").limit(2 * SAMPLE).collect()]
-    return [x[x >= 0] for x in found if (x >= 0).sum() >= LEAST]
+Flat = tuple[np.ndarray, np.ndarray, np.ndarray]  # of some rows: ids, weights, numbers of the rows they are of
 
 
-def randomised_svd(rows: DataFrame, features: int, rank: int, power: int = POWER, seed: int = 1) -> np.ndarray:
-    """An orthonormal basis (features x rank) of the leading right singular space of the sparse rows (ids, weights).
+def listed(batch: pa.RecordBatch) -> Iterator[Flat]:
+    """Rows that are lists of ids and of weights."""
+    n = batch.column(0).value_lengths().to_numpy()
+    yield batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+
+
+def passages_of(vocabulary: dict[bytes, int], idf: np.ndarray, batch: pa.RecordBatch) -> Iterator[Flat]:
+    """Rows of texts: a row for each passage with LEAST words of the vocabulary, weighted by TF-IDF."""
+    for text in batch.column(0).to_pylist():
+        ids = numbers(text, vocabulary)
+        row = np.arange(len(ids)) // PASSAGE
+        ids, row = ids[ids >= 0], row[ids >= 0]
+        enough = np.bincount(row)[row] >= LEAST if len(row) else np.zeros(0, bool)
+        yield ids[enough], idf[ids[enough]], row[enough]
+
+
+def together(parts: Iterator[Flat]) -> Iterator[Flat]:
+    """Rows by about TOGETHER words: many short texts at once, a long one in parts of whole rows."""
+    held, size, before = [], 0, 0
+    for ids, weights, row in parts:
+        begin = 0
+        while begin < len(ids):
+            end = int(np.searchsorted(row, row[min(len(row), begin + TOGETHER) - 1], "right"))
+            held.append((ids[begin:end], weights[begin:end], row[begin:end] - row[begin] + before))
+            before, size, begin = held[-1][2][-1] + 1, size + end - begin, end
+            if size >= TOGETHER:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size, before = [], 0, 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def randomised_svd(rows: DataFrame, features: int, rank: int, power: int = POWER, seed: int = 1, read: Callable[[pa.RecordBatch], Iterator[Flat]] = listed, start: np.ndarray | None = None) -> np.ndarray:
+    """An orthonormal basis (features x rank) of the leading right singular space of the sparse rows that `read` finds in
+    batches of `rows` (by itself, lists of ids and weights); start: a basis to begin with instead of a random one.
 
     Each product A'(A V) is a Spark job: tasks sum over their rows, the sums of a slice of features meet in a group.
     """
-    slices = max(1, features // 4096)
-    basis = np.random.default_rng(seed).standard_normal((features, rank)).astype(np.float32)
+    slices = max(1, features // 256)  # a group adds up a slice of every task
+    basis = np.random.default_rng(seed).standard_normal((features, rank)).astype(np.float32) if start is None else start
     for _ in range(power + 1):
-        shared = rows.sparkSession.sparkContext.broadcast(np.linalg.qr(basis)[0].astype(np.float32))
+        shared = rows.sparkSession.sparkContext.broadcast((np.linalg.qr(basis)[0].astype(np.float32), read))
 
         def run(batches, shared=shared):
-            v = shared.value
+            v, read = shared.value
             total = np.zeros(v.shape, np.float32)
-            for batch in batches:
-                for ids, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    w = np.array(weights, np.float32)
-                    total[ids] += np.outer(w, w @ v[ids])
+            for ids, weights, row in together(x for batch in batches for x in read(batch)):
+                at, column = np.unique(ids, return_inverse=True)
+                shape = int(row[-1]) + 1, len(at)
+                m = np.bincount(row * len(at) + column, weights, shape[0] * shape[1]).reshape(shape).astype(np.float32)
+                total[at] += m.T @ (m @ v[at])
             parts = np.array_split(total, slices)
             yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "sums"])
 
@@ -127,7 +155,7 @@ def randomised_svd(rows: DataFrame, features: int, rank: int, power: int = POWER
             return pa.table({"slice": t.column("slice")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
         schema = "slice int, sums binary"
-        got = rows.select("ids", "weights").mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema).collect()  # features x rank numbers
+        got = rows.mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema).collect()  # features x rank numbers
         basis = np.concatenate([np.frombuffer(r.sums, np.float32) for r in sorted(got, key=lambda r: r.slice)]).reshape(features, rank) if got else basis
     return np.linalg.qr(basis)[0].astype(np.float32)
 
@@ -233,12 +261,11 @@ def build(docs: DataFrame, items: list, text_col: str, df: np.ndarray, n: int) -
     if not passages:
         return None
     idf = np.maximum(np.log((1 + n) / (1 + df[[place(w) for w in vocabulary]])), 0.05).astype(np.float32)
-    rows = []
-    for ids in [ids for _, ids in passages] + sampled(docs, text_col, vocabulary, n):
-        count = Counter(ids.tolist())
-        rows.append((list(count), [c * float(idf[i]) for i, c in count.items()]))
     spark = docs.sparkSession
-    basis = randomised_svd(spark.createDataFrame(rows, "ids array<int>, weights array<double>"), len(vocabulary), max(1, min(RANK, len(passages) // 2, len(vocabulary) // 2)))
+    rank, read = max(1, min(RANK, len(passages) // 2, len(vocabulary) // 2)), partial(passages_of, vocabulary, idf)
+    own = spark.createDataFrame([(t or "",) for _, t in items], "t string")
+    basis = randomised_svd(own, len(vocabulary), rank, read=read)
+    basis = randomised_svd(docs.select(text_of(text_col).alias("t")).union(own), len(vocabulary), rank, power=0, read=read, start=basis)
     return Index(items, passages, vocabulary, idf, basis)
 
 

@@ -122,3 +122,32 @@ def test_many_changed_words_equal_brute_force(spark):
                     want.add((i, item))
     print(len(want), len(got), len(got & want))
     assert len(want) > 120 and len(got & want) >= 0.95 * len(want) and not got - want
+
+
+def test_all_passages_shape_the_space(spark, monkeypatch):
+    """The basis is that of the passages of all documents and items, however they are dealt and batched."""
+    random.seed(21)
+    vocabulary = ["".join(random.choices("abcdefghijklmnop", k=5)) for _ in range(60)]
+    rows = [(i, " ".join(random.choices(vocabulary[: 10 + i % 50], k=random.choice([0, 5, 70, 300])))) for i in range(200)]
+    items = [(k, " ".join(random.choices(vocabulary, k=40))) for k in range(20)]
+    df = docs(spark, rows)
+    frequencies = L.frequencies(df, "text")
+    index = L.build(df.repartition(7), items, "text", *frequencies)
+    matrix = []
+    for _, text in rows + items:
+        ids = L.numbers(text, index.vocabulary)
+        for a in range(0, len(ids), L.PASSAGE):
+            known = [x for x in ids[a : a + L.PASSAGE] if x >= 0]
+            if len(known) >= L.LEAST:
+                matrix.append(np.bincount(known, minlength=len(index.vocabulary)) * index.idf)
+    a = np.array(matrix)
+    start = np.linalg.qr(np.random.default_rng(1).standard_normal((a.shape[1], index.basis.shape[1])).astype(np.float32))[0]
+    own = a[-len(items) :]  # an item is one passage here
+    for _ in range(L.POWER + 1):
+        start = np.linalg.qr(own.T @ (own @ start))[0]
+    want = np.linalg.qr(a.T @ (a @ start))[0]
+    got = index.basis / index.idf[:, None]
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-3)
+    monkeypatch.setattr(L, "TOGETHER", 100)
+    again = L.build(df, items, "text", *frequencies).basis / index.idf[:, None]
+    assert np.allclose(got @ got.T, again @ again.T, atol=1e-3)
