@@ -1,11 +1,16 @@
 """Secret scans by grammar inference.
 
 Labelled credentials (what the three base patterns match, labelled by kind) are read as strings of character classes.
-For each kind a prefix tree of a bounded sample (`SAMPLE` values of the lowest hash, the documented bound) is folded
-into a probabilistic automaton by merging states whose outgoing frequencies are statistically compatible (Hoeffding
-bound, red and blue states). Every candidate run in every text is then scored by its log-likelihood a character under
+For each kind the prefix tree of all of them, counted by Spark, is folded into a probabilistic automaton by merging states
+whose outgoing frequencies are statistically compatible (Hoeffding bound, red and blue states). A prefix that fewer than
+one in `SHARE` of a kind's credentials have is no state: as the bound accepts almost anything there, what follows it is
+counted from the start state on. Frequencies and thresholds are then those of all labelled credentials, walked through
+the automaton. Every candidate run in every text is then scored by its log-likelihood a character under
 the automata; a run as likely as the labelled ones is a span of kind `format`, unless it overlaps a base span.
 
+Scale: different credentials are shuffled once, their prefixes as hashes with map-side combine; the driver gets at most
+`SHARE` prefixes of each length, the frequencies of an automaton's states, and a histogram of scores.
+
 Defined results: a null text counts as empty; repeated rows give repeated results; with no labelled credential there
 is no automaton and only base spans are reported.
 """
@@ -16,15 +21,19 @@ import hashlib
 import math
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import map_rows, text_of, written
 
 KINDS = ("assign", "access", "hex")
-SAMPLE = 400  # labelled credentials of a kind that an automaton learns from
+SHARE = 400  # a prefix is a state if one in so many labelled credentials of its kind has it
+STEPS = 10_000  # of a score: thresholds are rounded down to one of them
+HELD = 1 << 18  # prefixes that a task adds up at once
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -52,25 +61,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Automaton:
     """A probabilistic automaton over character classes, merged from the prefix tree of labelled strings."""
 
-    def __init__(self, words: list[str], alpha: float = 0.05):
-        self.next: list[dict[str, int]] = [{}]
-        self.count: list[dict[str, int]] = [defaultdict(int)]
-        for word in words:
-            at = 0
-            for c in word:
-                self.count[at][c] += 1
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({})
-                    self.count.append(defaultdict(int))
-                at = self.next[at][c]
-            self.count[at][END] += 1
+    def __init__(self, tree: list[tuple[int, str, int, int]], alpha: float = 0.05):
+        """tree: (prefix, next symbol, prefix with it, how many strings), of the prefixes that are states; 0: the empty one."""
+        place = {0: 0}
+        for prefix, *_ in tree:
+            place.setdefault(prefix, len(place))
+        self.next: list[dict[str, int]] = [{} for _ in place]
+        self.count: list[dict[str, int]] = [defaultdict(int) for _ in place]
+        for prefix, c, longer, n in tree:
+            self.count[place[prefix]][c] += n
+            if c != END and longer in place:
+                self.next[place[prefix]][c] = place[longer]
         self.width = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
+
+    def learned(self, counts: list[tuple[int, str, int]]) -> Automaton:
+        """Takes (state, symbol, how often) of all strings that it learns from."""
+        self.count = [defaultdict(int) for _ in self.next]
+        for s, c, n in counts:
+            self.count[s][c] += n
         self.logs = {}
         for s in self._reached():
             total = sum(self.count[s].values()) + len(CLASSES) + 1
             self.logs[s] = ({c: math.log((n + 1) / total / CLASSES.get(c, 1)) for c, n in self.count[s].items()}, math.log(1 / total / 20))
+        return self
+
+    def walk(self, word: str) -> list[tuple[int, str]]:
+        """The states that a word passes, each with the symbol that follows."""
+        at, out = 0, []
+        for c in word:
+            out.append((at, c))
+            at = self.next[at].get(c, 0)
+        return [*out, (at, END)]
 
     def _reached(self) -> list[int]:
         seen, todo = {0}, [0]
@@ -137,8 +159,8 @@ class Automaton:
         return (total + known.get(END, rest)) / (len(word) + 1)
 
 
-def learn(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict[str, tuple[Automaton, float]]:
-    """An automaton for each kind and the score that 95 in 100 of its labelled credentials reach."""
+def labelled(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, shape, n): the character classes of what the base patterns matched, and of how many different values."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
@@ -150,21 +172,72 @@ def learn(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict[s
 
         return f
 
-    # dropDuplicates and the ranks run on what the patterns matched, not on the texts; of each kind's buckets `sample` are left, then of the kind
     found = map_rows(df.select(text_of(text_col).alias("t")), "kind string, value string", make).dropDuplicates()
-    order = (F.xxhash64("value"), F.col("value"))
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("value", F.lit(1)), F.lit(64)))
-    some = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "bucket").orderBy(*order))).filter(F.col("rank") <= sample)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("rank") <= sample)
-    words = defaultdict(list)
-    for row in ranked.select("kind", "value").collect():  # at most 3 x sample rows
-        words[row.kind].append(row.value.translate(TRANSLATE))
-    out = {}
-    for kind, values in words.items():
-        model = Automaton(sorted(values))
-        scores = sorted(model.score(x) for x in values)
-        out[kind] = (model, scores[len(scores) // 20])
-    return out
+    return found.groupBy("kind", F.translate("value", "".join(SYMBOL), "".join(SYMBOL.values())).alias("shape")).agg(F.count("*").alias("n"))
+
+
+def summed(shapes: DataFrame, keys: str, keys_of: Callable[[str, str], Iterable[tuple]]) -> DataFrame:
+    """(kind, the keys, n): how many values have the keys that keys_of(kind, shape) lists; tasks add up as much as they can hold."""
+    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = f"kind string, {keys}, n long"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        found: dict[tuple, int] = defaultdict(int)
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*[(*k, n) for k, n in found.items()]), arrow)], schema=arrow)
+        for batch in batches:
+            for kind, shape, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key in keys_of(kind, shape):
+                    found[(kind, *key)] += n
+                if len(found) > HELD:
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+
+    names = [f.name for f in arrow][:-1]
+    return shapes.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def prefixes(_: str, shape: str) -> Iterable[tuple[int, str, int]]:
+    """(prefix, next symbol, prefix with it), prefixes as hashes, the empty one as 0."""
+    at = 0
+    for c in shape + END:
+        longer = xxhash.xxh3_64_intdigest(f"{at}{c}") - (1 << 63)
+        yield at, c, longer
+        at = longer
+
+
+def learn(df: DataFrame, text_col: str = "text") -> dict[str, tuple[Automaton, float]]:
+    """An automaton for each kind and the score that 95 in 100 of its labelled credentials reach."""
+    shapes = written(labelled(df, text_col), "credentials")
+    tree = written(summed(shapes, "prefix long, symbol string, longer long", prefixes), "prefixes")
+    total = tree.filter("prefix = 0").groupBy("kind").agg(F.sum("n").alias("total"))
+    states = tree.filter(F.col("symbol") != END).join(F.broadcast(total), "kind").filter(F.col("n") * SHARE >= F.col("total")).select("kind", F.col("longer").alias("prefix"))
+    rows = defaultdict(list)
+    for r in tree.filter("prefix = 0").union(tree.join(F.broadcast(states), ["kind", "prefix"], "left_semi").select(*tree.columns)).collect():  # SHARE prefixes of each length at most
+        rows[r.kind].append((r.prefix, r.symbol, r.longer, r.n))
+    models = {kind: Automaton(sorted(x)) for kind, x in sorted(rows.items())}
+    counts = defaultdict(list)
+    for r in summed(shapes, "state int, symbol string", lambda kind, shape: models[kind].walk(shape)).collect():  # a number for each arc
+        counts[r.kind].append((r.state, r.symbol, r.n))
+    models = {kind: model.learned(counts[kind]) for kind, model in models.items()}
+    scores = defaultdict(list)
+    for r in summed(shapes, "step int", lambda kind, shape: [(math.floor(models[kind].score(shape) * STEPS),)]).collect():  # a number for each step
+        scores[r.kind].append((r.step, r.n))
+    return {kind: (model, at_share(scores[kind], 20) / STEPS) for kind, model in models.items()}
+
+
+def at_share(found: list[tuple[int, int]], share: int) -> int:
+    """The least value (of values with their numbers) that all but one in `share` reach."""
+    left = sum(n for _, n in found) // share
+    for x, n in sorted(found):
+        left -= n
+        if left < 0:
+            return x
+    return 0
 
 
 def format_spans(text: str, models: dict, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -108,6 +108,26 @@ def test_secrets_find_formats(spark):
     assert secret_scan.scan_secrets(df, {}).count() == len(rows) + 4
 
 
+def test_secrets_learn_from_all(spark, monkeypatch):
+    """Frequencies and thresholds are those of all different labelled credentials, not of some hundreds."""
+    monkeypatch.setattr(secret_scan, "HELD", 1000)
+    random.seed(5)
+    hexes = ["".join(random.choices("0123456789abcdef", k=random.choice([16, 20, 32, 40]))) for _ in range(1500)]
+    rows = [(i, f"x {h} y {hexes[i // 2]}") for i, h in enumerate(hexes)]
+    models = secret_scan.learn(docs(spark, rows))
+    model, least = models["hex"]
+    assert sum(c[secret_scan.END] for c in model.count) == len(set(hexes))
+    shapes = [h.translate(secret_scan.TRANSLATE) for h in set(hexes)]
+    counts = {}
+    for shape in shapes:
+        for step in model.walk(shape):
+            counts[step] = counts.get(step, 0) + 1
+    assert {(s, c): n for s, x in enumerate(model.count) for c, n in x.items() if n} == counts
+    exact = sorted(model.score(x) for x in shapes)[len(shapes) // 20]
+    assert least <= exact < least + 1 / secret_scan.STEPS + 1e-12
+    assert set(models) == {"hex"} and secret_scan.learn(docs(spark, [])) == {}
+
+
 def test_audio_round_trip(spark):
     texts = pd.read_parquet(f"{SF01}/documents.parquet").set_index("doc_id").text
     for r in QUERIES["op10_mpeg_audio"](spark, SF01).collect():
