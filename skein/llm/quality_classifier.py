@@ -1,9 +1,9 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
 Features of a text: hashed uni- and bigrams of words (lower-cased cores) and of word shapes (case, digits, trailing
-marks), each weighted by its share of the text. Learning: the labelled rows with the lowest hashes, `TRAIN_ROWS` at
-most (the documented bound), dealt to `SHARDS` learners whose weights are averaged. Scoring is a sparse dot product
-with the weights, whose size is fixed (2**BITS floats, 1 MB), so they are broadcast to the tasks; no shuffle.
+marks), each weighted by its share of the text. Learning: all labelled rows, dealt by hash to learners of about
+`LEARNER` rows each (`SHARDS` at least), whose weights are averaged, slice by slice in groups. Scoring is a sparse dot
+product with the weights, whose size is fixed (2**BITS floats, 1 MB), so they are broadcast to the tasks; no shuffle.
 
 Defined results: a null or empty text has no feature and scores by the bias alone; words are what white space
 separates; repeated rows score alike; labels that are null are not learned from, of
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, text_of
 
 BITS = 18
-TRAIN_ROWS, SHARDS, EPOCHS = 8192, 4, 3
+LEARNER, SHARDS, EPOCHS = 2048, 4, 3
+SLICES = 16  # of the weights, that groups add up
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 MASK = np.uint64(2**BITS - 1)
 SCALE = 12.0  # a text's features sum to this
@@ -54,6 +55,12 @@ def features(text: str, words: Words) -> np.ndarray:
     return (h & MASK).astype(np.int64).ravel()
 
 
+def weighted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different indices and their values, with the bias."""
+    at, count = np.unique(ids, return_counts=True)
+    return np.append(at, 2**BITS), np.append(count * (SCALE / max(1, len(ids))), 1.0)
+
+
 class Ftrl:
     """Follow the regularised leader, proximal, a rate for each coordinate."""
 
@@ -64,10 +71,7 @@ class Ftrl:
         z = self.z[at]
         return np.where(np.abs(z) <= L1, 0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
 
-    def learn(self, ids: np.ndarray, label: int) -> None:
-        at, count = np.unique(ids, return_counts=True)
-        x = np.append(count * (SCALE / max(1, len(ids))), 1.0)
-        at = np.append(at, 2**BITS)  # the bias
+    def learn(self, at: np.ndarray, x: np.ndarray, label: int) -> None:
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
         g = (p - label) * x
@@ -75,29 +79,34 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """The averaged weights (with the bias last). labels: id and 0/1 of the rows that may be learned from."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    # at most `rows` ids: a bounded side
-    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t"), F.min("label").alias("label"))
-    sample = sample.repartition(SHARDS, F.pmod(F.xxhash64("id"), F.lit(SHARDS)))
+    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
+    shards = max(SHARDS, -(-chosen.count() // LEARNER))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(chosen, "id").repartition(shards, F.pmod(F.xxhash64("id"), F.lit(shards)))
 
     def run(batches):
-        words, model, rows = Words(), Ftrl(), []
+        words, model, found = Words(), Ftrl(), {}
         for batch in batches:
-            rows += [(xxhash.xxh3_64_intdigest(str(i)), features(t, words), y) for i, t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        rows.sort(key=lambda x: x[0])
+            for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i not in found or t < found[i][0]:
+                    found[i] = t, y
+        learned = [(*weighted(features(t, words)), y) for _, (t, y) in sorted(found.items(), key=lambda x: (xxhash.xxh3_64_intdigest(str(x[0])), str(x[0])))]
         for _ in range(EPOCHS):
-            for _, ids, y in rows:
-                model.learn(ids, y)
-        if rows:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64()), "w": pa.array([model.weights(np.arange(2**BITS + 1)).astype(np.float32).tobytes()], pa.binary())})
+            for row in learned:
+                model.learn(*row)
+        if learned:
+            parts = np.array_split(model.weights(np.arange(2**BITS + 1)) * len(learned), SLICES)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "n": pa.array([len(learned)] * SLICES, pa.int64()), "w": pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.float32) for x in sorted(t.column("w").to_pylist())], axis=0, dtype=np.float64) / sum(t.column("n").to_pylist())
+        return pa.table({"slice": t.column("slice")[:1], "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    got = sample.select("id", "t", "label").mapInArrow(run, "n long, w binary").collect()  # SHARDS rows of 1 MB at most
+    got = rows.select("id", "t", "label").mapInArrow(run, "slice int, n long, w binary").groupBy("slice").applyInArrow(add, "slice int, w binary").collect()  # SLICES rows, 1 MB
     if not got:
         return np.zeros(2**BITS + 1, np.float32)
-    total = sum(r.n for r in got)
-    return np.sum([np.frombuffer(r.w, np.float32) * (r.n / total) for r in got], axis=0).astype(np.float32)
+    return np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(got, key=lambda r: r.slice)])
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -78,6 +78,18 @@ def test_quality_awkward(spark):
     assert [r.score for r in quality_classifier.score(docs(spark, [(1, "a")]), none).collect()] == [0.5]
 
 
+def test_quality_learns_from_all(spark, monkeypatch):
+    """A word that one labelled row alone has gets a weight, whichever row it is; learners are as many as the rows need."""
+    rows = [(i, f"same words here only{i}") for i in range(12000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    weights = quality_classifier.train(docs(spark, rows + rows[:50]), labels)
+    words = quality_classifier.Words()
+    alone = [quality_classifier.features(text, words)[6] for _, text in rows]  # the core of the last word
+    assert sum(bool(weights[k]) for k in alone) > 0.9 * len(rows)
+    again = quality_classifier.train(docs(spark, rows[::-1]).repartition(3), labels.repartition(2))
+    assert (weights == again).all()
+
+
 def brute_spans(text):
     out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
