@@ -12,6 +12,7 @@ trigrams of the literal and checks the texts there, so it returns what a scan do
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,11 +71,13 @@ def _of(parts: list[dict]):
 
 
 def _write(spark: SparkSession, path: str, mirror: str, parts: list[dict], target: int) -> None:
+    """Each piece of a partition is a task of its own: hashes of their names would put several together in one."""
     events = lake.read_events(spark, path).drop("filename").withColumn("date", F.col("date").cast("string")).filter(_of(parts))
-    sizes = spark.createDataFrame([(r["runtime"], r["date"], max(1, -(-r["bytes"] // (target * SHRINKS)))) for r in parts], "runtime string, date string, pieces long")
-    dealt = events.join(sizes, ["runtime", "date"]).withColumn("piece", F.pmod(F.xxhash64("session_id", F.col("ts").cast("date")), F.col("pieces")))
-    pieces = sum(r.pieces for r in sizes.collect())  # a number of its own, as small partitions would be put together again
-    dealt.repartition(pieces, "runtime", "date", "piece").select(*EVENT.names, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("runtime", "date").parquet(mirror)
+    pieces = [max(1, -(-r["bytes"] // (target * SHRINKS))) for r in parts]
+    firsts = [0, *accumulate(pieces)]
+    sizes = spark.createDataFrame([(r["runtime"], r["date"], n, first) for r, n, first in zip(parts, pieces, firsts)], "runtime string, date string, pieces long, first long")
+    dealt = events.join(F.broadcast(sizes), ["runtime", "date"]).withColumn("piece", (F.col("first") + F.pmod(F.xxhash64("session_id", F.col("ts").cast("date")), F.col("pieces"))).cast("int"))
+    dealt.repartitionById(firsts[-1], "piece").select(*EVENT.names, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("runtime", "date").parquet(mirror)
 
 
 def _index(spark: SparkSession, path: str, parts: list[dict]) -> None:

@@ -568,3 +568,14 @@ def test_discovery_and_status(spark, tmp_path):
     index = tmp_path / "session_index.jsonl"
     index.write_text('{"sessionId":"session_1","workDir":"/old"}\n{bad\n{"sessionId":"session_1","workDir":"/new"}\n')
     assert [tuple(r) for r in discovery.kimi_projects(spark, str(index)).collect()] == [("session_1", "/new")]
+
+
+def test_pieces_are_tasks_of_their_own(spark, tmp_path):
+    """Each piece of a busy day is one task's work and one file: no two meet in a task by their hashes."""
+    path = str(tmp_path / "lake")
+    rows = spark.range(4000).select(F.lit("2024-01-01T00:00:00.000000Z").alias("ts"), F.lit("codex").alias("runtime"), F.lit("m").alias("machine"), F.concat(F.lit("s"), "id").alias("session_id"), F.lit("user").alias("event_type"), F.lit("t").alias("text"), F.lit("2024-01-01").alias("date"))
+    lake.append(rows, path)
+    size = compaction.sources(spark, path).first().bytes
+    compaction.compact(spark, path, target=size // (compaction.SHRINKS * 16) + 1)
+    assert len(list((tmp_path / "lake/parquet").rglob("*.parquet"))) == 16
+    assert compaction.read_mirror(spark, path).select("session_id").distinct().count() == 4000
