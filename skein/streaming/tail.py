@@ -32,6 +32,7 @@ from . import store
 SCHEMA = "file string, seq long, line string"
 STEP = 1 << 16
 SPLIT = 64 << 20  # bytes of a partition of a batch
+TASKS = 256  # so many partitions are enough: with more bytes than they have, partitions grow up to SPLIT
 STREAMED = 8 << 20  # of a micro-batch's
 EDGE = 4096  # bytes at each end of what was consumed that are remembered by their digest
 MAX_FILES = 1000
@@ -156,9 +157,10 @@ class _Batch(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[Spans]:
-        step, out = int(self.options.get("split", SPLIT)), []
-        for f in store.matching(self.options["path"]):
-            end = last_newline(f, 0, store.stat(f).size)
+        out, ends = [], {f: last_newline(f, 0, store.stat(f).size) for f in store.matching(self.options["path"])}
+        split = int(self.options.get("split", SPLIT))
+        step = max(split, min(SPLIT, sum(ends.values()) // TASKS))
+        for f, end in ends.items():
             out += [Span(f, a, min(a + step, end)) for a in range(0, end, step)]
         return packed(out, step)
 

@@ -579,3 +579,15 @@ def test_pieces_are_tasks_of_their_own(spark, tmp_path):
     compaction.compact(spark, path, target=size // (compaction.SHRINKS * 16) + 1)
     assert len(list((tmp_path / "lake/parquet").rglob("*.parquet"))) == 16
     assert compaction.read_mirror(spark, path).select("session_id").distinct().count() == 4000
+
+
+def test_small_ranges_are_few_tasks(tmp_path):
+    """The partitions of a batch do not grow in number with its bytes, and have each line once."""
+    text = "".join(f"line {i}\n" for i in range(20000))
+    (tmp_path / "a.jsonl").write_text(text)
+    (tmp_path / "b.jsonl").write_text("x\n")
+    batch = tail._Batch({"path": f"{tmp_path}/*.jsonl", "split": "64"})
+    parts = batch.partitions()
+    assert len(parts) <= tail.TASKS + 2
+    got = [line for p in parts for _, _, line in batch.read(p)]
+    assert got == [*text.splitlines(), "x"]
