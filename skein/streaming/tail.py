@@ -34,6 +34,7 @@ STEP = 1 << 16
 SPLIT = 64 << 20  # bytes of a partition of a batch
 TASKS = 256  # so many partitions are enough: with more bytes than they have, partitions grow up to SPLIT
 STREAMED = 8 << 20  # of a micro-batch's
+LARGEST = 16 << 20  # bytes of a file in a micro-batch of a stream with max_bytes, however many these are: a task sorts a file's lines
 EDGE = 4096  # bytes at each end of what was consumed that are remembered by their digest
 MAX_FILES = 1000
 
@@ -172,7 +173,7 @@ class _Batch(DataSourceReader):
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.options = options
-        self.most, self.lines = int(options.get("max_bytes", 0)), int(options.get("max_lines", 0))
+        self.most, self.lines = min(int(options.get("max_bytes", 0)), LARGEST), int(options.get("max_lines", 0))
         self.known: dict[str, dict] = json.loads(options.get("known", "{}"))
         self.turn = ""  # the file that used up the lines: the next one comes first
 

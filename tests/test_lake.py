@@ -591,3 +591,15 @@ def test_small_ranges_are_few_tasks(tmp_path):
     assert len(parts) <= tail.TASKS + 2
     got = [line for p in parts for _, _, line in batch.read(p)]
     assert got == [*text.splitlines(), "x"]
+
+
+def test_a_micro_batch_of_a_file_is_bounded(tmp_path, monkeypatch):
+    """However many bytes are allowed, a file gives a task no more than it can sort; the stream still reads all of it."""
+    monkeypatch.setattr(tail, "LARGEST", 1000)
+    (tmp_path / "a.jsonl").write_text("".join(f"line {i}\n" for i in range(1000)))
+    stream, was, got = tail._Stream({"path": f"{tmp_path}/*.jsonl", "max_bytes": "1000000"}), {}, []
+    while (now := stream.latestOffset()) != was:
+        part = [line for p in stream.partitions(was, now) for _, _, line in stream.read(p)]
+        assert 0 < sum(len(x) + 1 for x in part) <= 1000
+        got, was = got + part, now
+    assert got == [f"line {i}" for i in range(1000)]
