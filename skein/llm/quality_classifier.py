@@ -2,7 +2,8 @@
 
 Features of a text: hashed uni- and bigrams of words (lower-cased cores) and of word shapes (case, digits, trailing
 marks), each weighted by its share of the text. Learning: all labelled rows, dealt by hash to learners of about
-`LEARNER` rows each (`SHARDS` at least), whose weights are averaged, slice by slice in groups. Scoring is a sparse dot
+`LEARNER` rows each (`SHARDS` at least), whose weights are averaged, slice by slice in groups; texts are packed before
+they are joined to their labels. Scoring is a sparse dot
 product with the weights, whose size is fixed (2**BITS floats, 1 MB), so they are broadcast to the tasks; no shuffle.
 
 Defined results: a null or empty text has no feature and scores by the bias alone; words are what white space
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import map_rows, packed, text_of, unpacked
 
 BITS = 18
 LEARNER, SHARDS, EPOCHS = 2048, 4, 3
@@ -79,16 +80,23 @@ class Ftrl:
         self.n[at] += g * g
 
 
+def learned_from(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, label): the labelled rows with packed texts. Labels are never broadcast, so small and large inputs are joined alike."""
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    return packed(texts, "t").join(chosen.hint("merge"), "id")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """The averaged weights (with the bias last). labels: id and 0/1 of the rows that may be learned from."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     shards = max(SHARDS, -(-chosen.count() // LEARNER))
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(chosen, "id").repartition(shards, F.pmod(F.xxhash64("id"), F.lit(shards)))
+    rows = learned_from(docs, chosen, id_col, text_col).repartition(shards, F.pmod(F.xxhash64("id"), F.lit(shards)))
 
     def run(batches):
         words, model, found = Words(), Ftrl(), {}
         for batch in batches:
-            for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, z, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = unpacked(z)
                 if i not in found or t < found[i][0]:
                     found[i] = t, y
         learned = [(*weighted(features(t, words)), y) for _, (t, y) in sorted(found.items(), key=lambda x: (xxhash.xxh3_64_intdigest(str(x[0])), str(x[0])))]

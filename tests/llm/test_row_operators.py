@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 
 from skein.llm import byte_bpe, mpeg_audio, quality_classifier, secret_scan
+from skein.llm.common import unpacked
 from skein.llm.queries import QUERIES
 
 from .helpers import AWKWARD, SF01, docs
@@ -78,6 +79,15 @@ def test_quality_awkward(spark):
     assert [r.score for r in quality_classifier.score(docs(spark, [(1, "a")]), none).collect()] == [0.5]
 
 
+def test_quality_texts_are_shuffled_packed_at_any_size(spark):
+    labels = spark.createDataFrame([(4, 1), (7, 0)], "id long, label int")
+    rows = quality_classifier.learned_from(docs(spark, AWKWARD), labels, "doc_id", "text")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = rows.collect()
+    assert sorted((r.id, unpacked(r.t)) for r in got) == sorted((i, t or "") for i, t in AWKWARD if i in (4, 7))
+
+
 def test_quality_learns_from_all(spark, monkeypatch):
     """A word that one labelled row alone has gets a weight, whichever row it is; learners are as many as the rows need."""
     rows = [(i, f"same words here only{i}") for i in range(12000)]
