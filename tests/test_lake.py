@@ -510,6 +510,15 @@ def test_live_export_writes_its_batch(spark, tmp_path):
     assert sorted(map(str, spark.read.schema(export.ROW).json(f"{out}/export").collect())) == sorted(map(str, export.read_export(spark, f"{out}/export").collect())) and export.read_export(spark, f"{out}/export").count() == len(full) + 1
 
 
+def test_a_log_of_an_export_is_written_dense(spark, tmp_path):
+    src, out = tmp_path / "rollout-a.jsonl", str(tmp_path / "lake")
+    write(src, codex_lines(30))
+    lake.ingest(spark, {"codex": str(src)}, out, "m")
+    export.append_export(lake.stored_events(spark, out), f"{out}/export", "codex-1")
+    written = list((tmp_path / "lake" / "export.log").rglob("part-*"))
+    assert written and all(p.name.endswith(".zstd.parquet") for p in written)
+
+
 def test_signal_views_and_reports(spark):
     events = spark.createDataFrame([], "ts timestamp, runtime string, session_id string, project string, event_type string, text string, tool_name string, model string, extra string, tokens_in long, tokens_out long")
     terms = spark.createDataFrame([("s", "w", "strong", 2, 1704067200)], "sessionId string, word string, severity string, count long, last_seen long")
