@@ -23,15 +23,16 @@ import math
 import string
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .chained_passages import hashed, hashed_all
 from .common import map_rows, text_of
 
 PASSAGE, LEAST = 64, 8
@@ -39,7 +40,7 @@ RANK, POWER = 96, 1
 TOGETHER = 1 << 11  # words of rows that are multiplied at once
 BLOCK, LETTERS = 4096, 1_200_000
 COSINE = 0.4  # of the passage's cosine with itself in the latent space
-CELLS, SLICE, CACHE = 1 << 20, 1 << 17, 300_000  # cells that words' frequencies are counted in; of them a group adds up; words that a task remembers
+CELLS, SLICE = 1 << 20, 1 << 17  # cells that words' frequencies are counted in; of them a group adds up
 COVERED, PARAPHRASED, ANSWER = 0.75, 0.5, 3
 SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -51,30 +52,22 @@ def words_of(text: str | None) -> list[bytes]:
 
 def numbers(text: str, vocabulary: dict[bytes, int]) -> np.ndarray:
     """Each word's number in the vocabulary, -1 if it has none."""
-    get = vocabulary.get
-    return np.array([get(w, -1) for w in words_of(text)], np.int32)
+    words = words_of(text)
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
 
 
-def place(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & (CELLS - 1)
-
-
-class Cells(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out = place(word)
-        return out
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """In how many documents words occur, by the cell of the word's hash, and how many documents there are."""
 
     def run(batches):
-        cells, n, seen = Cells(), 0, np.zeros(CELLS, np.int64)
+        n, seen = 0, np.zeros(CELLS, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen[np.unique(np.fromiter(map(cells.__getitem__, set(words_of(text))), np.int64))] += 1
+            for h in hashed_all([b" ".join(words_of(t)) for t in batch.column(0).to_pylist()]):
+                seen[cells(h)] += 1  # once a cell, however often it is there
                 n += 1
         parts = np.split(seen, CELLS // SLICE)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in parts], pa.binary()), pa.array([n] * len(parts), pa.int64())], ["slice", "seen", "n"])
@@ -260,7 +253,7 @@ def build(docs: DataFrame, items: list, text_col: str, df: np.ndarray, n: int) -
                 passages.append((k, ids[a : a + PASSAGE]))
     if not passages:
         return None
-    idf = np.maximum(np.log((1 + n) / (1 + df[[place(w) for w in vocabulary]])), 0.05).astype(np.float32)
+    idf = np.maximum(np.log((1 + n) / (1 + df[cells(hashed(b" ".join(vocabulary)))])), 0.05).astype(np.float32)
     spark = docs.sparkSession
     rank, read = max(1, min(RANK, len(passages) // 2, len(vocabulary) // 2)), partial(passages_of, vocabulary, idf)
     own = spark.createDataFrame([(t or "",) for _, t in items], "t string")

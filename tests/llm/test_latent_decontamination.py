@@ -124,6 +124,22 @@ def test_many_changed_words_equal_brute_force(spark):
     assert len(want) > 120 and len(got & want) >= 0.95 * len(want) and not got - want
 
 
+def test_frequencies_equal_brute_force(spark):
+    """Documents are counted once a word, whatever their white space, marks and length; words are hashed by arrays, not one by one."""
+    random.seed(22)
+    vocabulary = ["wörd", "_", "x" * 300, *("".join(random.choices("abcdefghijklmnop", k=5)) for _ in range(400))]
+    texts = [" \t".join(random.choices(vocabulary, k=random.choice([0, 1, 30, 500]))) + random.choice([" ", "", "\n,;", "\x0b.\x0c"]) for _ in range(300)]
+    seen, n = L.frequencies(docs(spark, [*enumerate(texts), (-1, None), (-2, " ".join(vocabulary * 40))]), "text")
+    words = [set(L.words_of(t)) for t in (*texts, " ".join(vocabulary))]
+    every = sorted(set().union(*words))
+    at = L.cells(L.hashed(b" ".join(every)))
+    assert n == len(texts) + 2 and len(set(at.tolist())) > len(every) - 3
+    for w, cell in zip(every, at.tolist()):
+        same = {v for v, c in zip(every, at.tolist()) if c == cell}
+        assert seen[cell] == sum(bool(same & one) for one in words), w
+    assert seen.sum() == sum(seen[c] for c in set(at.tolist()))
+
+
 def test_all_passages_shape_the_space(spark, monkeypatch):
     """The basis is that of the passages of all documents and items, however they are dealt and batched."""
     random.seed(21)
